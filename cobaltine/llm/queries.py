@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, containment, langid, linededup, neardup, pii, windows
+from . import bpe, containment, langid, linededup, multiindex, neardup, pii, resampling, toolcalls, windows
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
@@ -32,6 +32,23 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.dedup_windows(table(spark, sf_dir, "documents"), window=13).drop("kept")
 
 
+#: the table has plain turns only: each user turn counts as a call of this tool, the turn after it as its result
+REPLY = {"reply": {"type": "object", "required": ["text", "turn"], "properties": {"text": {"type": "string"}, "turn": {"type": "integer"}}, "additionalProperties": False}}
+
+
+def op4_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    named = lambda turn: F.concat_ws("-", F.lit("call"), F.col("conv_id"), turn)
+    arguments = F.to_json(F.struct("turn", "text"))
+    calls = turns.filter("role = 'user'").select("conv_id", named(F.col("turn")).alias("call_id"), "turn", F.lit("reply").alias("name"), arguments.alias("arguments"))
+    results = turns.filter("role = 'assistant'").select("conv_id", named(F.col("turn") - 1).alias("call_id"), "turn", F.col("text").alias("content"))
+    return toolcalls.link(calls, results, REPLY).drop("problems")
+
+
+def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiindex.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(table(spark, sf_dir, "documents"))
     base = [k.name for k in pii.KINDS if k.base]
@@ -40,6 +57,13 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, base), digest.alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
 
 
+def op7_quality_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
+    good = F.coalesce((F.col("quality") == 1) & (F.col("toxic") == 0), F.lit(False))
+    share = labels.agg(F.avg(good.cast("int"))).first()[0] or 0.0
+    return resampling.resample(table(spark, sf_dir, "documents"), labels.filter(good), share=share)
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return containment.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -53,7 +77,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_byte_bpe, op3_substring_dedup, op6_pii, op8_decontamination, op9_near_duplicates, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_language_id, op2_byte_bpe, op3_substring_dedup, op4_tool_calls, op5_nearest, op6_pii, op7_quality_sample, op8_decontamination, op9_near_duplicates, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
