@@ -117,11 +117,11 @@ def confirmed(pairs: DataFrame, documents: DataFrame, size: int, percent: int) -
     return both.mapInArrow(verify, "a long, b long")
 
 
-def unconnected(bands: DataFrame, reps: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+def unconnected(shared: DataFrame, reps: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of different labels in buckets of three or more, compared in blocks of members."""
-    labelled = bands.join(labels, "rep", "left").select("key", "rep", F.coalesce("label", "rep").alias("label"))
-    mixed = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("members")).filter("low <> high and members > 2").select("key", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
-    rows = labelled.join(mixed, "key").join(reps.select("rep", "n_shingles", "registers"), "rep").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    labelled = shared.filter("members > 2").join(labels, "rep", "left").select("key", "rep", "members", F.coalesce("label", "rep").alias("label"))
+    mixed = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max("members").alias("members")).filter("low <> high").select("key", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
+    rows = labelled.drop("members").join(mixed, "key").join(reps.select("rep", "n_shingles", "registers"), "rep").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = rows.withColumn("other", other).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
     groups = dealt.groupBy("key", "i", "j").agg(F.collect_list("rep").alias("reps"), F.collect_list("label").alias("labels"), F.collect_list("block").alias("blocks"), F.collect_list("n_shingles").alias("sizes"), F.collect_list("registers").alias("registers"))
@@ -161,15 +161,16 @@ def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80) -> D
     reps = checkpoint(signed.filter("n_shingles > 0").groupBy("digest", "n_shingles").agg(F.min("doc_id").alias("rep"), F.max("registers").alias("registers")).select("rep", "n_shingles", "registers"))
 
     bands = banded(reps)
-    centres = bands.groupBy("key").agg(F.min("rep").alias("a"), F.count("*").alias("members")).filter("members > 1").select("key", "a")
-    stars = bands.join(centres, "key").filter("rep <> a").select("a", F.col("rep").alias("b")).distinct()
+    centres = bands.groupBy("key").agg(F.min("rep").alias("a"), F.count("*").alias("members")).filter("members > 1")
+    shared = checkpoint(bands.join(centres, "key"))  # most bands have one member and end here
+    stars = shared.filter("rep <> a").select("a", F.col("rep").alias("b")).distinct()
     tried = checkpoint(estimated(stars, reps, percent))
     links = checkpoint(confirmed(tried, documents, size, percent))
 
     near = links.groupBy(F.col("b").alias("rep")).agg(F.min("a").alias("label"))
     further = near.select(F.col("rep").alias("label"), F.col("label").alias("next"))
     labels = near.join(further, "label", "left").select("rep", F.coalesce("next", "label").alias("label"))
-    rest = unconnected(bands, reps, labels, percent).join(tried, ["a", "b"], "left_anti")
+    rest = unconnected(shared, reps, labels, percent).join(tried, ["a", "b"], "left_anti")
     more = confirmed(checkpoint(rest), documents, size, percent)
 
     roots = components(links.unionByName(more))
