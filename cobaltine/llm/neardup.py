@@ -8,9 +8,10 @@
 3.  Pairs whose collision-corrected estimate is far below the threshold (six standard
     deviations) or whose sizes rule it out are dropped.  The rest is confirmed on full sets.
 4.  Buckets whose members the confirmed links do not yet connect are compared in blocks
-    inside tasks, members of different components only; what passes the estimate is
-    confirmed likewise.  So every pair that shares a bucket is either connected or was
-    compared, and no bucket is capped.
+    inside tasks, members of different groups only.  Where the estimate allows a link, the
+    one document is confirmed against every member of the other's group, again in blocks:
+    a group's sets move once, not once for each pair.  So every pair that shares a bucket
+    is either connected or was compared, and no bucket is capped.
 5.  Components of all links.
 """
 
@@ -92,16 +93,21 @@ def estimated(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "r_a", "r_b").mapInArrow(compare, "a long, b long")
 
 
-def confirmed(pairs: DataFrame, documents: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets have the similarity.  Only texts that stand in a pair are read into sets."""
-    ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("doc_id"))
+def shingle_table(documents: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """(doc_id, shingles): sorted hashes of the documents whose doc_id is wanted."""
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             yield pa.record_batch([batch.column("doc_id"), pa.array([s.tobytes() for s in sets_of(batch, size)], pa.binary())], ["doc_id", "shingles"])
 
-    wanted = ends.select("doc_id").distinct()
-    sets = documents.select("doc_id", "text").join(wanted, "doc_id", "left_semi").mapInArrow(to_sets, "doc_id long, shingles binary")
+    return documents.select("doc_id", "text").join(wanted, "doc_id", "left_semi").mapInArrow(to_sets, "doc_id long, shingles binary")
+
+
+def confirmed(pairs: DataFrame, documents: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets have the similarity.  Only texts that stand in a pair are read into sets."""
+    ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("doc_id"))
+
+    sets = shingle_table(documents, ends.select("doc_id").distinct(), size)
     of = lambda c: F.max(F.when(F.col("doc_id") == F.col(c), F.col("shingles"))).alias(f"s_{c}")
     both = ends.join(sets, "doc_id").groupBy("a", "b").agg(of("a"), of("b"))
 
@@ -118,7 +124,10 @@ def confirmed(pairs: DataFrame, documents: DataFrame, size: int, percent: int) -
 
 
 def unconnected(shared: DataFrame, reps: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different labels in buckets of three or more, compared in blocks of members."""
+    """Pairs of a document and a smaller label that a member of its buckets has, if the estimate allows a link.
+
+    Buckets of three or more members with different labels are compared in blocks.
+    """
     labelled = shared.filter("members > 2").join(labels, "rep", "left").select("key", "rep", "members", F.coalesce("label", "rep").alias("label"))
     mixed = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max("members").alias("members")).filter("low <> high").select("key", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
     rows = labelled.drop("members").join(mixed, "key").join(reps.select("rep", "n_shingles", "registers"), "rep").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
@@ -137,11 +146,45 @@ def unconnected(shared: DataFrame, reps: DataFrame, labels: DataFrame, percent:
                 for x in np.flatnonzero(block == i):
                     y = np.flatnonzero((block == j) & (label != label[x]) & (100 * np.minimum(n, n[x]) >= percent * np.maximum(n, n[x])))
                     y = y[estimate(regs[y], regs[x][None]) >= low]
-                    found.update((min(ids[x], o), max(ids[x], o)) for o in ids[y].tolist())
+                    found.update((ids[x], o) for o in label[y][label[y] < label[x]].tolist())
+                    found.update((o, label[x]) for o in ids[y][label[y] > label[x]].tolist())
             pairs = np.array(sorted(found), np.int64).reshape(-1, 2)
+            yield pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["rep", "label"])
+
+    return groups.mapInArrow(compare, "rep long, label long").distinct()
+
+
+def linked_to_groups(visits: DataFrame, reps: DataFrame, labels: DataFrame, documents: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links (a, b) of each visit's document with a member of the group it visits; one link of each pair of them is enough."""
+    labelled = reps.select("rep").join(labels, "rep", "left").select("rep", F.coalesce("label", "rep").alias("label"))
+    members = labelled.join(visits.select("label").distinct(), "label", "left_semi").withColumn("visits", F.lit(False))
+    wanted = members.unionByName(visits.select("rep", "label", F.lit(True).alias("visits")))
+    sets = shingle_table(documents, wanted.select(F.col("rep").alias("doc_id")).distinct(), size)
+    rows = wanted.join(sets, wanted["rep"] == sets["doc_id"]).select("label", "visits", "rep", "shingles")
+    counted = wanted.groupBy("label", "visits").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    dealt = rows.join(counted, ["label", "visits"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+    blocks = checkpoint(dealt.groupBy("label", "visits", "block").agg(F.collect_list("rep").alias("reps"), F.collect_list("shingles").alias("sets")))
+    ours = blocks.filter("visits").select("label", F.col("reps").alias("x"), F.col("sets").alias("x_sets"))
+    met = ours.join(blocks.filter("not visits").select("label", F.col("reps").alias("y"), F.col("sets").alias("y_sets")), "label")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            links = []
+            for row in range(batch.num_rows):
+                x, y = (batch.column(c)[row].as_py() for c in ("x", "y"))
+                y_sets = [np.frombuffer(b, np.uint64) for b in batch.column("y_sets")[row].as_py()]
+                flat, sizes = np.concatenate(y_sets), np.array(list(map(len, y_sets)), np.int64)
+                starts = np.cumsum(sizes) - sizes
+                for a, packed in zip(x, batch.column("x_sets")[row].as_py(), strict=True):
+                    own = np.frombuffer(packed, np.uint64)
+                    place = np.minimum(np.searchsorted(own, flat), len(own) - 1)
+                    shared = np.add.reduceat((own[place] == flat).astype(np.int64), starts)
+                    hit = np.flatnonzero(100 * shared >= percent * (sizes + len(own) - shared))
+                    links += [(min(a, y[hit[0]]), max(a, y[hit[0]]))] if len(hit) else []
+            pairs = np.array(links, np.int64).reshape(-1, 2)
             yield pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
-    return groups.mapInArrow(compare, "a long, b long").distinct()
+    return met.select("x", "x_sets", "y", "y_sets").mapInArrow(verify, "a long, b long")
 
 
 def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -170,8 +213,8 @@ def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80) -> D
     near = links.groupBy(F.col("b").alias("rep")).agg(F.min("a").alias("label"))
     further = near.select(F.col("rep").alias("label"), F.col("label").alias("next"))
     labels = near.join(further, "label", "left").select("rep", F.coalesce("next", "label").alias("label"))
-    rest = unconnected(shared, reps, labels, percent).join(tried, ["a", "b"], "left_anti")
-    more = confirmed(checkpoint(rest), documents, size, percent)
+    visits = checkpoint(unconnected(shared, reps, labels, percent))
+    more = linked_to_groups(visits, reps, labels, documents, size, percent)
 
     roots = components(links.unionByName(more))
     out = members.join(roots, members["rep"] == roots["node"], "left").select("doc_id", "n_shingles", F.coalesce("root", "rep").alias("component_id"))
