@@ -12,18 +12,16 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-ZERO = F.lit(0.0)
-
 
 def quantities(points: Column) -> Column:
     """Values of an array of (date, qty) structs; a missing qty is 0."""
-    return F.transform(points, lambda p: F.coalesce(p["qty"], ZERO))
+    return F.transform(points, lambda p: F.coalesce(p["qty"], F.lit(0.0)))
 
 
 def elementwise(a: Column, b: Column, op: Callable[[Column, Column], Column]) -> Column:
     longest = F.greatest(F.size(a), F.size(b))
     stretch = lambda x: F.when(F.size(x) == 1, F.array_repeat(x[0], longest)).otherwise(x)
-    return F.zip_with(stretch(a), stretch(b), lambda x, y: op(F.coalesce(x, ZERO), F.coalesce(y, ZERO)))
+    return F.zip_with(stretch(a), stretch(b), lambda x, y: op(F.coalesce(x, F.lit(0.0)), F.coalesce(y, F.lit(0.0))))
 
 
 def divide(x: Column, y: Column) -> Column:
@@ -36,7 +34,7 @@ def modulo(x: Column, y: Column) -> Column:
 
 
 def total(a: Column) -> Column:
-    return F.aggregate(a, ZERO, lambda s, x: s + x)
+    return F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
 
 
 def mean(a: Column) -> Column:
@@ -44,11 +42,11 @@ def mean(a: Column) -> Column:
 
 
 def smallest(a: Column) -> Column:
-    return F.coalesce(F.array_min(a), ZERO)
+    return F.coalesce(F.array_min(a), F.lit(0.0))
 
 
 def largest(a: Column) -> Column:
-    return F.coalesce(F.array_max(a), ZERO)
+    return F.coalesce(F.array_max(a), F.lit(0.0))
 
 
 def deviation(a: Column) -> Column:
@@ -101,22 +99,22 @@ def seasonal_index(a: Column, period: int = 7) -> Column:
 def shift(a: Column, n: int = 1) -> Column:
     """Forward, zeros are put before the array and it grows; backward, zeros replace what falls off its start."""
     if n >= 0:
-        return F.concat(F.array_repeat(ZERO, n), a)
+        return F.concat(F.array_repeat(F.lit(0.0), n), a)
     gone = F.least(F.size(a), F.lit(-n))
-    return F.concat(F.slice(a, gone + 1, F.size(a) - gone), F.array_repeat(ZERO, -n))
+    return F.concat(F.slice(a, gone + 1, F.size(a) - gone), F.array_repeat(F.lit(0.0), -n))
 
 
 def cumulative_sum(a: Column) -> Column:
-    return F.aggregate(a, F.array().cast("array<double>"), lambda s, x: F.array_append(s, F.coalesce(F.get(s, F.size(s) - 1), ZERO) + x))
+    return F.aggregate(a, F.array().cast("array<double>"), lambda s, x: F.array_append(s, F.coalesce(F.get(s, F.size(s) - 1), F.lit(0.0)) + x))
 
 
 def held_last(a: Column, size: Column) -> Column:
     """Stretches an array to a size by its last value (0 if it has none)."""
-    return F.concat(a, F.array_repeat(F.coalesce(F.get(a, F.size(a) - 1), ZERO), F.greatest(size - F.size(a), F.lit(0))))
+    return F.concat(a, F.array_repeat(F.coalesce(F.get(a, F.size(a) - 1), F.lit(0.0)), F.greatest(size - F.size(a), F.lit(0))))
 
 
 def padded(a: Column, size: Column) -> Column:
-    return F.concat(a, F.array_repeat(ZERO, F.greatest(size - F.size(a), F.lit(0))))
+    return F.concat(a, F.array_repeat(F.lit(0.0), F.greatest(size - F.size(a), F.lit(0))))
 
 
 def balance(begin: Column, demand: Column, supply: Column) -> Column:
@@ -127,7 +125,7 @@ def balance(begin: Column, demand: Column, supply: Column) -> Column:
 
 
 def net_demand(balances: Column) -> Column:
-    return F.transform(balances, lambda b: F.greatest(ZERO, -b))
+    return F.transform(balances, lambda b: F.greatest(F.lit(0.0), -b))
 
 
 def inventory_planning(forecast: Column, begin: Column, supply: Column) -> Column:
@@ -136,8 +134,8 @@ def inventory_planning(forecast: Column, begin: Column, supply: Column) -> Colum
     pairs = F.arrays_zip(held_last(forecast, size).alias("d"), padded(supply, size).alias("p"))
 
     def step(s: Column, x: Column) -> Column:
-        net = F.greatest(ZERO, x["d"] - s["stock"] - x["p"])
-        return F.struct(F.greatest(ZERO, s["stock"] + x["p"] - x["d"]).alias("stock"), F.array_append(s["net"], net).alias("net"))
+        net = F.greatest(F.lit(0.0), x["d"] - s["stock"] - x["p"])
+        return F.struct(F.greatest(F.lit(0.0), s["stock"] + x["p"] - x["d"]).alias("stock"), F.array_append(s["net"], net).alias("net"))
 
     start = F.struct(begin.cast("double").alias("stock"), F.array().cast("array<double>").alias("net"))
     return F.aggregate(pairs, start, step)["net"]
@@ -150,7 +148,7 @@ def jit_fill(weekly: Column, daily: Column, jit: Column, supply: Column) -> Colu
     free = F.size(F.filter(fixed, lambda x: x["jit"] <= 0))
     rest = weekly - total(supply) - total(F.transform(fixed, lambda x: x["qty"]))
     extra = F.when((rest > 0) & (free > 0), rest / free).otherwise(0.0)
-    return F.transform(fixed, lambda x: F.round(F.greatest(ZERO, F.when(x["jit"] > 0, x["qty"]).otherwise(x["qty"] + extra)), 2))
+    return F.transform(fixed, lambda x: F.round(F.greatest(F.lit(0.0), F.when(x["jit"] > 0, x["qty"]).otherwise(x["qty"] + extra)), 2))
 
 
 #: name: (function, what it takes)

@@ -63,7 +63,7 @@ def autocorrelation(series: DataFrame, most: int = 14) -> DataFrame:
     products = centred.select("series", "n", "x", *[(F.col("x") * F.lag("x", k).over(ordered)).alias(f"p{k}") for k in range(1, most + 1)])
     sums = products.groupBy("series").agg(F.max("n").alias("n"), F.sum(F.col("x") * F.col("x")).alias("total"), *[F.sum(f"p{k}").alias(f"p{k}") for k in range(1, most + 1)])
     long = sums.select("series", "n", "total", F.posexplode(F.array(*[f"p{k}" for k in range(1, most + 1)])).alias("k", "p"))
-    value = F.when(F.col("total") == 0, 0.0).otherwise(F.round(F.col("p") / F.col("total"), 3))
+    value = F.when(F.col("total") == 0, 0.0).otherwise(F.round(F.col("p") / F.col("total"), 3) + 0.0)
     return long.filter(F.col("k") + 1 <= F.floor(F.col("n") / 2)).select("series", (F.col("k") + 1).alias("lag"), value.alias("acf"))
 
 

@@ -8,12 +8,20 @@ from __future__ import annotations
 
 from statistics import NormalDist
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-SERIES = Window.partitionBy("series")
-IN_ORDER = SERIES.orderBy("ds")
-SO_FAR = IN_ORDER.rowsBetween(Window.unboundedPreceding, 0)
+
+def per_series() -> WindowSpec:
+    return Window.partitionBy("series")
+
+
+def in_order() -> WindowSpec:
+    return per_series().orderBy("ds")
+
+
+def so_far() -> WindowSpec:
+    return in_order().rowsBetween(Window.unboundedPreceding, 0)
 
 
 def demand_series(rows: DataFrame, key: str, day: str, qty: str) -> DataFrame:
@@ -23,9 +31,9 @@ def demand_series(rows: DataFrame, key: str, day: str, qty: str) -> DataFrame:
 
 def tail(series: DataFrame, n: int) -> DataFrame:
     """The last ``n`` rows of each series, with ``i`` from 0 and the count ``n``."""
-    back = F.row_number().over(SERIES.orderBy(F.desc("ds")))
+    back = F.row_number().over(per_series().orderBy(F.desc("ds")))
     last = series.withColumn("back", back).filter(F.col("back") <= n)
-    return last.withColumn("n", F.count("*").over(SERIES)).withColumn("i", F.col("n") - F.col("back")).drop("back")
+    return last.withColumn("n", F.count("*").over(per_series())).withColumn("i", F.col("n") - F.col("back")).drop("back")
 
 
 def ahead(summary: DataFrame, horizon: Column | int) -> DataFrame:
@@ -35,15 +43,15 @@ def ahead(summary: DataFrame, horizon: Column | int) -> DataFrame:
 
 
 def moving_average(series: DataFrame, window: int = 7) -> DataFrame:
-    return series.withColumn("value", F.avg("qty").over(IN_ORDER.rowsBetween(1 - window, 0)))
+    return series.withColumn("value", F.avg("qty").over(in_order().rowsBetween(1 - window, 0)))
 
 
 def cumulative_sum(series: DataFrame) -> DataFrame:
-    return series.withColumn("value", F.sum("qty").over(SO_FAR))
+    return series.withColumn("value", F.sum("qty").over(so_far()))
 
 
 def lagged(series: DataFrame, n: int = 1) -> DataFrame:
-    return series.withColumn("value", F.lag("qty", n, 0.0).over(IN_ORDER))
+    return series.withColumn("value", F.lag("qty", n, 0.0).over(in_order()))
 
 
 def smoothed(series: DataFrame, alpha: float = 0.3) -> DataFrame:
@@ -75,7 +83,7 @@ def trend_forecast(series: DataFrame, window: int = 30, horizon: int = 30) -> Da
 
 def seasonal_index(series: DataFrame, period: int = 7) -> DataFrame:
     """Mean of each position over the complete periods, relative to the mean of all rows."""
-    placed = series.withColumn("i", F.row_number().over(IN_ORDER) - 1).withColumn("n", F.count("*").over(SERIES)).withColumn("mean", F.avg("qty").over(SERIES))
+    placed = series.withColumn("i", F.row_number().over(in_order()) - 1).withColumn("n", F.count("*").over(per_series())).withColumn("mean", F.avg("qty").over(per_series()))
     complete = placed.filter(F.col("i") < F.floor(F.col("n") / period) * period)
     index = F.when(F.max("mean") == 0, 1.0).otherwise(F.avg("qty") / F.max("mean"))
     return complete.groupBy("series", (F.col("i") % period).alias("position")).agg(index.alias("value"))
@@ -83,7 +91,7 @@ def seasonal_index(series: DataFrame, period: int = 7) -> DataFrame:
 
 def running_balance(moves: DataFrame, begin: float = 0.0) -> DataFrame:
     """Stock after each row of (series, ds, demand, supply); it may fall below zero."""
-    return moves.withColumn("balance", F.lit(begin) + F.sum(F.col("supply") - F.col("demand")).over(SO_FAR))
+    return moves.withColumn("balance", F.lit(begin) + F.sum(F.col("supply") - F.col("demand")).over(so_far()))
 
 
 def clamped_balance(moves: DataFrame, begin: Column | float = 0.0) -> DataFrame:
@@ -94,9 +102,9 @@ def clamped_balance(moves: DataFrame, begin: Column | float = 0.0) -> DataFrame:
     so far): two windows instead of a recursion.
     """
     begin = F.lit(begin) if isinstance(begin, float | int) else begin
-    summed = moves.withColumn("w", begin + F.sum(F.col("supply") - F.col("demand")).over(SO_FAR))
-    stock = summed.withColumn("stock", F.col("w") - F.least(F.lit(0.0), F.min("w").over(SO_FAR)))
-    raw = F.coalesce(F.lag("stock").over(IN_ORDER), begin) + F.col("supply") - F.col("demand")
+    summed = moves.withColumn("w", begin + F.sum(F.col("supply") - F.col("demand")).over(so_far()))
+    stock = summed.withColumn("stock", F.col("w") - F.least(F.lit(0.0), F.min("w").over(so_far())))
+    raw = F.coalesce(F.lag("stock").over(in_order()), begin) + F.col("supply") - F.col("demand")
     return stock.withColumn("raw", raw).withColumn("net", F.greatest(F.lit(0.0), -F.col("raw"))).drop("w")
 
 
@@ -137,7 +145,7 @@ def jit_priority_fill(days: DataFrame, totals: DataFrame, divide_by_weeks: bool
     return filled.select("series", "ds", F.round(F.greatest(F.lit(0.0), F.col("fixed") + extra), 2).alias("qty"))
 
 
-def monthly_daily_blend(demand: DataFrame, monthly: DataFrame, supply: DataFrame, begin: float = 0.0) -> DataFrame:
+def monthly_daily_blend(demand: DataFrame, monthly: DataFrame, supply: DataFrame, begin: float = 0.0, digits: int = 2) -> DataFrame:
     """Daily demand where there is some; elsewhere the rest of the month's forecast, spread evenly; then the stock balance.
 
     ``monthly`` has series, month (its first day) and forecast.  The calendar runs from the
@@ -152,7 +160,7 @@ def monthly_daily_blend(demand: DataFrame, monthly: DataFrame, supply: DataFrame
     calendar = span.select("series", F.explode(F.sequence(F.least("start", "first"), F.col("end"))).alias("ds"))
     day = calendar.join(demand, ["series", "ds"], "left").withColumn("month", F.trunc("ds", "MM")).join(fills, ["series", "month"], "left")
     moves = day.join(supply.select("series", "ds", F.col("qty").alias("supply")), ["series", "ds"], "left").select("series", "ds", F.coalesce("qty", "fill", F.lit(0.0)).alias("demand"), F.coalesce("supply", F.lit(0.0)).alias("supply"))
-    return clamped_balance(moves, begin).select("series", "ds", F.round("net", 2).alias("qty"), F.round("raw", 2).alias("balance"))
+    return clamped_balance(moves, begin).select("series", "ds", F.round("net", digits).alias("qty"), F.round("raw", digits).alias("balance"))
 
 
 def monthly_split(monthly: DataFrame, delivered: DataFrame) -> DataFrame:
