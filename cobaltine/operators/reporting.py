@@ -15,7 +15,7 @@ def order_summary(orders: DataFrame, dimension: Column | str, paid: Column, canc
     return orders.filter(~cancelled).groupBy(key.alias("dimension")).agg(
         F.count("*").alias("order_count"),
         F.round(F.sum(F.when(paid, F.col("amount")).otherwise(0.0)), 2).alias("gmv"),
-        F.round(F.avg("amount"), 4).alias("avg_amount"),
+        F.round(F.avg("amount"), 6).alias("avg_amount"),
     )
 
 
