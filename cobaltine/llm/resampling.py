@@ -61,7 +61,7 @@ def log_weights(documents: DataFrame, ratios: np.ndarray) -> DataFrame:
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             bucket, row = grams(batch.column("text"))
-            yield pa.record_batch([batch.column("doc_id"), pa.array(np.bincount(row, held.value[bucket], batch.num_rows))], ["doc_id", "log_weight"])
+            yield pa.record_batch([batch.column("doc_id"), pa.array(np.bincount(row, held.value[bucket], batch.num_rows).astype(np.float64))], ["doc_id", "log_weight"])
 
     return documents.select("doc_id", "text").mapInArrow(weigh, "doc_id long, log_weight double")
 
