@@ -33,6 +33,8 @@ from .storage import checkpoint
 
 #: members of a bucket that are compared at once
 BLOCK = 128
+#: ids (8 bytes each) that are broadcast to the texts rather than met in a shuffle
+MOST_BROADCAST = 4_000_000
 
 
 def sets_of(batch: pa.RecordBatch, size: int) -> list[np.ndarray]:
@@ -94,7 +96,12 @@ def estimated(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
 
 
 def shingle_table(documents: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(doc_id, shingles): sorted hashes of the documents whose doc_id is wanted."""
+    """(doc_id, shingles): sorted hashes of the documents whose doc_id is wanted.
+
+    Up to MOST_BROADCAST wanted ids go to the texts; beyond it the texts are shuffled to them.
+    """
+    wanted = checkpoint(wanted)
+    wanted = F.broadcast(wanted) if wanted.count() <= MOST_BROADCAST else wanted
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
