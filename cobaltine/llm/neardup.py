@@ -133,13 +133,20 @@ def confirmed(pairs: DataFrame, documents: DataFrame, size: int, percent: int) -
 def unconnected(shared: DataFrame, reps: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """Pairs of a document and a smaller label that a member of its buckets has, if the estimate allows a link.
 
-    Buckets of three or more members with different labels are compared in blocks.
+    Buckets of three or more members with different labels are compared in blocks; those of
+    the label that most members have are not compared with one another.
     """
-    labelled = shared.filter("members > 2").join(labels, "rep", "left").select("key", "rep", "members", F.coalesce("label", "rep").alias("label"))
-    mixed = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max("members").alias("members")).filter("low <> high").select("key", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
-    rows = labelled.drop("members").join(mixed, "key").join(reps.select("rep", "n_shingles", "registers"), "rep").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = rows.withColumn("other", other).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
+    labelled = shared.filter("members > 2").select("key", "rep").join(labels, "rep", "left").select("key", "rep", F.coalesce("label", "rep").alias("label"))
+    per_label = labelled.groupBy("key", "label").agg(F.count("*").alias("n"))
+    mixed = per_label.groupBy("key").agg(F.max(F.struct("n", "label")).alias("main"), (F.sum("n") - F.max("n")).alias("others"), F.count("*").alias("n_labels")).filter("n_labels > 1")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    mixed = mixed.select("key", F.col("main.label").alias("main"), blocks(F.col("main.n")).alias("main_blocks"), blocks(F.col("others")).alias("other_blocks"))
+    rows = labelled.join(mixed, "key").join(reps.select("rep", "n_shingles", "registers"), "rep")
+    is_main, deal = F.col("label") == F.col("main"), F.xxhash64("rep")
+    block = F.when(is_main, F.pmod(deal, "main_blocks")).otherwise(F.col("main_blocks") + F.pmod(deal, "other_blocks")).cast("int")
+    # blocks of the bucket's largest label meet the others, not one another
+    other = F.explode(F.sequence(F.when(is_main, F.col("main_blocks")).otherwise(0), F.col("main_blocks") + F.col("other_blocks") - 1))
+    dealt = rows.withColumn("block", block).withColumn("other", other).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
     groups = dealt.groupBy("key", "i", "j").agg(F.collect_list("rep").alias("reps"), F.collect_list("label").alias("labels"), F.collect_list("block").alias("blocks"), F.collect_list("n_shingles").alias("sizes"), F.collect_list("registers").alias("registers"))
     low = least_estimate(percent)
 
@@ -217,13 +224,11 @@ def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80) -> D
     tried = checkpoint(estimated(stars, reps, percent))
     links = checkpoint(confirmed(tried, documents, size, percent))
 
-    near = links.groupBy(F.col("b").alias("rep")).agg(F.min("a").alias("label"))
-    further = near.select(F.col("rep").alias("label"), F.col("label").alias("next"))
-    labels = near.join(further, "label", "left").select("rep", F.coalesce("next", "label").alias("label"))
+    labels = components(links).select(F.col("node").alias("rep"), F.col("root").alias("label"))
     visits = checkpoint(unconnected(shared, reps, labels, percent))
     more = linked_to_groups(visits, reps, labels, documents, size, percent)
 
-    roots = components(links.unionByName(more))
+    roots = components(labels.select(F.col("label").alias("a"), F.col("rep").alias("b")).unionByName(more))
     out = members.join(roots, members["rep"] == roots["node"], "left").select("doc_id", "n_shingles", F.coalesce("root", "rep").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
