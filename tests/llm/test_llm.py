@@ -136,6 +136,21 @@ def test_near_duplicates_in_blocks(documents, texts, monkeypatch):
     assert {i: r["component_id"] for i, r in got.items()} == {i: x[1] for i, x in plain_groups(texts, 3, 85).items()}
 
 
+def test_near_duplicates_around_the_threshold(spark, monkeypatch):
+    """A group of copies of which some are linked only through others, in blocks and without a broadcast."""
+    monkeypatch.setattr(neardup, "BLOCK", 2)
+    monkeypatch.setattr(neardup, "MOST_BROADCAST", 0)
+    r, texts = np.random.default_rng(5), []
+    for i in range(48):
+        words = [f"w{k}" for k in range(200)]
+        for k in r.choice(200, 2 + i % 3, replace=False):
+            words[k] = f"x{i}y{k}"
+        texts.append(" ".join(words))
+    got = rows_of(neardup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 5, 80))
+    assert {i: (x["n_shingles"], x["component_id"], x["kept"]) for i, x in got.items()} == plain_groups(texts, 5, 80)
+    assert len({x["component_id"] for x in got.values()}) > 1
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 101), (None, 3)], "a long, b long")
     got = {r["node"]: r["root"] for r in components.components(edges).collect()}
