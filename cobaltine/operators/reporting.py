@@ -96,3 +96,45 @@ def conversation_summary(conversations: DataFrame) -> DataFrame:
     """Turns, roles and the first words of each conversation."""
     first = F.min_by(F.regexp_replace("text", r"\s+", " "), "turn")
     return conversations.groupBy("conv_id").agg(F.count("*").alias("turns"), F.array_join(F.sort_array(F.collect_set("role")), ",").alias("roles"), F.substring(first, 1, 60).alias("opening"))
+
+
+def shortened(text: Column, most: int) -> Column:
+    """White space as single spaces, at most ``most`` characters, the last one an ellipsis where text was cut."""
+    flat = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
+    return F.when(F.length(flat) <= most, flat).otherwise(F.concat(F.rtrim(F.substring(flat, 1, most - 1)), F.lit("…")))
+
+
+def compacted(conversations: DataFrame, threshold: int = 8, recent: int = 8) -> DataFrame:
+    """(conv_id, turn, role, text): conversations of more than ``threshold`` turns become a summary and their last turns.
+
+    The summary is a system turn, numbered one before the first turn that stays: counts of
+    turns, the first and the last user turn.  Turns without text do not count in it.
+    """
+    back = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn")))
+    placed = conversations.select("conv_id", "turn", "role", "text").withColumn("back", back).withColumn("n", F.count("*").over(Window.partitionBy("conv_id")))
+    kept = placed.filter((F.col("n") <= threshold) | (F.col("back") <= recent)).select("conv_id", "turn", "role", "text")
+    spoken = F.trim(F.coalesce("text", F.lit(""))) != ""
+    user = spoken & (F.col("role") == "user")
+    ask = lambda pick, most: shortened(pick(F.when(user, F.col("text")), F.when(user, F.col("turn"))), most)
+    counted = placed.filter(F.col("n") > threshold).groupBy("conv_id").agg(
+        F.min(F.when(F.col("back") <= recent, F.col("turn"))).alias("first_kept"),
+        F.count_if(spoken).alias("turns"),
+        F.count_if(user).alias("users"),
+        F.count_if(spoken & (F.col("role") == "assistant")).alias("assistants"),
+        ask(F.min_by, 220).alias("goal"),
+        ask(F.max_by, 260).alias("latest"),
+    )
+    latest = F.when((F.col("latest") != "") & (F.col("latest") != F.col("goal")), F.concat(F.lit("Latest: "), "latest"))
+    text = F.concat_ws("\n", F.format_string("Turns: %d, user: %d, assistant: %d", "turns", "users", "assistants"), F.when(F.col("goal") != "", F.concat(F.lit("Goal: "), "goal")), latest)
+    return kept.unionByName(counted.select("conv_id", (F.col("first_kept") - 1).cast(conversations.schema["turn"].dataType).alias("turn"), F.lit("system").alias("role"), text.alias("text")))
+
+
+def identity_summary(rows: DataFrame, fields: list[str], most: int = 5) -> DataFrame:
+    """(field, values): the first values of each field in order, as text; nulls and empty ones are left out.
+
+    Values are made distinct before they are ranked, so no group of rows is collected.
+    """
+    long = rows.select([F.col(f"`{c}`").cast("string").alias(c) for c in fields]).unpivot([], fields, "field", "value").filter("value <> ''").distinct()
+    place = F.row_number().over(Window.partitionBy("field").orderBy("value"))
+    first = long.withColumn("place", place).filter(F.col("place") <= most)
+    return first.groupBy("field").agg(F.array_join(F.sort_array(F.collect_list("value")), ", ").alias("values"))

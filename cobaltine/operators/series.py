@@ -213,3 +213,23 @@ def topdown_by_bom(vehicles: DataFrame, bom: DataFrame) -> DataFrame:
     """Part demand from vehicle volumes: volume times take rate times usage; missing rates count as 1."""
     one = lambda c: F.coalesce(c, F.lit(1.0))
     return vehicles.join(bom, "vehicle").groupBy("part", "month").agg(F.sum(F.col("volume") * one("take_rate") * one("usage")).alias("qty"))
+
+
+def topdown_by_product(volumes: DataFrame, shares: DataFrame, delivered: DataFrame, planned: DataFrame, season: DataFrame) -> DataFrame:
+    """Monthly demand of parts from yearly product demand.
+
+    ``volumes`` (brand, volume) times ``shares`` (brand, product, share) gives each product's
+    demand; ``planned`` (product, part, month, qty), parts that start or end, comes off it.
+    The rest goes to the running parts by their part of ``delivered`` (product, part, qty),
+    a twelfth a month.  Both are multiplied by ``season`` (month, factor), 1 where it has no
+    row.  Returns product, part, month, qty and type (``running`` or ``planned``).
+    """
+    total = volumes.join(shares, "brand").groupBy("product").agg(F.sum(F.col("volume") * F.col("share")).alias("demand"))
+    off = planned.groupBy("product").agg(F.sum("qty").alias("off"))
+    rest = total.join(off, "product", "left").select("product", (F.col("demand") - F.coalesce("off", F.lit(0.0))).alias("rest"))
+    parts = delivered.groupBy("product", "part").agg(F.sum("qty").alias("part_qty")).join(delivered.groupBy("product").agg(F.sum("qty").alias("product_qty")), "product")
+    monthly = F.when(F.col("product_qty") == 0, 0.0).otherwise(F.col("rest") * F.col("part_qty") / F.col("product_qty") / 12)
+    running = parts.join(rest, "product").select("product", "part", F.explode(F.sequence(F.lit(1), F.lit(12))).alias("month"), monthly.alias("qty"), F.lit("running").alias("type"))
+    both = running.unionByName(planned.select("product", "part", "month", "qty", F.lit("planned").alias("type")))
+    factor = F.coalesce("factor", F.lit(1.0))
+    return both.join(season.select("month", "factor"), "month", "left").select("product", "part", "month", F.round(F.col("qty") * factor, 2).alias("qty"), "type")

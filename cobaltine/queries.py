@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import formula
-from .operators import evaluation, reporting, retrieval, series, sheets
+from .operators import catalogue, evaluation, markdown, models, reporting, retrieval, series, sheets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -329,10 +329,10 @@ def bm25_top10(spark, d):
 
 
 @query("""select query_id, vec_id, round(distance, 4) as distance, rank from (select *, row_number() over (partition by query_id order by distance, vec_id) as rank from (
-select q.vec_id as query_id, v.vec_id, list_sum(list_transform(list_zip(q.embedding, v.embedding), lambda p: (p[1]::double - p[2]::double) * (p[1]::double - p[2]::double))) as distance from embeddings q, embeddings v where q.vec_id < 10)) where rank <= 10""")
+select q.vec_id as query_id, v.vec_id, list_sum(list_transform(list_zip(q.embedding, v.embedding), lambda p: (p[1]::double - p[2]::double) * (p[1]::double - p[2]::double))) as distance from embeddings q, embeddings v where q.vec_id % 20 = 0)) where rank <= 10""")
 def dense_top10(spark, d):
     v = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("vector"))
-    return rounded(retrieval.dense(v.filter("vec_id < 10").withColumnRenamed("vec_id", "query_id"), v, "vec_id", 10), "distance")
+    return rounded(retrieval.dense(v.filter("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id"), v, "vec_id", 10), "distance")
 
 
 URL = r"regexp_replace(regexp_replace(regexp_replace(trim(url), '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*', ''), '[?#].*$', ''), '/+$', '')"
@@ -379,6 +379,99 @@ def formula_functions(spark, d):
     return arrays.select("series", F.round(f["sum"][0](F.col("q")), 4).alias("total"), F.round(f["safety_stock"][0](F.col("q")), 4).alias("stock"), F.round(last, 4).alias("level"))
 
 
+@query()
+def holt_winters(spark, d):
+    return models.holt_winters(monthly(spark, d), horizon=12, period=12)
+
+
+@query()
+def auto_arima(spark, d):
+    return models.auto_arima(monthly(spark, d), horizon=12)
+
+
+@query()
+def auto_seasonal(spark, d):
+    return models.auto_seasonal(daily(spark, d))
+
+
+@query()
+def auto_regressive(spark, d):
+    return models.auto_regressive(monthly(spark, d))
+
+
+@query(f"""with {DAILY}, {TAIL.format(n=30)},
+fit as (select series, max(ds) as last_ds, max(n) as n, avg(qty) as m, coalesce(regr_slope(qty, n - back), 0) as slope from tail group by series)
+select series, cast(last_ds + cast(s as integer) as date) as ds, round(greatest(0, m + slope * (s + (n - 1) / 2.0)), 2) as qty from fit, range(1, 8) r(s) where s <= n""")
+def trend_fallback(spark, d):
+    return models.trend_fallback(daily(spark, d))
+
+
+SKILL = """def forecast(points):
+    last = [qty for _, qty in points][-7:]
+    return [sum(last) / len(last)]
+"""
+
+
+@query(f"""with {DAILY}, {TAIL.format(n=7)} select series, cast(max(ds) + 1 as date) as ds, round(avg(qty), 4) as qty, cast(null as varchar) as error from tail group by series""")
+def python_skill(spark, d):
+    return rounded(catalogue.run_python(daily(spark, d), SKILL), "qty")
+
+
+@query("""with v as (select p_type as brand, sum(l_quantity) as volume from lineitem join part on p_partkey = l_partkey group by 1), s as (select p_type as brand, p_brand as product, 0.25 as share from part group by all),
+w as (select p_brand as product, cast(p_partkey as varchar) as part, sum(p_size) as qty from part group by all), p as (select p_brand as product, 'new ' || p_brand as part, 6 as month, 100.0 as qty from part group by all),
+r as (select product, sum(volume * share) - 100 as rest from v join s using (brand) group by 1), t as (select product, sum(qty) as total from w group by 1),
+m as (select product, part, cast(i as integer) as month, rest * qty / total / 12 as qty, 'running' as type from w join r using (product) join t using (product), range(1, 13) x(i) union all select *, 'planned' from p)
+select product, part, month, round(qty * case when month = 1 then 0.5::double else 1 end, 2) as qty, type from m""")
+def topdown_by_product(spark, d):
+    part = table(spark, d, "part")
+    product = F.col("p_brand").alias("product")
+    volumes = table(spark, d, "lineitem").join(part, F.col("p_partkey") == F.col("l_partkey")).groupBy(F.col("p_type").alias("brand")).agg(F.sum("l_quantity").alias("volume"))
+    shares = part.select(F.col("p_type").alias("brand"), product, F.lit(0.25).alias("share")).distinct()
+    delivered = part.select(product, F.col("p_partkey").cast("string").alias("part"), F.col("p_size").cast("double").alias("qty"))
+    planned = part.select(product, F.concat(F.lit("new "), "p_brand").alias("part"), F.lit(6).alias("month"), F.lit(100.0).alias("qty")).distinct()
+    return series.topdown_by_product(volumes, shares, delivered, planned, spark.createDataFrame([(1, 0.5)], "month int, factor double"))
+
+
+FLAT = r"trim(regexp_replace(coalesce({}, ''), '[ \t\n\x0B\f\r]+', ' ', 'g'))"
+CLIPPED = "case when length({x}) <= {n} then {x} else rtrim(substr({x}, 1, {n} - 1)) || '…' end"
+
+
+@query(f"""with c as (select conv_id, turn, role, text, count(*) over (partition by conv_id) as n, row_number() over (partition by conv_id order by turn desc) as back, trim(coalesce(text, '')) <> '' as spoken from conversations),
+a as (select conv_id, min(turn) filter (where back <= 2) as first_kept, count(*) filter (where spoken) as turns, count(*) filter (where spoken and role = 'user') as users, count(*) filter (where spoken and role = 'assistant') as assistants,
+arg_min(text, turn) filter (where spoken and role = 'user') as g, arg_max(text, turn) filter (where spoken and role = 'user') as l from c where n > 3 group by 1),
+f as (select *, {FLAT.format("g")} as gf, {FLAT.format("l")} as lf from a), s as (select *, {CLIPPED.format(x="gf", n=220)} as goal, {CLIPPED.format(x="lf", n=260)} as latest from f)
+select conv_id, turn, role, text from c where n <= 3 or back <= 2 union all
+select conv_id, first_kept - 1, 'system', concat_ws(chr(10), format('Turns: {{}}, user: {{}}, assistant: {{}}', turns, users, assistants), case when goal <> '' then 'Goal: ' || goal end, case when latest <> '' and latest <> goal then 'Latest: ' || latest end) from s""")
+def compacted_conversations(spark, d):
+    return reporting.compacted(table(spark, d, "conversations"), threshold=3, recent=2)
+
+
+@query("""with v as (select distinct 'c_mktsegment' as field, c_mktsegment as value from customer union select distinct 'c_name', c_name from customer), r as (select *, row_number() over (partition by field order by value) as p from v)
+select field, string_agg(value, ', ' order by value) as values from r where p <= 5 group by field""")
+def identity_summary(spark, d):
+    return reporting.identity_summary(table(spark, d, "customer"), ["c_mktsegment", "c_name"])
+
+
+HEADED = "select o_orderkey as id, concat_ws(chr(10), '# ' || o_orderpriority, 'status', '', '## ' || o_orderstatus, '| key | price |', '|---|---|', '| ' || o_custkey || ' |', 'end') as text from orders"
+
+
+def headed(spark, d):
+    """Orders shown as markdown texts; the test tables hold none."""
+    line = F.concat_ws("\n", F.concat(F.lit("# "), "o_orderpriority"), F.lit("status"), F.lit(""), F.concat(F.lit("## "), "o_orderstatus"), F.lit("| key | price |"), F.lit("|---|---|"), F.concat(F.lit("| "), F.col("o_custkey").cast("string"), F.lit(" |")), F.lit("end"))
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), line.alias("text"))
+
+
+@query(f"""with h as ({HEADED}), s as (select id, string_split(text, chr(10)) as t from h) select id, 1 as section, 1 as level, t[1][3:] as title, 0 as parent, t[1][3:] as path, 'status' as body from s
+union all select id, 2, 2, t[4][4:], 1, t[1][3:] || ' > ' || t[4][4:], array_to_string(t[5:], chr(10)) from s""")
+def markdown_sections(spark, d):
+    return markdown.sections(headed(spark, d), "id", "text").withColumn("path", F.array_join("path", " > "))
+
+
+@query("select o_orderkey as id, 2 as section, 6 as line, 'key,price' as headers, o_custkey || ',' as cells from orders")
+def markdown_table_rows(spark, d):
+    return markdown.table_rows(headed(spark, d), "id", "text").withColumns({c: F.array_join(c, ",") for c in ("headers", "cells")})
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
