@@ -134,9 +134,10 @@ def unconnected(shared: DataFrame, reps: DataFrame, labels: DataFrame, percent:
     """Pairs of a document and a smaller label that a member of its buckets has, if the estimate allows a link.
 
     Buckets of three or more members with different labels are compared in blocks; those of
-    the label that most members have are not compared with one another.
+    the label that most members have are not compared with one another.  A bucket's smallest
+    member has met all others before, and a pair is looked at in the first bucket it shares.
     """
-    labelled = shared.filter("members > 2").select("key", "rep").join(labels, "rep", "left").select("key", "rep", F.coalesce("label", "rep").alias("label"))
+    labelled = shared.filter("members > 2 and rep <> a").select("key", "rep").join(labels, "rep", "left").select("key", "rep", F.coalesce("label", "rep").alias("label"))
     per_label = labelled.groupBy("key", "label").agg(F.count("*").alias("n"))
     mixed = per_label.groupBy("key").agg(F.max(F.struct("n", "label")).alias("main"), (F.sum("n") - F.max("n")).alias("others"), F.count("*").alias("n_labels")).filter("n_labels > 1")
     blocks = lambda n: F.ceil(n / BLOCK).cast("int")
@@ -156,9 +157,12 @@ def unconnected(shared: DataFrame, reps: DataFrame, labels: DataFrame, percent:
             for row in range(batch.num_rows):
                 ids, label, block, n, regs = (batch.column(c)[row].values for c in ("reps", "labels", "blocks", "sizes", "registers"))
                 ids, label, block, n, regs = ids.to_numpy(), label.to_numpy(), block.to_numpy(), n.to_numpy(), binary_rows(regs, "<u2", REGISTERS)
-                i, j = batch.column("i")[row].as_py(), batch.column("j")[row].as_py()
+                key, i, j = (batch.column(c)[row].as_py() for c in ("key", "i", "j"))
+                bands = band_keys(regs).view(np.int64)
+                at = int(np.argmax(bands[0] == key))
                 for x in np.flatnonzero(block == i):
                     y = np.flatnonzero((block == j) & (label != label[x]) & (100 * np.minimum(n, n[x]) >= percent * np.maximum(n, n[x])))
+                    y = y[~(bands[y, :at] == bands[x, :at]).any(axis=1)]
                     y = y[estimate(regs[y], regs[x][None]) >= low]
                     found.update((ids[x], o) for o in label[y][label[y] < label[x]].tolist())
                     found.update((o, label[x]) for o in ids[y][label[y] > label[x]].tolist())
