@@ -248,7 +248,7 @@ def order_rows(spark, d):
     return orders.join(customers, "o_custkey").join(nations, "n_nationkey")
 
 
-SUMMARY = """select {dim} as dimension, count(*) as order_count, round(sum(case when o_orderstatus = 'F' then o_totalprice else 0 end), 2) as gmv, round(avg(o_totalprice), 6) as avg_amount
+SUMMARY = """select {dim} as dimension, count(*) as order_count, round(sum(case when o_orderstatus = 'F' then o_totalprice else 0 end), 2) as gmv, round(round(sum(o_totalprice), 2) / count(*), 6) as avg_amount
 from orders join customer on c_custkey = o_custkey join nation on n_nationkey = c_nationkey join region on r_regionkey = n_regionkey where o_orderstatus <> 'P' group by 1"""
 
 
