@@ -192,21 +192,29 @@ def row_merge_freeze(rows: DataFrame, monthly: DataFrame) -> DataFrame:
     return daily.unionByName(rest.select(F.col("month").alias("period"), "qty", F.lit("monthly").alias("type")))
 
 
-def order_gap_blend(orders: DataFrame, totals: DataFrame) -> DataFrame:
-    """Days of the first order's week; what orders and deliveries leave of the week's total is put on its Sunday.
+def order_gap_blend(orders: DataFrame, totals: DataFrame, monthly: bool = False) -> DataFrame:
+    """Days of the first order's period, with what is still missing of the forecast spread over its last days.
 
-    ``orders`` has series, ds and qty, ``totals`` series, forecast and delivered.  The gap may
-    be negative.  Types: daily_order, spread (the Sunday with the gap) and empty.
+    ``orders`` has series, ds and qty, ``totals`` series, forecast and delivered (0 where there
+    is no row).  Where the last of all orders is on or past the period's end, each day is its
+    order or 0, of type daily_order, and nothing is spread.  Else:
+
+    * by week, Monday to Sunday: the Sunday is forecast less deliveries and orders, which may
+      be negative;
+    * ``monthly``, first order to the month's end: the forecast is what remains, and is spread
+      evenly from the day of the last order, whose quantity it replaces, to the end.
+
+    Types: daily_order, spread and empty.
     """
-    monday = orders.groupBy("series").agg(F.date_trunc("week", F.min("ds")).cast("date").alias("monday"))
-    week = monday.select("series", F.explode(F.sequence("monday", F.date_add("monday", 6))).alias("ds"), F.date_add("monday", 6).alias("sunday"))
-    filled = week.join(orders, ["series", "ds"], "left")
-    known = filled.groupBy("series").agg(F.coalesce(F.sum("qty"), F.lit(0.0)).alias("ordered")).join(totals, "series")
-    gap = known.select("series", (F.col("forecast") - F.col("delivered") - F.col("ordered")).alias("gap"))
-    is_gap = (F.col("ds") == F.col("sunday")) & (F.col("gap") != 0)
-    kind = F.when(is_gap, "spread").when(F.col("qty").isNotNull(), "daily_order").otherwise("empty")
-    qty = F.coalesce("qty", F.lit(0.0)) + F.when(is_gap, F.col("gap")).otherwise(0.0)
-    return filled.join(gap, "series").select("series", "ds", F.round(qty, 2).alias("qty"), kind.alias("type"))
+    start, end = (F.min("ds"), F.last_day(F.min("ds"))) if monthly else (F.date_trunc("week", F.min("ds")).cast("date"), F.date_add(F.date_trunc("week", F.min("ds")).cast("date"), 6))
+    period = orders.groupBy("series").agg(start.alias("start"), end.alias("end"), F.max("ds").alias("last"), F.sum("qty").alias("ordered")).join(totals.select("series", "forecast", "delivered"), "series", "left")
+    forecast = F.coalesce("forecast", F.lit(0.0))
+    share = forecast / (F.datediff("end", "last") + 1) if monthly else forecast - F.coalesce("delivered", F.lit(0.0)) - F.col("ordered")
+    spread_from = F.when(F.col("last") < F.col("end"), F.col("last") if monthly else F.col("end"))
+    days = period.select("series", F.explode(F.sequence("start", "end")).alias("ds"), (F.col("last") >= F.col("end")).alias("covered"), spread_from.alias("spread_from"), share.alias("share"))
+    kind = F.when(F.col("ds") >= F.col("spread_from"), "spread").when(F.col("covered") | F.col("qty").isNotNull(), "daily_order").otherwise("empty")
+    qty = F.when(F.col("ds") >= F.col("spread_from"), F.col("share")).otherwise(F.coalesce("qty", F.lit(0.0)))
+    return days.join(orders.select("series", "ds", "qty"), ["series", "ds"], "left").select("series", "ds", F.round(qty, 2).alias("qty"), kind.alias("type"))
 
 
 def topdown_by_bom(vehicles: DataFrame, bom: DataFrame) -> DataFrame:

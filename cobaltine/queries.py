@@ -197,6 +197,33 @@ def order_gap_blend(spark, d):
     return series.order_gap_blend(m.filter("demand > 0").select("series", "ds", F.col("demand").alias("qty")), totals)
 
 
+#: from the rule: series 0 to 39 (mod 40) have their orders of so many days and one, so that some periods are covered and some are not
+GAP = """with {parts}, all_orders as (select series, ds, demand as qty from moves where demand > 0), firsts as (select series, min(ds) as f from all_orders group by series),
+o as (select a.* from all_orders a join firsts using (series) where ds <= f + cast(series % 40 as integer)), totals as (select series, sum(demand) / 100 as forecast, sum(pgi) / 50 as delivered from moves group by series),
+p as (select series, {start} as a, {end} as b, last, n, forecast, delivered from (select series, min(ds) as f, max(ds) as last, sum(qty) as n from o group by series) join totals using (series)),
+days as (select *, unnest(generate_series(a::timestamp, b::timestamp, interval 1 day))::date as ds from p)
+select d.series, d.ds, round(case when last >= b then coalesce(qty, 0) {spread} else coalesce(qty, 0) end, 2) as qty,
+case when last >= b then 'daily_order' when d.ds >= {since} then 'spread' when qty is not null then 'daily_order' else 'empty' end as type from days d left join o on o.series = d.series and o.ds = d.ds"""
+
+
+def gap_inputs(spark, d):
+    m = moves(spark, d)
+    orders = m.filter("demand > 0").select("series", "ds", F.col("demand").alias("qty"))
+    first = orders.groupBy("series").agg(F.min("ds").alias("first"))
+    some = orders.join(first, "series").filter(F.datediff("ds", "first") <= F.col("series") % 40).drop("first")
+    return some, m.groupBy("series").agg((F.sum("demand") / 100).alias("forecast"), (F.sum("pgi") / 50).alias("delivered"))
+
+
+@query(GAP.format(parts=PARTS, start="date_trunc('week', f)::date", end="cast(date_trunc('week', f)::date + 6 as date)", since="b", spread="when d.ds = b then forecast - delivered - n"))
+def order_gap_blend_by_week(spark, d):
+    return series.order_gap_blend(*gap_inputs(spark, d))
+
+
+@query(GAP.format(parts=PARTS, start="f", end="last_day(f)", since="last", spread="when d.ds >= last then forecast / (b - last + 1)"))
+def order_gap_blend_by_month(spark, d):
+    return series.order_gap_blend(*gap_inputs(spark, d), monthly=True)
+
+
 @query("""select p_brand as part, date_trunc('month', o_orderdate)::date as month, round(sum(l_quantity * (1 - l_discount) * 2), 2) as qty
 from lineitem join orders on o_orderkey = l_orderkey join part on p_partkey = l_partkey group by 1, 2""")
 def topdown_by_bom(spark, d):

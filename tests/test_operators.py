@@ -61,6 +61,25 @@ def test_order_gap_goes_to_sunday_and_may_be_negative(spark):
     assert len(got) == 7 and got[date(2025, 12, 7)] == (200.0, "spread") and got[date(2025, 12, 3)] == (100.0, "daily_order")
 
 
+def gap_rows(spark, orders, totals, **options):
+    orders = spark.createDataFrame([("a", date(2025, 12, d), q) for d, q in orders], "series string, ds date, qty double")
+    totals = spark.createDataFrame([("a", *totals)], "series string, forecast double, delivered double")
+    return {r["ds"].day: (r["qty"], r["type"]) for r in series.order_gap_blend(orders, totals, **options).collect()}
+
+
+def test_order_gap_is_not_spread_where_orders_reach_the_end(spark):
+    for late in (7, 20):  # the Sunday, and after it
+        got = gap_rows(spark, [(3, 100.0), (late, 5.0)], (350.0, 50.0))
+        assert got == {d: (0.0, "daily_order") for d in range(1, 8)} | {3: (100.0, "daily_order")} | ({7: (5.0, "daily_order")} if late == 7 else {})
+    assert gap_rows(spark, [(3, 300.0)], (350.0, 50.0))[7] == (0.0, "spread")
+
+
+def test_order_gap_of_a_month_is_spread_from_the_last_order(spark):
+    got = gap_rows(spark, [(20, 10.0), (28, 7.0)], (100.0, 50.0), monthly=True)
+    assert got == {20: (10.0, "daily_order")} | {d: (0.0, "empty") for d in range(21, 28)} | {d: (25.0, "spread") for d in range(28, 32)}
+    assert set(gap_rows(spark, [(30, 10.0), (31, 7.0)], (100.0, 50.0), monthly=True).values()) == {(10.0, "daily_order"), (7.0, "daily_order")}
+
+
 def test_accuracy_of_zero_actual(spark):
     schema = "series string, ds date, qty double"
     got = evaluation.accuracy(spark.createDataFrame([("a", date(2025, 1, 1), 5.0)], schema), spark.createDataFrame([("a", date(2025, 1, 1), 0.0)], schema)).first()
