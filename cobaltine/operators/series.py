@@ -108,13 +108,22 @@ def clamped_balance(moves: DataFrame, begin: Column | float = 0.0) -> DataFrame:
     return stock.withColumn("raw", raw).withColumn("net", F.greatest(F.lit(0.0), -F.col("raw"))).drop("w")
 
 
-def safety_stock_plan(series: DataFrame, window: int = 30, z: float = 1.65, begin: float = 0.0) -> DataFrame:
-    """Daily shipments that keep mean demand plus z deviations covered, from a stock that mean demand draws down."""
-    level = tail(series, window).groupBy("series").agg(F.max("ds").alias("last_ds"), F.max("n").alias("n"), F.avg("qty").alias("mean"), F.stddev_pop("qty").alias("deviation"))
+def safety_stock_plan(series: DataFrame, window: int = 30, z: float = 1.65, begin: float = 0.0, deliveries: DataFrame | None = None) -> DataFrame:
+    """Daily shipments that keep mean demand plus z deviations covered, from a stock that mean demand draws down.
+
+    ``deliveries`` (series, step, qty) are what is on its way and arrives on the step-th day
+    ahead; it lessens that day's shipment and adds to the stock.  A day without a row gets none.
+    """
+    level = tail(series, window).groupBy("series").agg(F.max("ds").alias("last_ds"), F.max("n").alias("n"), F.avg("qty").alias("demand"), F.stddev_pop("qty").alias("deviation"))
     days = ahead(level, F.least(F.col("n"), F.lit(30)).cast("int"))
-    stock = F.greatest(F.lit(0.0), F.lit(begin) - F.col("mean") * (F.col("step") - 1))
-    ship = F.greatest(F.lit(0.0), F.col("mean") + z * F.col("deviation") - stock)
-    return days.select("series", "ds", F.round(ship, 2).alias("qty"), F.round(F.greatest(F.lit(0.0), stock - F.col("mean")), 2).alias("inventory"))
+    if deliveries is None:
+        days = days.withColumn("supply", F.lit(0.0))
+    else:
+        arriving = deliveries.groupBy("series", "step").agg(F.sum("qty").alias("supply"))
+        days = days.join(arriving, ["series", "step"], "left").withColumn("supply", F.coalesce("supply", F.lit(0.0)))
+    # raw is the stock before the day plus its delivery less mean demand
+    ship = F.greatest(F.lit(0.0), z * F.col("deviation") - F.col("raw"))
+    return clamped_balance(days, begin).select("series", "ds", F.round(ship, 2).alias("qty"), F.round("stock", 2).alias("inventory"))
 
 
 def inventory_optimization(series: DataFrame, service_level: float = 0.95, **params) -> DataFrame:

@@ -123,6 +123,30 @@ def safety_stock_plan(spark, d):
     return series.safety_stock_plan(daily(spark, d), begin=50.0)
 
 
+#: the first 30 deliveries of each series, by date, play the ones on their way; the SQL is the reference's loop
+DELIVERED = """with recursive {parts}, {daily}, {tail}, level as (select series, max(ds) as last_ds, max(n) as n, avg(qty) as m, stddev_pop(qty) as sd from tail group by series),
+arriving as (select series, row_number() over (partition by series order by ds) as s, pgi from moves where pgi > 0),
+days as (select l.*, s, coalesce(pgi, 0) as p from level l cross join range(1, 31) r(s) left join arriving a using (series, s) where s <= least(n, 30)),
+plan as (select series, 0 as s, 50::double as inv, null::double as ship from level
+  union all select d.series, d.s, greatest(0, inv + p - m), greatest(0, m + {z}::double * sd - inv - p) from plan join days d on d.series = plan.series and d.s = plan.s + 1)
+select series, cast(last_ds + cast(s as integer) as date) as ds, round(ship, 2) as qty, round(inv, 2) as inventory from plan join level using (series) where s > 0"""
+
+
+def on_their_way(spark, d):
+    step = F.row_number().over(series.in_order())
+    return moves(spark, d).filter("pgi > 0").select("series", step.alias("step"), F.col("pgi").alias("qty")).filter("step <= 30")
+
+
+@query(DELIVERED.format(parts=PARTS, daily=DAILY, tail=TAIL.format(n=30), z=1.65))
+def safety_stock_plan_delivered(spark, d):
+    return series.safety_stock_plan(daily(spark, d), begin=50.0, deliveries=on_their_way(spark, d))
+
+
+@query(DELIVERED.format(parts=PARTS, daily=DAILY, tail=TAIL.format(n=30), z=1.6448536269514722))
+def inventory_optimization_delivered(spark, d):
+    return series.inventory_optimization(daily(spark, d), begin=50.0, deliveries=on_their_way(spark, d))
+
+
 JIT = """with {parts}, placed as (select *, isoyear(ds) as y, week(ds) as w, case when jit > 0 then jit else demand end as fixed from moves),
 weeks as (select series, count(distinct (y, w)) as weeks, sum(demand + jit + pgi) as total from placed group by series),
 filled as (select p.*, {weekly} - sum(pgi) over k - sum(fixed) over k as rest, sum(case when jit > 0 then 0 else 1 end) over k as free from placed p join weeks using (series) window k as (partition by series, y, w))

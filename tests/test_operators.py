@@ -80,6 +80,21 @@ def test_order_gap_of_a_month_is_spread_from_the_last_order(spark):
     assert set(gap_rows(spark, [(30, 10.0), (31, 7.0)], (100.0, 50.0), monthly=True).values()) == {(10.0, "daily_order"), (7.0, "daily_order")}
 
 
+def test_safety_stock_counts_deliveries(spark):
+    demand = [4.0, 8.0, 6.0, 2.0, 10.0]
+    rows = spark.createDataFrame([("a", date(2025, 1, i + 1), q) for i, q in enumerate(demand)], "series string, ds date, qty double")
+    arriving = spark.createDataFrame([("a", 1, 3.0), ("a", 3, 20.0), ("a", 9, 5.0), ("b", 1, 7.0)], "series string, step int, qty double")
+    mean, deviation = 6.0, 8.0**0.5
+    for plan, z in ((series.safety_stock_plan, 1.65), (series.inventory_optimization, 1.6448536269514722)):
+        stock, expected = 2.0, []
+        for delivered in (3.0, 0.0, 20.0, 0.0, 0.0):
+            ship = max(0.0, mean + z * deviation - stock - delivered)
+            stock = max(0.0, stock + delivered - mean)
+            expected.append((round(ship, 2), round(stock, 2)))
+        got = plan(rows, begin=2.0, deliveries=arriving).orderBy("ds").collect()
+        assert [(r["qty"], r["inventory"]) for r in got] == expected
+
+
 def test_accuracy_of_zero_actual(spark):
     schema = "series string, ds date, qty double"
     got = evaluation.accuracy(spark.createDataFrame([("a", date(2025, 1, 1), 5.0)], schema), spark.createDataFrame([("a", date(2025, 1, 1), 0.0)], schema)).first()
