@@ -41,9 +41,10 @@ def profile(series: DataFrame) -> DataFrame:
 
 
 def mann_kendall(series: DataFrame, critical: float = 1.96) -> DataFrame:
-    """Trend by the sign of all ordered pairs (no tie correction); null statistics under four rows.
+    """Trend by the sign of all ordered pairs (no tie correction).
 
-    Pairs are compared inside each series' own array.
+    Under four rows z is null, and the trend is whether the mean of the second half, the longer
+    one, is more than 10 % above or below the mean of the first (0 where that has no row).  Pairs are compared inside each series' own array.
     """
     ordered = F.transform(F.sort_array(F.collect_list(F.struct("ds", "qty"))), lambda p: p["qty"])
     grouped = series.groupBy("series").agg(ordered.alias("q")).withColumn("n", F.size("q"))
@@ -52,8 +53,13 @@ def mann_kendall(series: DataFrame, critical: float = 1.96) -> DataFrame:
     variance = F.col("n") * (F.col("n") - 1) * (2 * F.col("n") + 5) / 18.0
     z = F.when(F.col("s") > 0, (F.col("s") - 1) / F.sqrt(variance)).when(F.col("s") < 0, (F.col("s") + 1) / F.sqrt(variance)).otherwise(0.0)
     known = s.withColumn("z", F.when(F.col("n") >= 4, F.round(z, 4)))
-    trend = F.when(F.col("z") > critical, "rising").when(F.col("z") < -critical, "falling").otherwise("stable")
-    return known.select("series", F.col("s").cast("bigint").alias("s"), "z", trend.alias("trend"))
+    total = lambda q: F.aggregate(q, F.lit(0.0), lambda t, x: t + x)
+    mid = F.floor(F.col("n") / 2).cast("int")
+    first = F.when(mid > 0, total(F.slice("q", F.lit(1), mid)) / mid).otherwise(0.0)
+    second = total(F.slice("q", mid + 1, F.col("n"))) / (F.col("n") - mid)
+    few = F.when(second > first * 1.1, "rising").when(second < first * 0.9, "falling")
+    trend = F.when(F.col("n") < 4, few).when(F.col("z") > critical, "rising").when(F.col("z") < -critical, "falling")
+    return known.select("series", F.col("s").cast("bigint").alias("s"), "z", F.coalesce(trend, F.lit("stable")).alias("trend"))
 
 
 def autocorrelation(series: DataFrame, most: int = 14) -> DataFrame:

@@ -292,6 +292,17 @@ def autocorrelation(spark, d):
     return evaluation.autocorrelation(monthly(spark, d))
 
 
+@query()
+def mann_kendall_daily(spark, d):
+    """Over days the SQL's pairs are too many; tests hold both daily queries against plain loops."""
+    return evaluation.mann_kendall(daily(spark, d))
+
+
+@query()
+def autocorrelation_daily(spark, d):
+    return evaluation.autocorrelation(daily(spark, d))
+
+
 def order_rows(spark, d):
     customers = table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_mktsegment").alias("channel"), F.col("c_nationkey").alias("n_nationkey"))
     nations = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", F.col("r_name").alias("region"))

@@ -1,9 +1,11 @@
-from datetime import date
+from datetime import date, datetime, timedelta
+from random import Random
 
 from pyspark.sql import functions as F
 
 from cobaltine.functions import formula
 from cobaltine.operators import evaluation, reporting, retrieval, series, sheets
+from cobaltine.queries import queries
 
 
 def one(spark, expression):
@@ -101,6 +103,39 @@ def test_accuracy_of_zero_actual(spark):
     assert (got["mape"], got["smape"], got["data_points"]) == (None, 200.0, 1)
 
 
+def test_trend_of_short_series(spark):
+    known = {"up": [10, 20, 30], "down": [30, 20, 10], "flat": [10, 10, 11], "two": [10, 12], "edge": [100, 110], "one": [5], "zero": [0], "four": [1, 2, 3, 4]}
+    rows = [(k, date(2025, 1, i + 1), float(q)) for k, qs in known.items() for i, q in enumerate(qs)]
+    got = {r["series"]: (r["z"], r["trend"]) for r in evaluation.mann_kendall(spark.createDataFrame(rows, "series string, ds date, qty double")).collect()}
+    assert {k: t for k, (_, t) in got.items()} == {"up": "rising", "down": "falling", "flat": "stable", "two": "rising", "edge": "stable", "one": "rising", "zero": "stable", "four": "stable"}
+    assert [k for k, (z, _) in got.items() if z is not None] == ["four"]
+
+
+def test_daily_trend_and_autocorrelation_are_the_plain_loops(spark, tmp_path):
+    r, lines, known = Random(7), [], {}
+    for key, n in ((1, 3), (2, 13), (3, 14), (4, 40), (5, 61)):
+        known[key] = [float(r.randrange(1, 30) + i * (key - 3) // 4) for i in range(n)]
+        lines += [(key, datetime(2025, 1, 1) + timedelta(days=2 * i), q) for i, q in enumerate(known[key])]
+    spark.createDataFrame(lines, "l_suppkey long, l_shipdate timestamp, l_quantity double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    trends = {x["series"]: (x["s"], x["z"], x["trend"]) for x in queries()["mann_kendall_daily"](spark, str(tmp_path)).collect()}
+    acf = {(x["series"], x["lag"]): x["acf"] for x in queries()["autocorrelation_daily"](spark, str(tmp_path)).collect()}
+    lags = set()
+    for key, q in known.items():
+        n, mean = len(q), sum(q) / len(q)
+        s = sum((q[j] > q[i]) - (q[j] < q[i]) for i in range(n) for j in range(i + 1, n))
+        z = (s - (s > 0) + (s < 0)) / (n * (n - 1) * (2 * n + 5) / 18) ** 0.5
+        assert trends[key][0] == s
+        if n < 4:
+            first, second = q[0], (q[1] + q[2]) / 2
+            assert trends[key][1:] == (None, "rising" if second > 1.1 * first else "falling" if second < 0.9 * first else "stable")
+        else:
+            assert abs(trends[key][1] - z) < 1e-4 and trends[key][2] == ("rising" if z > 1.96 else "falling" if z < -1.96 else "stable")
+        for k in range(1, min(n // 2, 14) + 1) if n >= 14 else ():
+            lags.add((key, k))
+            assert abs(acf[key, k] - sum((q[i] - mean) * (q[i - k] - mean) for i in range(k, n)) / sum((x - mean) ** 2 for x in q)) < 1e-3
+    assert set(acf) == lags and {t for *_, t in trends.values()} > {"stable"}
+
+
 def test_sheet_operators(spark):
     cells = spark.createDataFrame([("s", 1, 1, "id"), ("s", 1, 2, "2025-01"), ("s", 2, 1, "p1"), ("s", 2, 2, "1,200"), ("s", 3, 1, None), ("s", 3, 2, "7")], "sheet string, row int, col int, value string")
     got = sheets.unpivot_header(sheets.clean(cells), ["id"], 1, r"^\d{4}").collect()
