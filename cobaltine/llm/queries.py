@@ -32,15 +32,17 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.dedup_windows(table(spark, sf_dir, "documents"), window=13).drop("kept")
 
 
-#: the table has plain turns only: each user turn counts as a call of this tool, the turn after it as its result
-REPLY = {"reply": {"type": "object", "required": ["text", "turn"], "properties": {"text": {"type": "string"}, "turn": {"type": "integer"}}, "additionalProperties": False}}
+#: the table has plain turns only: each user turn counts as a call of this tool, the turn after it as its result, and the result before it as what it refers to
+REPLY = {"reply": {"type": "object", "required": ["text", "turn"], "properties": {"text": {"type": "string"}, "turn": {"type": "integer"}, "after": {"type": "object"}}, "additionalProperties": False}}
 
 
 def op4_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     named = lambda turn: F.concat_ws("-", F.lit("call"), F.col("conv_id"), turn)
-    arguments = F.to_json(F.struct("turn", "text"))
-    calls = turns.filter("role = 'user'").select("conv_id", named(F.col("turn")).alias("call_id"), "turn", F.lit("reply").alias("name"), arguments.alias("arguments"))
+    answered = turns.filter("role = 'assistant'").select("conv_id", (F.col("turn") + 1).alias("turn"), F.lit(True).alias("answered")).distinct()
+    after = F.when(F.col("answered"), F.struct(named(F.col("turn") - 2).alias("$result")))
+    arguments = F.to_json(F.struct("turn", "text", after.alias("after")))
+    calls = turns.filter("role = 'user'").join(answered, ["conv_id", "turn"], "left").select("conv_id", named(F.col("turn")).alias("call_id"), "turn", F.lit("reply").alias("name"), arguments.alias("arguments"))
     results = turns.filter("role = 'assistant'").select("conv_id", named(F.col("turn") - 1).alias("call_id"), "turn", F.col("text").alias("content"))
     return toolcalls.link(calls, results, REPLY).drop("problems")
 

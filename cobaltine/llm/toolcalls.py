@@ -71,26 +71,47 @@ def checked(calls: DataFrame, schemas: dict[str, dict]) -> DataFrame:
                 wrong.append(problems(value, schemas[name]) if name in schemas else ["unknown tool"])
             yield pa.record_batch([*map(batch.column, names), pa.array(texts, pa.string()), pa.array(refs, pa.list_(pa.string())), pa.array(wrong, pa.list_(pa.string()))], [*names, "arguments", "refs", "problems"])
 
-    names = ["conv_id", "call_id", "turn", "name"]
-    return calls.select(*names, "arguments").mapInArrow(check, "conv_id long, call_id string, turn long, name string, arguments string, refs array<string>, problems array<string>")
+    names = ["conv_id", "call_id", "turn", "name", "n_calls"]
+    return calls.select(*names, "arguments").mapInArrow(check, "conv_id long, call_id string, turn long, name string, n_calls long, arguments string, refs array<string>, problems array<string>")
+
+
+def chains(single: DataFrame) -> DataFrame:
+    """(conv_id, call_id, root, steps): where each chain of calls with one reference each ends, and how far that is.
+
+    Each round doubles the steps that are known.  Calls on a cycle, or after one, are left out.
+    """
+    longest = single.groupBy("conv_id").count().agg(F.max("count")).first()[0] or 0
+    hops, reach = checkpoint(single.select("conv_id", "call_id", F.col("ref").alias("root"), F.lit(1).alias("steps"))), 1
+    inner = single.select("conv_id", F.col("call_id").alias("root"))
+    while reach <= longest and hops.join(inner, ["conv_id", "root"], "left_semi").limit(1).count():
+        further = hops.select("conv_id", F.col("call_id").alias("root"), F.col("root").alias("next"), F.col("steps").alias("more"))
+        met = hops.join(further, ["conv_id", "root"], "left")
+        hops, reach = checkpoint(met.select("conv_id", "call_id", F.coalesce("next", "root").alias("root"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"))), 2 * reach
+    return hops.join(inner, ["conv_id", "root"], "left_anti")
 
 
 def levels(calls: DataFrame) -> DataFrame:
     """(conv_id, call_id, level); a call on a cycle, or after one, has none.  References to unknown ids count as level -1."""
     edges = calls.select("conv_id", "call_id", F.explode("refs").alias("ref"))
     known = calls.select("conv_id", F.col("call_id").alias("ref"))
-    waits = checkpoint(edges.join(known, ["conv_id", "ref"], "left_semi").distinct())
-    done = calls.select("conv_id", "call_id").join(waits.select("conv_id", "call_id").distinct(), ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(0))
-    while True:  # one round for each level of references
-        if not waits.count():
-            return done
+    edges = checkpoint(edges.join(known, ["conv_id", "ref"], "left_semi").distinct())
+    counted = edges.groupBy("conv_id", "call_id").agg(F.count("*").alias("n"), F.min("ref").alias("ref"))
+    single = checkpoint(counted.filter("n = 1").drop("n"))
+    ends = checkpoint(chains(single))
+    joins = edges.join(counted.filter("n > 1").select("conv_id", "call_id"), ["conv_id", "call_id"], "left_semi")
+    ahead = ends.select("conv_id", F.col("call_id").alias("ref"), "root", "steps")
+    waits = checkpoint(joins.join(ahead, ["conv_id", "ref"], "left").select("conv_id", "call_id", F.coalesce("root", "ref").alias("ref"), F.coalesce("steps", F.lit(0)).alias("steps")))
+    done = calls.select("conv_id", "call_id").join(counted, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(0))
+    while waits.count():  # one round for each level of calls with several references
         met = waits.join(done.select("conv_id", F.col("call_id").alias("ref"), "level"), ["conv_id", "ref"], "left")
-        ready = met.groupBy("conv_id", "call_id").agg(F.count("*").alias("n"), F.count("level").alias("n_done"), F.max("level").alias("level")).filter("n = n_done").select("conv_id", "call_id", (F.col("level") + 1).alias("level"))
+        ready = met.groupBy("conv_id", "call_id").agg(F.count("*").alias("n"), F.count("level").alias("n_done"), F.max(F.col("level") + F.col("steps")).alias("level")).filter("n = n_done").select("conv_id", "call_id", (F.col("level") + 1).alias("level"))
         ready = checkpoint(ready)
         if not ready.count():
-            return done
+            break
         done = checkpoint(done.unionByName(ready))
         waits = checkpoint(waits.join(ready.select("conv_id", "call_id"), ["conv_id", "call_id"], "left_anti"))
+    chained = ends.join(done.select("conv_id", F.col("call_id").alias("root"), "level"), ["conv_id", "root"])
+    return done.unionByName(chained.select("conv_id", "call_id", (F.col("level") + F.col("steps")).alias("level")))
 
 
 def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
@@ -98,18 +119,18 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Data
 
     Returns for each identifier: conv_id, call_id, call_turn, result_turn, status (linked,
     unanswered, orphan for a result without call, early for a result before its call),
-    n_results, level, valid, problems and canonical.  Of several calls or results with one
+    n_calls, n_results, level, valid, problems and canonical.  Of several calls or results with one
     identifier the one of the smallest turn, then smallest content, counts.  Rows without
     conv_id or call_id take no part.  Arguments that are null or no JSON are a problem of
     the call, not an error.
     """
     both = "conv_id is not null and call_id is not null"
     least = lambda df, *values: df.filter(both).groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", *values)).alias("x"), F.count("*").alias("n")).select("conv_id", "call_id", "x.*", "n")
-    calls = checkpoint(checked(least(calls, "name", "arguments"), schemas))
+    calls = checkpoint(checked(least(calls, "name", "arguments").withColumnRenamed("n", "n_calls"), schemas))
     results = least(results, "content").select("conv_id", "call_id", F.col("turn").alias("result_turn"), "content", F.col("n").alias("n_results"))
     joined = calls.withColumnRenamed("turn", "call_turn").join(results, ["conv_id", "call_id"], "full").join(levels(calls), ["conv_id", "call_id"], "left")
     status = F.when(F.col("name").isNull() & F.col("call_turn").isNull(), "orphan").when(F.col("n_results").isNull(), "unanswered").when(F.col("result_turn") < F.col("call_turn"), "early").otherwise("linked")
-    out = joined.select("conv_id", "call_id", "call_turn", "result_turn", status.alias("status"), F.coalesce("n_results", F.lit(0)).alias("n_results"), "level", F.coalesce(F.size("problems") == 0, F.lit(False)).alias("valid"), F.coalesce("problems", F.array().cast("array<string>")).alias("problems"), "name", "arguments", "content")
+    out = joined.select("conv_id", "call_id", "call_turn", "result_turn", status.alias("status"), F.coalesce("n_calls", F.lit(0)).alias("n_calls"), F.coalesce("n_results", F.lit(0)).alias("n_results"), "level", F.coalesce(F.size("problems") == 0, F.lit(False)).alias("valid"), F.coalesce("problems", F.array().cast("array<string>")).alias("problems"), "name", "arguments", "content")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -119,5 +140,5 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Data
                 texts.append(canonical({"id": r["call_id"], "name": r["name"], "arguments": arguments, "result": r["content"], "status": r["status"]}))
             yield pa.record_batch([*map(batch.column, kept), pa.array(texts, pa.string())], [*kept, "canonical"])
 
-    kept = ["conv_id", "call_id", "call_turn", "result_turn", "status", "n_results", "level", "valid", "problems"]
-    return out.mapInArrow(write, "conv_id long, call_id string, call_turn long, result_turn long, status string, n_results long, level int, valid boolean, problems array<string>, canonical string")
+    kept = ["conv_id", "call_id", "call_turn", "result_turn", "status", "n_calls", "n_results", "level", "valid", "problems"]
+    return out.mapInArrow(write, "conv_id long, call_id string, call_turn long, result_turn long, status string, n_calls long, n_results long, level int, valid boolean, problems array<string>, canonical string")

@@ -11,6 +11,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
+from cobaltine.llm import queries as llm_queries
 from cobaltine.llm import bpe, components, containment, langid, linededup, multiindex, neardup, pii, resampling, toolcalls, windows
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -276,6 +277,26 @@ def test_tool_calls(spark):
     assert json.loads(got["o"]["canonical"])["arguments"] is None
 
 
+def test_levels_of_long_chains_and_joins(spark):
+    refs = {(1, f"c{i}"): [f"c{i - 1}"] if i else ["unknown"] for i in range(70)}
+    refs |= {(2, "a"): [], (2, "b"): ["a"], (2, "c"): ["b"], (2, "m"): ["a", "c"], (2, "d"): ["m"], (2, "n"): ["d", "m"], (2, "x"): ["y"], (2, "y"): ["x"], (2, "z"): ["y"], (2, "w"): ["a", "z"], (2, "v"): ["w"]}
+    calls = [(c, k, i, "f", json.dumps({"x": [{"$result": x} for x in r]})) for i, ((c, k), r) in enumerate(refs.items())]
+    calls += [(1, "c0", 500, "f", "{}"), (1, "c0", 501, "f", "{}")]
+    frame = spark.createDataFrame(calls, "conv_id long, call_id string, turn long, name string, arguments string")
+    got = {(r["conv_id"], r["call_id"]): r for r in toolcalls.link(frame, spark.createDataFrame([], "conv_id long, call_id string, turn long, content string"), {"f": {}}).collect()}
+    expected = {(1, f"c{i}"): i for i in range(70)} | {(2, k): v for k, v in {"a": 0, "b": 1, "c": 2, "m": 3, "d": 4, "n": 5, "x": None, "y": None, "z": None, "w": None, "v": None}.items()}
+    assert {k: r["level"] for k, r in got.items()} == expected
+    assert got[1, "c0"]["n_calls"] == 3 and got[1, "c1"]["n_calls"] == 1
+
+
+def test_tool_calls_of_turns(spark, tmp_path):
+    turns = [(1, 0, "system", "s"), (1, 1, "user", "a"), (1, 2, "assistant", "b"), (1, 3, "user", "c"), (1, 3, "user", "d"), (1, 4, "assistant", "e"), (1, 5, "user", "f"), (2, 0, "user", "g"), (2, 1, "user", "h")]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {(r["conv_id"], r["call_turn"]): r for r in llm_queries.op4_tool_calls(spark, str(tmp_path)).collect()}
+    assert {k: (r["level"], r["n_calls"], r["status"], r["valid"]) for k, r in got.items()} == {(1, 1): (0, 1, "linked", True), (1, 3): (1, 2, "linked", True), (1, 5): (2, 1, "unanswered", True), (2, 0): (0, 1, "unanswered", True), (2, 1): (0, 1, "unanswered", True)}
+    assert json.loads(got[1, 3]["canonical"])["arguments"] == {"turn": 3, "text": "c", "after": {"$result": "call-1-1"}}
+
+
 def test_empty_tables(spark, documents):
     none = documents.limit(0)
     assert windows.dedup_windows(none).count() == 0
