@@ -238,6 +238,16 @@ def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80) -> D
 
 
 def without_near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``documents``, all columns, that ``near_duplicates`` keeps; of rows with the same doc_id, each."""
-    kept = near_duplicates(documents, size, percent).filter("kept").select("doc_id").distinct()
-    return documents.join(kept, "doc_id", "left_semi").select(documents.columns)
+    """The rows of ``documents``, all columns, that ``near_duplicates`` keeps.
+
+    Of rows with the same doc_id and text one stays.  Rows without doc_id cannot be told
+    apart and all stay.
+    """
+    named = documents.filter("doc_id is not null")
+    repeated = checkpoint(named.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"))
+    repeated = F.broadcast(repeated) if repeated.count() <= MOST_BROADCAST else repeated
+    kept = near_duplicates(named, size, percent).filter("kept").select("doc_id").distinct()
+    once = named.join(repeated, "doc_id", "left_anti").join(kept, "doc_id", "left_semi")
+    # only texts of repeated ids are dealt out anew
+    more = named.join(repeated, "doc_id", "left_semi").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return once.select(documents.columns).unionByName(more.select(documents.columns)).unionByName(documents.filter("doc_id is null"))

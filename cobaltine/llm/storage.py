@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Writes ``df`` once to the shared checkpoint folder and returns a frame that reads it.
+def shared_folder(session: SparkSession) -> str:
+    """The session's checkpoint folder, which all executors share.
 
-    The folder is the session's ``spark.checkpoint.dir``.  Only a local session that has
-    none gets one, below its warehouse; a cluster without the setting is an error.
+    It is the session's ``spark.checkpoint.dir``.  Only a local session that has none gets
+    one, below its warehouse; a cluster without the setting is an error.
     """
-    session = df.sparkSession
     context = session.sparkContext
     if context.getCheckpointDir() is None:
         folder = session.conf.get("spark.checkpoint.dir", None)
@@ -20,4 +19,10 @@ def checkpoint(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             folder = session.conf.get("spark.sql.warehouse.dir") + "/checkpoints"
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Writes ``df`` once to the shared checkpoint folder and returns a frame that reads it."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

@@ -5,11 +5,14 @@ Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kep
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cobaltine.llm import bpe, containment, langid, linededup, neardup
+from cobaltine.llm.storage import shared_folder
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -30,7 +33,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of each group of near duplicates (five words, 0.8).  Rows without doc_id are left out."""
+    """Keeps the smallest doc_id of each group of near duplicates (five words, 0.8), and all rows without doc_id."""
     return neardup.without_near_duplicates(docs.select(*COLUMNS), size=5, percent=80)
 
 
@@ -58,7 +61,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    """Each stage is written to Parquet below ``spark.checkpoint.dir`` and read again, so that none is computed twice."""
+    folder, docs = f"{shared_folder(spark)}/pipeline-{uuid4().hex}", spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
     return docs

@@ -5,6 +5,7 @@ import json
 import random
 import re
 
+import corpus_pipeline
 import numpy as np
 import public_tokenizers
 import pytest
@@ -152,6 +153,30 @@ def test_near_duplicates_around_the_threshold(spark, monkeypatch):
     assert len({x["component_id"] for x in got.values()}) > 1
 
 
+def test_near_duplicates_keep_one_of_repeated_rows_and_all_without_id(spark):
+    text = "one two three four five six seven"
+    rows = [(1, text, "x"), (1, text, "x"), (2, text, "x"), (3, "other words here", "x"), (None, text, "x"), (None, None, "y"), (4, None, "z"), (4, None, "z"), (5, "eight nine", "x"), (5, "ten eleven", "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = neardup.without_near_duplicates(df)
+    assert got.columns == df.columns
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([rows[0], rows[3], rows[4], rows[5], rows[6], rows[8], rows[9]], key=str)
+
+
+def test_pipeline_writes_each_stage(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    seen = []
+
+    def stage(session, docs, sf_dir):
+        seen.append(docs.inputFiles())
+        return docs.withColumn("text", F.concat("text", F.lit("!")))
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("first", stage), ("second", stage)])
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert sorted(r["text"] for r in out.collect()) == ["a!!", "b!!"]
+    folder = spark.sparkContext.getCheckpointDir().rpartition("/")[2] + "/pipeline-"
+    assert all("/first/" in f and folder in f for f in seen[1]) and all("/second/" in f and folder in f for f in out.inputFiles())
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 101), (None, 3)], "a long, b long")
     got = {r["node"]: r["root"] for r in components.components(edges).collect()}
