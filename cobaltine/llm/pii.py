@@ -22,6 +22,8 @@ class Kind:
     score: float
     context: tuple[str, ...]
     base: bool = True
+    #: 1 for a pattern that only looks ahead, so that matches may overlap: they are tried at each blank, longest first
+    group: int = 0
 
 
 KINDS = (
@@ -29,7 +31,7 @@ KINDS = (
     Kind("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", 0.6, ("ip", "host", "server", "address")),
     Kind("card", r"[0-9](?:[ -]?[0-9])++", 0.8, ("card", "credit", "debit", "visa", "pay")),
     Kind("phone", r"\+[0-9][ ().0-9-]+[0-9]", 0.6, ("phone", "call", "tel", "fax", "mobile")),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", 0.8, ("iban", "account", "bank"), base=False),
+    Kind("iban", r"(?<![A-Za-z0-9])(?=([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?![A-Za-z0-9]))", 0.8, ("iban", "account", "bank"), base=False, group=1),
 )
 CONTEXT_CHARS, CONTEXT_SCORE = 40, 0.2
 
@@ -72,13 +74,22 @@ def is_valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
+def longest_valid(kind: str, value: Column) -> Column:
+    """``value`` less as few of its blank-separated last blocks as make it valid, or null."""
+    blocks = F.split(value, " ")
+    ends = F.transform(F.sequence(F.size(blocks), F.lit(1), F.lit(-1)), lambda n: F.array_join(F.slice(blocks, F.lit(1), n), " "))
+    return F.get(F.filter(ends, lambda v: is_valid(kind, v)), F.lit(0))
+
+
 def spans_of(kind: Kind, text: Column, found: Column) -> Column:
     """array<struct<kind, start, end, score>> of the valid ones of ``found``, the matches in ``text``.
 
-    What stands between the matches tells where they start.
+    What stands between the matches tells where they start.  A pattern that looks ahead
+    matches between characters; a blank before the text keeps its gap at a match at the start.
     """
     none = F.expr("cast(array() as array<struct<kind: string, start: int, end: int, score: double>>)")
-    steps = F.zip_with(F.split(text, kind.pattern, -1), found, lambda gap, value: F.struct(F.length(gap).alias("gap"), value.alias("value")))
+    gaps = F.split(F.concat(F.lit(" "), text) if kind.group else text, kind.pattern, -1)
+    steps = F.zip_with(gaps, found, lambda gap, value: F.struct(F.length(gap).alias("gap"), (longest_valid(kind.name, value) if kind.group else value).alias("value")))
 
     def step(a: Column, x: Column) -> Column:
         start = a["at"] + x["gap"]
@@ -86,10 +97,13 @@ def spans_of(kind: Kind, text: Column, found: Column) -> Column:
         before = F.lower(F.substr(text, F.greatest(start - CONTEXT_CHARS, F.lit(0)) + 1, F.least(start, F.lit(CONTEXT_CHARS))))
         score = F.lit(kind.score) + F.when(before.rlike(r"\b(?:" + "|".join(kind.context) + ")"), CONTEXT_SCORE).otherwise(0.0)
         span = F.struct(F.lit(kind.name).alias("kind"), start.alias("start"), end.alias("end"), score.alias("score"))
-        keep = x["value"].isNotNull() & is_valid(kind.name, x["value"])
-        return F.struct(end.alias("at"), F.when(keep, F.concat(a["spans"], F.array(span))).otherwise(a["spans"]).alias("spans"))
+        if kind.group:  # of overlapping ones the first stays
+            keep = x["value"].isNotNull() & (start >= F.coalesce(F.try_element_at(a["spans"], F.lit(-1))["end"], F.lit(0)))
+        else:
+            keep = x["value"].isNotNull() & is_valid(kind.name, x["value"])
+        return F.struct((start if kind.group else end).alias("at"), F.when(keep, F.concat(a["spans"], F.array(span))).otherwise(a["spans"]).alias("spans"))
 
-    start = F.struct(F.lit(0).alias("at"), none.alias("spans"))
+    start = F.struct(F.lit(-1 if kind.group else 0).alias("at"), none.alias("spans"))
     return F.when(F.size(found) > 0, F.aggregate(steps, start, step)["spans"]).otherwise(none)
 
 
@@ -102,7 +116,7 @@ def find_pii(documents: DataFrame) -> DataFrame:
     lost, and a repeated row gives a repeated row.
     """
     text = F.coalesce("text", F.lit("")).alias("text")
-    found = documents.select("doc_id", text).select("doc_id", "text", *[F.regexp_extract_all("text", F.lit(k.pattern), F.lit(0)).alias(f"found_{k.name}") for k in KINDS])
+    found = documents.select("doc_id", text).select("doc_id", "text", *[F.regexp_extract_all("text", F.lit(k.pattern), F.lit(k.group)).alias(f"found_{k.name}") for k in KINDS])
     return found.select("doc_id", F.concat(*[spans_of(k, F.col("text"), F.col(f"found_{k.name}")) for k in KINDS]).alias("spans"))
 
 

@@ -242,6 +242,15 @@ def test_pii(spark):
     assert [(s["kind"], round(s["score"], 2)) for s in got[len(texts) - 1]["spans"] if s["kind"] == "iban"] == [("iban", 1.0)]
 
 
+def test_account_numbers_before_other_blocks(spark):
+    be, at, gb = "BE68 5390 0754 7034", "AT61 1904 3002 3457 3201", "GB82 WEST 1234 5698 7654 32"
+    texts = [be, f"{be} EUR", f"x {at} 2024", f"{be} {at} {gb} {be}", f"é {at} ABCD EFGH IJ {be}", f"{be.replace(' ', '')} 2024", f"CD45 {be}", "BE68 5390 0754 7035 EUR", f"{be}0 {be}"]
+    wanted = [[be], [be], [at], [be, at, gb, be], [at, be], [be.replace(" ", "")], [be], [], [be]]
+    got = rows_of(pii.find_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    for i, t in enumerate(texts):
+        assert [t[x["start"] : x["end"]] for x in got[i]["spans"] if x["kind"] == "iban"] == wanted[i], t
+
+
 def test_language_id(spark):
     r = random.Random(6)
     parts = {"aa": ["the", "ing", "tion", "wh"], "bb": ["que", "eau", "é", "le"]}
