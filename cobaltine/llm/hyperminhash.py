@@ -9,8 +9,8 @@ from .arrays import mix
 BUCKET_BITS, MANTISSA_BITS = 8, 10
 REGISTERS = 1 << BUCKET_BITS
 VALUE_BITS = 64 - BUCKET_BITS
-#: registers of a band; a link at similarity 0.85 shares none of the bands with probability 2e-9, one at 0.8 with 3e-6
-ROWS = 6
+#: registers of a band; a link at similarity 0.8 shares none of the bands with probability 2e-9, one at 0.85 with 2e-13
+ROWS = 5
 BANDS = REGISTERS // ROWS
 #: where an empty register looks for a value, attempt by attempt
 PROBES = (mix(np.arange(REGISTERS * 256, dtype=np.uint64) + np.uint64(0x5851F42D4C957F2D)) % np.uint64(REGISTERS)).astype(np.int64).reshape(256, REGISTERS)

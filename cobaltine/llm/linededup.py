@@ -9,8 +9,9 @@
     shuffled.
 
 The arrays hold only keys that reach ``min_docs``.  Up to ``broadcast_bytes`` they are
-broadcast whole.  Beyond that, blocks of shards of that size are probed one after the
-other, and only the keys found, not lines, are regrouped by document.
+broadcast whole.  Beyond that, the hashes of all lines are dealt to their shards once and
+probed there, a shard with many lines in several parts; only the keys found go back to the
+texts.  Every row is a document of its own, whatever its doc_id.
 """
 
 from __future__ import annotations
@@ -94,29 +95,31 @@ class Shard:
 
     @classmethod
     def build(cls, h1: np.ndarray, h2: np.ndarray, counts: np.ndarray) -> Shard:
-        """Keys that are alone at their bit of a level settle there; the rest go on to the next level."""
+        """Keys, distinct pairs of hashes, that are alone at their bit of a level settle there; the rest go on to the next level."""
         sizes, levels, left = [], [], np.arange(len(h1))
         while len(left):
             size = 64 * -(-SPREAD * len(left) // 64)
-            at = cls.position(h1[left], len(sizes), size)
+            at = cls.position(h1[left], h2[left], len(sizes), size)
             alone = np.bincount(at, minlength=size) == 1
             levels.append(np.packbits(alone, bitorder="little").view(np.uint64))
             sizes.append(size)
             left = left[~alone[at]]
         shard = cls(np.array(sizes, np.int64), np.concatenate([*levels, np.zeros(0, np.uint64)]), np.zeros(len(h1), np.uint64), np.zeros(len(h1), np.int64))
-        slot = shard.slots(h1)
-        shard.prints[slot], shard.counts[slot] = h2, counts
+        slot = shard.slots(h1, h2)
+        shard.prints[slot], shard.counts[slot] = h1 ^ h2, counts
         return shard
 
     @staticmethod
-    def position(h1: np.ndarray, level: int, size: int) -> np.ndarray:
-        return (mix(h1 + np.uint64(level * 0x632BE59BD9B4E019 & (1 << 64) - 1)) % np.uint64(size)).astype(np.int64)
+    def position(h1: np.ndarray, h2: np.ndarray, level: int, size: int) -> np.ndarray:
+        """Both hashes count, so that keys which share one of them part at some level."""
+        first = mix(h1 + np.uint64(level * 0x632BE59BD9B4E019 & (1 << 64) - 1))
+        return (mix(first + h2) % np.uint64(size)).astype(np.int64)
 
-    def slots(self, h1: np.ndarray) -> np.ndarray:
+    def slots(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
         """Slot of each key; -1, or the slot of another key, for those that the shard was not built from."""
         out, left = np.full(len(h1), -1, np.int64), np.arange(len(h1))
         for level, (start, size) in enumerate(zip(self.starts.tolist(), self.sizes.tolist(), strict=False)):
-            at = start + self.position(h1[left], level, size)
+            at = start + self.position(h1[left], h2[left], level, size)
             word, bit = self.bits[at >> 6], (at & 63).astype(np.uint64)
             found = (word >> bit & np.uint64(1)).astype(bool)
             below = np.bitwise_count(word & ((np.uint64(1) << bit) - np.uint64(1)))
@@ -128,8 +131,8 @@ class Shard:
         """Document count of each key, 0 where the fingerprint says that it is not among the shard's keys."""
         if not len(self.prints):
             return np.zeros(len(h1), np.int64)
-        slot = self.slots(h1)
-        return np.where((slot >= 0) & (self.prints[slot] == h2), self.counts[slot], 0)
+        slot = self.slots(h1, h2)
+        return np.where((slot >= 0) & (self.prints[slot] == h1 ^ h2), self.counts[slot], 0)
 
 
 def shard_of(h1: np.ndarray, shards: int) -> np.ndarray:
@@ -160,7 +163,7 @@ def probe(held: dict[int, Shard], shards: int, h1: np.ndarray, h2: np.ndarray) -
     return out
 
 
-def dedup_lines(documents: DataFrame, min_docs: int = 10, min_chars: int = 1, shard_keys: int = 50_000, broadcast_bytes: int = 64 << 20, with_columns: tuple[str, ...] = ()) -> DataFrame:
+def dedup_lines(documents: DataFrame, min_docs: int = 10, min_chars: int = 1, shard_keys: int = 50_000, broadcast_bytes: int = 64 << 20, part_lines: int = 1_000_000, with_columns: tuple[str, ...] = ()) -> DataFrame:
     """Drops the lines whose key occurs in at least ``min_docs`` rows, from every row.
 
     ``documents`` has doc_id and text; each row is a document.  Returns for each row: doc_id,
@@ -168,7 +171,7 @@ def dedup_lines(documents: DataFrame, min_docs: int = 10, min_chars: int = 1, sh
     if the text was).  A null or empty text is one empty line.  Lines whose key has fewer
     than ``min_chars`` code points stay.  ``with_columns`` names further columns
     to carry along.  No row is lost; rows with the same doc_id, or with none, are separate
-    documents.
+    documents, and a repeated row counts each time.
     """
     documents = documents.select("doc_id", "text", *with_columns)
     schema = ", ".join([DROPPED, *(f"{c} {documents.schema[c].dataType.simpleString()}" for c in with_columns)])
@@ -176,32 +179,61 @@ def dedup_lines(documents: DataFrame, min_docs: int = 10, min_chars: int = 1, sh
     n_keys = keys.count()
     shards = max(1, -(-n_keys // shard_keys))
     built = build_shards(keys, shards)
-    context = documents.sparkSession.sparkContext
-    per_block = max(1, broadcast_bytes // (20 * shard_keys))
-    if shards <= per_block:
-        arrays = context.broadcast({r["shard"]: load(r) for r in built.collect()})
+    if 20 * n_keys <= broadcast_bytes:
+        arrays = documents.sparkSession.sparkContext.broadcast({r["shard"]: load(r) for r in built.collect()})
         return documents.mapInArrow(lambda batches: drop_lines(batches, lambda h1, h2, _: probe(arrays.value, shards, h1, h2) > 0, min_chars, with_columns), schema)
-    built, found = checkpoint(built), None
-    for low in range(0, shards, per_block):
-        block = context.broadcast({r["shard"]: load(r) for r in built.filter(F.col("shard").between(low, low + per_block - 1)).collect()})
-        part = documents.mapInArrow(lambda batches, block=block: found_keys(batches, block.value, shards, min_chars), "doc_id long, h1 long")
-        found = part if found is None else found.unionByName(part)
-    per_doc = found.groupBy("doc_id").agg(F.collect_set("h1").alias("found"))
-    joined = documents.join(per_doc, documents["doc_id"].eqNullSafe(per_doc["doc_id"]), "left").select(documents["doc_id"], "text", *with_columns, "found")
-    return joined.mapInArrow(lambda batches: drop_lines(batches, lambda h1, _, found: np.isin(h1, found), min_chars, with_columns), schema)
+    # equal texts share their lines' fate, so a hash of the text names what is found; should two texts share it, each still looks for its own lines only
+    named = documents.withColumn("place", F.xxhash64(F.coalesce("text", F.lit(""))))
+    per_text = probed(named.select("place", "text"), checkpoint(built), shards, min_chars, part_lines).groupBy("place").agg(F.collect_set(F.struct("h1", "h2")).alias("found"))
+    joined = named.join(per_text, "place", "left").select("doc_id", "text", *with_columns, "found")
+    return joined.mapInArrow(lambda batches: drop_lines(batches, among, min_chars, with_columns), schema)
 
 
 DROPPED = "doc_id long, n_lines long, n_dropped long, kept_sha256 string, kept string"
 
 
-def found_keys(batches: Iterator[pa.RecordBatch], held: dict[int, Shard], shards: int, min_chars: int) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, "text"):
-        data, offsets = text_bytes(batch.column("text"))
-        start, end, first = line_spans(data, offsets)
-        h1, h2, ok = line_keys(data, start, end, min_chars)
-        hit = np.flatnonzero(ok & (probe(held, shards, h1, h2) > 0))
-        row = np.repeat(np.arange(batch.num_rows), np.diff(first))[hit]
-        yield pa.record_batch([batch.column("doc_id").take(pa.array(row)), pa.array(h1[hit].view(np.int64))], ["doc_id", "h1"])
+def probed(named: DataFrame, built: DataFrame, shards: int, min_chars: int, part_lines: int) -> DataFrame:
+    """(place, h1, h2) of the lines of (place, text) whose key one of the shards holds."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            data, offsets = text_bytes(batch.column("text"))
+            start, end, first = line_spans(data, offsets)
+            h1, h2, ok = line_keys(data, start, end, min_chars)
+            row = np.repeat(np.arange(batch.num_rows), np.diff(first))[ok]
+            h1, h2 = h1[ok], h2[ok]
+            yield pa.record_batch([pa.array(shard_of(h1, shards).astype(np.int32)), batch.column("place").take(pa.array(row)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64))], ["shard", "place", "h1", "h2"])
+
+    def look(lines: pa.Table, arrays: pa.Table) -> pa.Table:
+        if not arrays.num_rows:
+            return lines.select(["place", "h1", "h2"]).slice(0, 0)
+        shard = load({c: arrays.column(c)[0].as_py() for c in ("sizes", "bits", "prints", "counts")})
+        h1, h2 = (lines.column(c).to_numpy().view(np.uint64) for c in ("h1", "h2"))
+        return lines.select(["place", "h1", "h2"]).filter(pa.array(shard.docs(h1, h2) > 0))
+
+    lines = named.mapInArrow(deal, "shard int, place long, h1 long, h2 long")
+    # a line that a third of all texts hold makes its shard large, so a shard is as many parts as its lines need
+    parts = F.ceil(F.col("lines") / part_lines).cast("int")
+    sizes = checkpoint(lines.groupBy("shard").agg(F.count("*").alias("lines")).select("shard", parts.alias("parts")))
+    many = sizes.filter("parts > 1").toArrow()  # a row a shard of 50,000 keys at most
+    by_shard = dict(zip(many.column("shard").to_pylist(), many.column("parts").to_pylist(), strict=True))
+    held = named.sparkSession.sparkContext.broadcast(np.array([by_shard.get(i, 1) for i in range(shards)], np.int64))
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of = held.value[batch.column("shard").to_numpy()]
+            deal_by = mix(batch.column("place").to_numpy().view(np.uint64).copy()) % of.astype(np.uint64)
+            yield pa.record_batch([*batch.columns, pa.array(deal_by.astype(np.int32))], [*batch.schema.names, "part"])
+
+    lines = lines.mapInArrow(part, "shard int, place long, h1 long, h2 long, part int")
+    copies = built.join(sizes, "shard").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    return lines.groupBy("shard", "part").cogroup(copies.groupBy("shard", "part")).applyInArrow(look, "place long, h1 long, h2 long")
+
+
+def among(h1: np.ndarray, h2: np.ndarray, found: pa.StructArray) -> np.ndarray:
+    """Which of some lines are among those found for their text."""
+    known = set(zip(found.field("h1").to_numpy().view(np.uint64).tolist(), found.field("h2").to_numpy().view(np.uint64).tolist(), strict=True))
+    return np.array([x in known for x in zip(h1.tolist(), h2.tolist(), strict=True)], bool)
 
 
 def drop_lines(batches: Iterator[pa.RecordBatch], is_common, min_chars: int, with_columns: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
@@ -215,7 +247,7 @@ def drop_lines(batches: Iterator[pa.RecordBatch], is_common, min_chars: int, wit
             for i, x in enumerate(batch.column("found")):
                 if x.is_valid:
                     rows = slice(first[i], first[i + 1])
-                    drop[rows] = ok[rows] & is_common(h1[rows], h2[rows], np.array(x.as_py(), np.int64).view(np.uint64))
+                    drop[rows] = ok[rows] & is_common(h1[rows], h2[rows], x.values)
         else:
             drop = ok & is_common(h1, h2, None)
         dropped = np.concatenate([[0], np.cumsum(drop)])
@@ -233,6 +265,11 @@ def drop_lines(batches: Iterator[pa.RecordBatch], is_common, min_chars: int, wit
 
 
 def without_common_lines(documents: DataFrame, min_docs: int = 10, min_chars: int = 1) -> DataFrame:
-    """``documents`` with the lines of ``dedup_lines`` dropped from text, and n_chars counted again; lang and source stay."""
+    """``documents`` with the lines of ``dedup_lines`` dropped from text, and n_chars counted again; lang and source stay.
+
+    No row is lost, whatever is null in it.  A null text stays null, with null n_chars; a text
+    all of whose lines go becomes empty.  Rows with the same doc_id, or with none, are
+    separate documents; a repeated row is two documents.
+    """
     out = dedup_lines(documents, min_docs, min_chars, with_columns=("lang", "source"))
     return out.select("doc_id", F.col("kept").alias("text"), "lang", "source", F.length("kept").cast("long").alias("n_chars"))

@@ -9,8 +9,9 @@
     deviations) or whose sizes rule it out are dropped.  The rest is confirmed on full sets.
 4.  Buckets whose members the confirmed links do not yet connect are compared in blocks
     inside tasks, members of different groups only.  Where the estimate allows a link, the
-    one document is confirmed against every member of the other's group, again in blocks:
-    a group's sets move once, not once for each pair.  So every pair that shares a bucket
+    one document is confirmed against every member of the other's group, again in blocks, a
+    bounded number of them in a task: sets move once for GRID blocks of the other side, not
+    once for each pair.  So every pair that shares a bucket
     is either connected or was compared, and no bucket is capped.
 5.  Components of all links.
 """
@@ -29,12 +30,10 @@ from pyspark.sql import functions as F
 from .arrays import LOWER, shingle_sets, slices, text_bytes
 from .components import components
 from .hyperminhash import REGISTERS, band_keys, estimate, registers
-from .storage import checkpoint
+from .storage import MOST_BROADCAST, anew, broadcast_if_small, checkpoint
 
-#: members of a bucket that are compared at once
-BLOCK = 128
-#: ids (8 bytes each) that are broadcast to the texts rather than met in a shuffle
-MOST_BROADCAST = 4_000_000
+#: members of a bucket that are compared at once, and blocks of either side that one task compares
+BLOCK, GRID = 128, 16
 
 
 def sets_of(batch: pa.RecordBatch, size: int) -> list[np.ndarray]:
@@ -43,16 +42,17 @@ def sets_of(batch: pa.RecordBatch, size: int) -> list[np.ndarray]:
 
 
 def signatures(documents: DataFrame, size: int) -> DataFrame:
-    """(doc_id, n_shingles, digest, registers) of each row."""
+    """(doc_id, n_shingles, digest, other, registers) of each row, the digest as two numbers; the digest of an empty set is that of its doc_id, so that no group is made of them."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             sets = sets_of(batch, size)
             regs = registers(sets)
-            digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-            yield pa.record_batch([batch.column("doc_id"), pa.array(list(map(len, sets)), pa.int64()), pa.array(digests, pa.binary()), pa.array([r.tobytes() for r in regs], pa.binary())], ["doc_id", "n_shingles", "digest", "registers"])
+            digests = b"".join([hashlib.blake2b(s.tobytes() or str(i).encode(), digest_size=16).digest() for s, i in zip(sets, batch.column("doc_id").to_pylist(), strict=True)])
+            halves = np.frombuffer(digests, np.int64).reshape(-1, 2)
+            yield pa.record_batch([batch.column("doc_id"), pa.array(list(map(len, sets)), pa.int64()), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array([r.tobytes() for r in regs], pa.binary())], ["doc_id", "n_shingles", "digest", "other", "registers"])
 
-    return documents.select("doc_id", "text").mapInArrow(sign, "doc_id long, n_shingles long, digest binary, registers binary")
+    return documents.select("doc_id", "text").mapInArrow(sign, "doc_id long, n_shingles long, digest long, other long, registers binary")
 
 
 def binary_rows(column: pa.Array, kind: str, width: int) -> np.ndarray:
@@ -100,8 +100,7 @@ def shingle_table(documents: DataFrame, wanted: DataFrame, size: int) -> DataFra
 
     Up to MOST_BROADCAST wanted ids go to the texts; beyond it the texts are shuffled to them.
     """
-    wanted = checkpoint(wanted)
-    wanted = F.broadcast(wanted) if wanted.count() <= MOST_BROADCAST else wanted
+    wanted = broadcast_if_small(wanted, MOST_BROADCAST)
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -142,7 +141,7 @@ def unconnected(shared: DataFrame, reps: DataFrame, labels: DataFrame, percent:
     mixed = per_label.groupBy("key").agg(F.max(F.struct("n", "label")).alias("main"), (F.sum("n") - F.max("n")).alias("others"), F.count("*").alias("n_labels")).filter("n_labels > 1")
     blocks = lambda n: F.ceil(n / BLOCK).cast("int")
     mixed = mixed.select("key", F.col("main.label").alias("main"), blocks(F.col("main.n")).alias("main_blocks"), blocks(F.col("others")).alias("other_blocks"))
-    rows = labelled.join(mixed, "key").join(reps.select("rep", "n_shingles", "registers"), "rep")
+    rows = labelled.join(anew(mixed, "key"), "key").join(reps.select("rep", "n_shingles", "registers"), "rep")
     is_main, deal = F.col("label") == F.col("main"), F.xxhash64("rep")
     block = F.when(is_main, F.pmod(deal, "main_blocks")).otherwise(F.col("main_blocks") + F.pmod(deal, "other_blocks")).cast("int")
     # blocks of the bucket's largest label meet the others, not one another
@@ -179,11 +178,16 @@ def linked_to_groups(visits: DataFrame, reps: DataFrame, labels: DataFrame, docu
     wanted = members.unionByName(visits.select("rep", "label", F.lit(True).alias("visits")))
     sets = shingle_table(documents, wanted.select(F.col("rep").alias("doc_id")).distinct(), size)
     rows = wanted.join(sets, wanted["rep"] == sets["doc_id"]).select("label", "visits", "rep", "shingles")
-    counted = wanted.groupBy("label", "visits").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    dealt = rows.join(counted, ["label", "visits"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
-    blocks = checkpoint(dealt.groupBy("label", "visits", "block").agg(F.collect_list("rep").alias("reps"), F.collect_list("shingles").alias("sets")))
-    ours = blocks.filter("visits").select("label", F.col("reps").alias("x"), F.col("sets").alias("x_sets"))
-    met = ours.join(blocks.filter("not visits").select("label", F.col("reps").alias("y"), F.col("sets").alias("y_sets")), "label")
+    blocks_of = lambda side: F.ceil(F.count_if(side) / BLOCK).cast("int")
+    counted = wanted.groupBy("label").agg(blocks_of(F.col("visits")).alias("visit_blocks"), blocks_of(~F.col("visits")).alias("member_blocks"))
+    dealt = rows.join(anew(counted, "label"), "label").withColumn("block", F.pmod(F.xxhash64("rep"), F.when(F.col("visits"), F.col("visit_blocks")).otherwise(F.col("member_blocks"))).cast("int"))
+    blocks = checkpoint(dealt.groupBy("label", "visits", "block", "visit_blocks", "member_blocks").agg(F.collect_list("rep").alias("reps"), F.collect_list("shingles").alias("sets")))
+    # GRID visiting blocks and GRID blocks of members meet in one task, so that no group is one task's
+    cell = F.floor(F.col("block") / GRID).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.floor((F.col(n) - 1) / GRID).cast("int")))
+    ours = blocks.filter("visits").select("label", cell.alias("i"), every("member_blocks").alias("j"), F.col("reps").alias("x"), F.col("sets").alias("x_sets"))
+    theirs = blocks.filter("not visits").select("label", every("visit_blocks").alias("i"), cell.alias("j"), F.col("reps").alias("y"), F.col("sets").alias("y_sets"))
+    met = ours.join(theirs, ["label", "i", "j"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -217,13 +221,14 @@ def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80) -> D
     """
     documents = documents.select("doc_id", "text").filter("doc_id is not null")
     signed = checkpoint(signatures(documents, size))
-    classes = signed.filter("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    members = signed.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"))
-    reps = checkpoint(signed.filter("n_shingles > 0").groupBy("digest", "n_shingles").agg(F.min("doc_id").alias("rep"), F.max("registers").alias("registers")).select("rep", "n_shingles", "registers"))
+    # a third of all rows may be copies of one text: minima are taken before the shuffle, and the join can be split
+    classes = signed.groupBy("digest", "other").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).filter("copies > 1").drop("copies")
+    members = signed.select("doc_id", "n_shingles", "digest", "other").join(anew(classes, "digest"), ["digest", "other"], "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"))
+    reps = checkpoint(signed.filter("n_shingles > 0").groupBy("digest", "other", "n_shingles").agg(F.min("doc_id").alias("rep"), F.max("registers").alias("registers")).select("rep", "n_shingles", "registers"))
 
     bands = banded(reps)
     centres = bands.groupBy("key").agg(F.min("rep").alias("a"), F.count("*").alias("members")).filter("members > 1")
-    shared = checkpoint(bands.join(centres, "key"))  # most bands have one member and end here
+    shared = checkpoint(bands.join(anew(centres, "key"), "key"))  # most bands have one member and end here
     stars = shared.filter("rep <> a").select("a", F.col("rep").alias("b")).distinct()
     tried = checkpoint(estimated(stars, reps, percent))
     links = checkpoint(confirmed(tried, documents, size, percent))
@@ -244,8 +249,7 @@ def without_near_duplicates(documents: DataFrame, size: int = 5, percent: int =
     apart and all stay.
     """
     named = documents.filter("doc_id is not null")
-    repeated = checkpoint(named.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"))
-    repeated = F.broadcast(repeated) if repeated.count() <= MOST_BROADCAST else repeated
+    repeated = broadcast_if_small(named.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"), MOST_BROADCAST)
     kept = near_duplicates(named, size, percent).filter("kept").select("doc_id").distinct()
     once = named.join(repeated, "doc_id", "left_anti").join(kept, "doc_id", "left_semi")
     # only texts of repeated ids are dealt out anew

@@ -1,13 +1,15 @@
 """Personal data: regular expressions propose, checksums confirm, context words adjust.
 
-Spark SQL functions only.  The expressions are written so that no text makes them slow: a
-match can only start where a run of its first characters starts (or where the last match
-ended), and repetitions never give characters back.  That finds the same leftmost
-non-overlapping matches as the plain forms.
+Spark SQL functions only.  The expressions are written so that long runs of one kind of
+character do not make them slow: a match can only start where a run of its first characters
+starts (or where the last match ended), and repetitions never give characters back.  That
+finds the same leftmost non-overlapping matches as the plain forms.  Positions are summed up
+in chunks, so that a text with many spans takes time in proportion to them.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -81,30 +83,66 @@ def longest_valid(kind: str, value: Column) -> Column:
     return F.get(F.filter(ends, lambda v: is_valid(kind, v)), F.lit(0))
 
 
+#: items that a scan takes as one chunk
+CHUNK = 64
+
+
+def scanned(items: Column, start: Column, step: Callable[[Column, Column], Column], out: Callable[[Column, Column], Column], out_type: str) -> Column:
+    """``out(state, item)`` of each item, where ``step(state, item)`` gives the state that the next item meets.
+
+    A fold that adds to one array copies it for each item.  Here a chunk of items has an
+    array of its own, so that only short arrays are copied.  ``items`` must be a variable or
+    a column: an expression would be worked out again for each chunk.
+    """
+    empty = F.expr(f"cast(array() as array<{out_type}>)")
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / CHUNK).cast("int")), lambda i: F.slice(items, i * CHUNK + 1, F.lit(CHUNK)))
+
+    def chunk_after(done: Column, chunk: Column) -> Column:
+        first = F.struct(F.element_at(done, -1)["state"].alias("state"), empty.alias("out"))
+        each = lambda s, x: F.struct(step(s["state"], x).alias("state"), F.concat(s["out"], F.array(out(s["state"], x))).alias("out"))
+        return F.concat(done, F.array(F.aggregate(chunk, first, each)))
+
+    done = F.aggregate(chunks, F.array(F.struct(start.alias("state"), empty.alias("out"))), chunk_after)
+    return F.when(F.size(items) > 0, F.flatten(F.transform(done, lambda x: x["out"]))).otherwise(empty)
+
+
 def spans_of(kind: Kind, text: Column, found: Column) -> Column:
     """array<struct<kind, start, end, score>> of the valid ones of ``found``, the matches in ``text``.
 
-    What stands between the matches tells where they start.  A pattern that looks ahead
-    matches between characters; a blank before the text keeps its gap at a match at the start.
+    What stands between the matches tells where they start, and the end of what was passed
+    is the context of the next one.  A pattern that looks ahead matches between characters;
+    a blank before the text keeps its gap at a match at the start.
     """
-    none = F.expr("cast(array() as array<struct<kind: string, start: int, end: int, score: double>>)")
-    gaps = F.split(F.concat(F.lit(" "), text) if kind.group else text, kind.pattern, -1)
-    steps = F.zip_with(gaps, found, lambda gap, value: F.struct(F.length(gap).alias("gap"), (longest_valid(kind.name, value) if kind.group else value).alias("value")))
-
-    def step(a: Column, x: Column) -> Column:
-        start = a["at"] + x["gap"]
-        end = start + F.coalesce(F.length(x["value"]), F.lit(0))
-        before = F.lower(F.substr(text, F.greatest(start - CONTEXT_CHARS, F.lit(0)) + 1, F.least(start, F.lit(CONTEXT_CHARS))))
+    span = "struct<kind: string, start: int, end: int, score: double>"
+    gaps = F.slice(F.split(F.concat(F.lit(" "), text) if kind.group else text, kind.pattern, -1), F.lit(1), F.size(found))
+    last = lambda c: F.substring(c, -CONTEXT_CHARS, CONTEXT_CHARS)
+
+    def item(gap: Column, value: Column) -> Column:
+        kept = longest_valid(kind.name, value) if kind.group else F.when(is_valid(kind.name, value), value)
+        passed = F.lit("") if kind.group else value
+        return F.struct(F.length(gap).alias("gap"), last(gap).alias("before"), F.length(passed).alias("width"), last(passed).alias("passed"), F.length(kept).alias("size"))
+
+    def start_of(s: Column, x: Column) -> Column:
+        return s["at"] + x["gap"]
+
+    def keeps(s: Column, x: Column) -> Column:
+        """Of overlapping matches the first stays."""
+        return x["size"].isNotNull() & (start_of(s, x) >= s["end"])
+
+    def step(s: Column, x: Column) -> Column:
+        end = F.when(keeps(s, x), start_of(s, x) + x["size"]).otherwise(s["end"])
+        return F.struct((start_of(s, x) + x["width"]).alias("at"), end.alias("end"), last(F.concat(s["tail"], x["before"], x["passed"])).alias("tail"))
+
+    def out(s: Column, x: Column) -> Column:
+        before = F.lower(last(F.concat(s["tail"], x["before"])))
         score = F.lit(kind.score) + F.when(before.rlike(r"\b(?:" + "|".join(kind.context) + ")"), CONTEXT_SCORE).otherwise(0.0)
-        span = F.struct(F.lit(kind.name).alias("kind"), start.alias("start"), end.alias("end"), score.alias("score"))
-        if kind.group:  # of overlapping ones the first stays
-            keep = x["value"].isNotNull() & (start >= F.coalesce(F.try_element_at(a["spans"], F.lit(-1))["end"], F.lit(0)))
-        else:
-            keep = x["value"].isNotNull() & is_valid(kind.name, x["value"])
-        return F.struct((start if kind.group else end).alias("at"), F.when(keep, F.concat(a["spans"], F.array(span))).otherwise(a["spans"]).alias("spans"))
+        found = F.struct(F.lit(kind.name).alias("kind"), start_of(s, x).alias("start"), (start_of(s, x) + x["size"]).alias("end"), score.alias("score"))
+        return F.when(keeps(s, x), found).cast(span)
 
-    start = F.struct(F.lit(-1 if kind.group else 0).alias("at"), none.alias("spans"))
-    return F.when(F.size(found) > 0, F.aggregate(steps, start, step)["spans"]).otherwise(none)
+    state = F.struct(F.lit(-1 if kind.group else 0).alias("at"), F.lit(0).alias("end"), F.lit("").alias("tail"))
+    items = F.array(F.zip_with(gaps, found, item))  # of one array, so that it becomes a variable
+    spans = F.filter(F.flatten(F.transform(items, lambda x: scanned(x, state, step, out, span))), lambda x: x.isNotNull())
+    return F.when(F.size(found) > 0, spans).otherwise(F.expr(f"cast(array() as array<{span}>)"))
 
 
 def find_pii(documents: DataFrame) -> DataFrame:
@@ -112,8 +150,10 @@ def find_pii(documents: DataFrame) -> DataFrame:
 
     ``documents`` has doc_id and text.  Returns doc_id and spans, an array of (kind, start,
     end, score) in the order of ``KINDS``, then of start; positions are code points, ends
-    exclusive.  A null or empty text has none.  Other columns are not looked at; no row is
-    lost, and a repeated row gives a repeated row.
+    exclusive.  The score is the kind's own, and more where a context word stands within
+    CONTEXT_CHARS characters before the span.  A null or empty text has none; a very long one
+    is searched whole.  Other columns are not looked at; no row is lost, and a repeated row
+    gives a repeated row.
     """
     text = F.coalesce("text", F.lit("")).alias("text")
     found = documents.select("doc_id", text).select("doc_id", "text", *[F.regexp_extract_all("text", F.lit(k.pattern), F.lit(k.group)).alias(f"found_{k.name}") for k in KINDS])

@@ -32,19 +32,23 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.dedup_windows(table(spark, sf_dir, "documents"), window=13).drop("kept")
 
 
-#: the table has plain turns only: each user turn counts as a call of this tool, the turn after it as its result, and the result before it as what it refers to
-REPLY = {"reply": {"type": "object", "required": ["text", "turn"], "properties": {"text": {"type": "string"}, "turn": {"type": "integer"}, "after": {"type": "object"}}, "additionalProperties": False}}
+TURN = {"type": "object", "required": ["text", "turn"], "properties": {"text": {"type": "string"}, "turn": {"type": "integer"}, "after": {"type": "object"}}, "additionalProperties": False}
+#: the table has plain turns only: each turn of the user counts as a call of one tool, any other turn but the assistant's as a call of another; an assistant's turn after it is its result, and the result before it what it refers to
+TOOLS = {"reply": TURN, "instruct": TURN}
 
 
 def op4_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each turn of ``conversations`` as a call or a result; turns without conv_id or turn take no part."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     named = lambda turn: F.concat_ws("-", F.lit("call"), F.col("conv_id"), turn)
     answered = turns.filter("role = 'assistant'").select("conv_id", (F.col("turn") + 1).alias("turn"), F.lit(True).alias("answered")).distinct()
     after = F.when(F.col("answered"), F.struct(named(F.col("turn") - 2).alias("$result")))
     arguments = F.to_json(F.struct("turn", "text", after.alias("after")))
-    calls = turns.filter("role = 'user'").join(answered, ["conv_id", "turn"], "left").select("conv_id", named(F.col("turn")).alias("call_id"), "turn", F.lit("reply").alias("name"), arguments.alias("arguments"))
-    results = turns.filter("role = 'assistant'").select("conv_id", named(F.col("turn") - 1).alias("call_id"), "turn", F.col("text").alias("content"))
-    return toolcalls.link(calls, results, REPLY).drop("problems")
+    tool = F.when(F.col("role") == "user", "reply").otherwise("instruct")
+    asked = turns.filter("turn is not null and not coalesce(role = 'assistant', false)")
+    calls = asked.join(answered, ["conv_id", "turn"], "left").select("conv_id", named(F.col("turn")).alias("call_id"), "turn", tool.alias("name"), arguments.alias("arguments"))
+    results = turns.filter("turn is not null and role = 'assistant'").select("conv_id", named(F.col("turn") - 1).alias("call_id"), "turn", F.col("text").alias("content"))
+    return toolcalls.link(calls, results, TOOLS).drop("problems")
 
 
 def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +60,9 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = [k.name for k in pii.KINDS if k.base]
     count = lambda name: F.size(F.filter("spans", lambda s: s["kind"] == name)).cast("long").alias(f"n_{name}")
     digest = F.sha2(pii.listed(F.filter("spans", lambda s: s["kind"].isin(base))).cast("binary"), 256)
-    return found.select("doc_id", *map(count, base), digest.alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
+    scored = F.array_join(F.transform("spans", lambda s: F.format_string("%.1f", s["score"])), ",")
+    more = [count("iban"), F.size("spans").cast("long").alias("n_spans"), scored.alias("scores")]
+    return found.select("doc_id", *map(count, base), digest.alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"), *more)
 
 
 def op7_quality_sample(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -51,15 +51,16 @@ select d.doc_id, cast(coalesce(n, 0) as bigint) as n_shingles, least(d.doc_id, c
 from documents d left join sizes s on s.doc_id = d.doc_id left join least l on l.doc_id = d.doc_id where d.doc_id is not null
 """
 
+#: every row is a document, so rows are numbered; doc_ids need not be distinct
 OP10 = f"""
-with lines as (select doc_id, string_split(coalesce(text, ''), chr(10)) as ls from documents),
+with lines as (select row_number() over () as r, doc_id, string_split(coalesce(text, ''), chr(10)) as ls from documents),
 each as (
-  select doc_id, unnest(ls) as line, unnest(range(1, len(ls) + 1)) as i,
+  select r, doc_id, unnest(ls) as line, unnest(range(1, len(ls) + 1)) as i,
          {ASCII_LOWER.format("trim(unnest(ls), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")} as k from lines),
-common as (select k from each where k <> '' group by k having count(distinct doc_id) >= 10)
-select e.doc_id, count(*) as n_lines, count(c.k) as n_dropped,
+common as (select k from each where k <> '' group by k having count(distinct r) >= 10)
+select any_value(e.doc_id) as doc_id, count(*) as n_lines, count(c.k) as n_dropped,
        sha256(coalesce(string_agg(case when c.k is null then e.line end, chr(10) order by e.i), '')) as kept_sha256
-from each e left join common c on c.k = e.k group by e.doc_id
+from each e left join common c on c.k = e.k group by e.r
 """
 
 ORACLES = {"op3_substring_dedup": OP3, "op8_decontamination": OP8, "op9_near_duplicates": OP9, "op10_line_dedup": OP10}

@@ -1,8 +1,12 @@
-"""Where lineage is cut: checkpoints in the folder that all executors share."""
+"""Where lineage is cut: checkpoints in the folder that all executors share; and how tables meet."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: ids (8 bytes each) that are broadcast rather than met in a shuffle
+MOST_BROADCAST = 4_000_000
 
 
 def shared_folder(session: SparkSession) -> str:
@@ -26,3 +30,18 @@ def checkpoint(df: DataFrame) -> DataFrame:
     """Writes ``df`` once to the shared checkpoint folder and returns a frame that reads it."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def anew(grouped: DataFrame, key: str) -> DataFrame:
+    """``grouped``, a table grouped by the number ``key``, with that column computed again.
+
+    A join on it then shuffles both sides.  Else the grouping deals out the join too, and
+    Spark cannot split a partition in which the other side has one key very often.
+    """
+    return grouped.withColumn(key, F.col(key) + F.lit(0))
+
+
+def broadcast_if_small(ids: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
+    """``ids`` written to the checkpoint folder, and marked for a broadcast if they are ``most`` rows or fewer."""
+    ids = checkpoint(ids)
+    return F.broadcast(ids) if ids.count() <= most else ids

@@ -10,6 +10,7 @@ no blanks, characters unescaped where JSON allows.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from typing import Any
 
@@ -22,8 +23,33 @@ from .storage import checkpoint
 TYPES = {"object": dict, "array": list, "string": str, "boolean": bool, "integer": int, "number": (int, float), "null": type(None)}
 
 
+#: halves of a character that stand alone, which UTF-8 cannot hold
+LONE = re.compile("[\ud800-\udfff]")
+
+
 def canonical(value: Any) -> str:
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    """Keys sorted, no blanks, characters unescaped but for control characters, quotes, backslashes and lone surrogates."""
+    text = json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+    return LONE.sub(lambda m: f"\\u{ord(m[0]):04x}", text)
+
+
+def refused(constant: str) -> None:
+    raise ValueError(f"{constant} is no JSON")
+
+
+def parsed(text: str | None) -> Any:
+    return json.loads(text or "", parse_constant=refused)
+
+
+def examined(name: str | None, text: str | None, schemas: dict[str, dict]) -> tuple[str | None, list[str], list[str]]:
+    """(canonical form, ids referred to, what is wrong) of a call's arguments."""
+    try:
+        value = parsed(text)
+        return canonical(value), sorted(references(value)), problems(value, schemas[name]) if name in schemas else ["unknown tool"]
+    except ValueError:  # of the parser, or a number beyond what a double or Python's digits hold
+        return None, [], ["arguments are no JSON"]
+    except RecursionError:
+        return None, [], ["arguments are nested too deeply"]
 
 
 def problems(value: Any, schema: dict, where: str = "$") -> list[str]:
@@ -49,7 +75,7 @@ def problems(value: Any, schema: dict, where: str = "$") -> list[str]:
 def references(value: Any) -> set[str]:
     if isinstance(value, dict):
         if set(value) == {"$result"} and isinstance(value["$result"], str):
-            return {value["$result"]}
+            return {LONE.sub("\ufffd", value["$result"])}
         return set().union(*map(references, value.values()))
     return set().union(*map(references, value)) if isinstance(value, list) else set()
 
@@ -61,14 +87,8 @@ def checked(calls: DataFrame, schemas: dict[str, dict]) -> DataFrame:
         for batch in batches:
             texts, refs, wrong = [], [], []
             for name, text in zip(batch.column("name").to_pylist(), batch.column("arguments").to_pylist(), strict=True):
-                try:
-                    value = json.loads(text or "")
-                except ValueError:
-                    texts.append(None), refs.append([]), wrong.append(["arguments are no JSON"])
-                    continue
-                texts.append(canonical(value))
-                refs.append(sorted(references(value)))
-                wrong.append(problems(value, schemas[name]) if name in schemas else ["unknown tool"])
+                of_call = examined(name, text, schemas)
+                texts.append(of_call[0]), refs.append(of_call[1]), wrong.append([LONE.sub("\ufffd", w) for w in of_call[2]])
             yield pa.record_batch([*map(batch.column, names), pa.array(texts, pa.string()), pa.array(refs, pa.list_(pa.string())), pa.array(wrong, pa.list_(pa.string()))], [*names, "arguments", "refs", "problems"])
 
     names = ["conv_id", "call_id", "turn", "name", "n_calls"]
@@ -121,8 +141,10 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Data
     unanswered, orphan for a result without call, early for a result before its call),
     n_calls, n_results, level, valid, problems and canonical.  Of several calls or results with one
     identifier the one of the smallest turn, then smallest content, counts.  Rows without
-    conv_id or call_id take no part.  Arguments that are null or no JSON are a problem of
-    the call, not an error.
+    conv_id or call_id take no part.  Arguments that are null, no JSON, hold NaN or a number
+    out of range, or are nested deeper than the parser goes are a problem of the call, not an
+    error; such a call refers to nothing.  Lone surrogates stay escaped.  Other columns are
+    not looked at.
     """
     both = "conv_id is not null and call_id is not null"
     least = lambda df, *values: df.filter(both).groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", *values)).alias("x"), F.count("*").alias("n")).select("conv_id", "call_id", "x.*", "n")
@@ -136,8 +158,9 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Data
         for batch in batches:
             texts = []
             for r in batch.select(["call_id", "name", "arguments", "content", "status"]).to_pylist():
-                arguments = json.loads(r["arguments"]) if r["arguments"] is not None else None
-                texts.append(canonical({"id": r["call_id"], "name": r["name"], "arguments": arguments, "result": r["content"], "status": r["status"]}))
+                # arguments are canonical already, and their key comes first
+                rest = canonical({"id": r["call_id"], "name": r["name"], "result": r["content"], "status": r["status"]})
+                texts.append(f'{{"arguments":{r["arguments"] or "null"},{rest[1:]}')
             yield pa.record_batch([*map(batch.column, kept), pa.array(texts, pa.string())], [*kept, "canonical"])
 
     kept = ["conv_id", "call_id", "call_turn", "result_turn", "status", "n_calls", "n_results", "level", "valid", "problems"]

@@ -13,8 +13,9 @@ Equal windows have equal anchors, so it is enough to compare within an anchor:
 3.  Documents meet their hits and merge them into maximal intervals to be removed.
 
 Each slice of the input keeps only its earliest document per run (later ones are hits at
-once) and one marker per anchor with several runs, so a passage that a third of all
-documents share reaches the shuffle once per slice.
+once) and one marker per anchor with several runs.  A task remembers what several documents
+of it shared, so a passage that a third of all documents share reaches the shuffle about
+once per task.
 """
 
 from __future__ import annotations
@@ -98,7 +99,43 @@ def starts_of(*columns: np.ndarray) -> np.ndarray:
     return new
 
 
-def run_rows(batch: pa.RecordBatch, window: int) -> pa.RecordBatch:
+class Seen:
+    """Pairs of hashes that a task has handed on already, with the smallest document of each.
+
+    Only saves rows: it takes no more pairs when it is full, and what it does not know is
+    handed on once more.
+    """
+
+    NONE = np.iinfo(np.int64).max
+
+    def __init__(self, most: int = 1 << 18):
+        self.most = most
+        self.code, self.a, self.b, self.doc = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def places(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(self.code):
+            return np.zeros(len(a), np.int64), np.zeros(len(a), bool)
+        at = np.minimum(np.searchsorted(self.code, spread(a, b)), len(self.code) - 1)
+        return at, (self.a[at] == a) & (self.b[at] == b)
+
+    def earliest(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        at, known = self.places(a, b)
+        return np.where(known, self.doc[at], self.NONE) if len(self.code) else np.full(len(a), self.NONE)
+
+    def add(self, a: np.ndarray, b: np.ndarray, doc: np.ndarray) -> None:
+        at, known = self.places(a, b)
+        np.minimum.at(self.doc, at[known], doc[known])
+        a, b, doc = (x[~known] for x in (a, b, doc))
+        room = self.most - len(self.code)
+        if len(a) and room > 0:
+            code, first = np.unique(spread(a, b), return_index=True)
+            new = first[~np.isin(code, self.code)][:room]
+            columns = [np.concatenate([x, y[new]]) for x, y in ((self.code, spread(a, b)), (self.a, a), (self.b, b), (self.doc, doc))]
+            order = np.argsort(columns[0])
+            self.code, self.a, self.b, self.doc = (x[order] for x in columns)
+
+
+def run_rows(batch: pa.RecordBatch, window: int, seen: Seen, marked: Seen) -> pa.RecordBatch:
     w = Windowed(batch.column("text"), window)
     anchor, run, doc = w.anchor, w.run, batch.column("doc_id").to_numpy()[w.run_row]
     order = np.lexsort((doc, run, anchor))
@@ -112,16 +149,23 @@ def run_rows(batch: pa.RecordBatch, window: int) -> pa.RecordBatch:
     lowest = np.minimum.reduceat(doc, heads) if len(heads) else doc
     highest = np.maximum.reduceat(doc, heads) if len(heads) else doc
     several = (runs > 1) & (lowest < highest)
-    kind = np.where(new_run, np.where(several[group], OPEN, RUN), HIT).astype(np.int8)
+    zeros = np.zeros(len(heads), np.uint64)
+    old_marks = marked.earliest(anchor[heads], zeros) < Seen.NONE
+    kind = np.where(new_run, np.where((several | old_marks)[group], OPEN, RUN), HIT).astype(np.int8)
+    kind[doc > seen.earliest(anchor, run)] = HIT
     key = np.where(kind == RUN, anchor, spread(run, doc))
+    shared = np.flatnonzero(new_run[:-1] & ~new_run[1:])  # the first document of a run that others follow
+    seen.add(anchor[shared], run[shared], doc[shared])
+    several &= ~old_marks
     marks = heads[several]
+    marked.add(anchor[marks], zeros[several], doc[marks])
     return pa.record_batch(
         [np.concatenate([key, anchor[marks]]).view(np.int64), np.concatenate([run, run[marks]]).view(np.int64), np.concatenate([doc, lowest[several]]), np.concatenate([kind, np.full(len(marks), MARK, np.int8)])],
         ["key", "run", "doc_id", "kind"],
     )
 
 
-def window_rows(batch: pa.RecordBatch, window: int) -> pa.RecordBatch:
+def window_rows(batch: pa.RecordBatch, window: int, seen: Seen) -> pa.RecordBatch:
     """Windows of the open runs; of equal ones in this batch, all but the earliest document's are hits at once."""
     w = Windowed(batch.column("text"), window)
     is_open = np.zeros(len(w.run), bool)
@@ -135,10 +179,25 @@ def window_rows(batch: pa.RecordBatch, window: int) -> pa.RecordBatch:
     order = np.flatnonzero(starts_of(h1, h2, doc))
     h1, h2, doc = h1[order], h2[order], doc[order]
     first = starts_of(h1, h2)
+    shared = np.flatnonzero(first[:-1] & ~first[1:])
+    first &= doc < seen.earliest(h1, h2)
+    seen.add(h1[shared], h2[shared], doc[shared])
     key = np.where(first, h2, spread(h1, doc))
     return pa.record_batch([key.view(np.int64), h1.view(np.int64), doc, np.where(first, RUN, HIT).astype(np.int8)], ["key", "run", "doc_id", "kind"])
 
 
+def all_run_rows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+    seen, marked = Seen(), Seen()
+    for batch in slices(batches, "text", 4 << 20):
+        yield run_rows(batch, window, seen, marked)
+
+
+def all_window_rows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+    seen = Seen()
+    for batch in slices(batches, "text", 4 << 20):
+        yield window_rows(batch, window, seen)
+
+
 def longs(x: pa.Scalar) -> np.ndarray:
     return x.values.to_numpy().view(np.uint64) if x.is_valid else np.zeros(0, np.uint64)
 
@@ -184,7 +243,7 @@ def dedup_windows(documents: DataFrame, window: int = 13) -> DataFrame:
     other's words, and a repeated row gives a repeated row.  Other columns are not looked at.
     """
     documents = documents.select("doc_id", "text").filter("doc_id is not null")
-    rows = documents.mapInArrow(lambda batches: (run_rows(b, window) for b in slices(batches, "text", 4 << 20)), ROWS)
+    rows = documents.mapInArrow(lambda batches: all_run_rows(batches, window), ROWS)
     by_key, by_run = Window.partitionBy("key"), Window.partitionBy("key", "run")
     compared = F.col("kind").isin(RUN, MARK)
     several = (F.max(F.when(F.col("kind") == MARK, True)).over(by_key)) | (F.min(F.when(compared, F.col("run"))).over(by_key) < F.max(F.when(compared, F.col("run"))).over(by_key)) & (F.min("doc_id").over(by_key) < F.max("doc_id").over(by_key))
@@ -197,7 +256,7 @@ def dedup_windows(documents: DataFrame, window: int = 13) -> DataFrame:
 
     with_runs = documents.join(runs, "doc_id", "left")
     opened = with_runs.filter(F.size("open") > 0).select("doc_id", "text", "open")
-    rows = opened.mapInArrow(lambda batches: (window_rows(b, window) for b in slices(batches, "text", 4 << 20)), ROWS)
+    rows = opened.mapInArrow(lambda batches: all_window_rows(batches, window), ROWS)
     earliest = F.min(F.when(F.col("kind") == RUN, F.col("doc_id"))).over(by_run)
     single = rows.withColumn("earliest", earliest).filter((F.col("kind") == HIT) | (F.col("doc_id") > F.col("earliest")))
     windows = single.groupBy("doc_id").agg(F.collect_set("run").alias("windows"))
