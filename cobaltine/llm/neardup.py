@@ -245,13 +245,16 @@ def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80) -> D
 def without_near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``documents``, all columns, that ``near_duplicates`` keeps.
 
-    Of rows with the same doc_id and text one stays.  Rows without doc_id cannot be told
-    apart and all stay.
+    Of rows with the same doc_id and text one stays.  Of different texts with one doc_id all
+    stay if one does.  Rows without doc_id cannot be told apart and all stay.  The ids of what
+    goes are sent to the texts; only beyond MOST_BROADCAST of them do texts meet them in a
+    shuffle.
     """
     named = documents.filter("doc_id is not null")
     repeated = broadcast_if_small(named.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"), MOST_BROADCAST)
-    kept = near_duplicates(named, size, percent).filter("kept").select("doc_id").distinct()
-    once = named.join(repeated, "doc_id", "left_anti").join(kept, "doc_id", "left_semi")
+    flags = near_duplicates(named, size, percent).groupBy("doc_id").agg(F.max("kept").alias("kept"))
+    gone = broadcast_if_small(flags.filter("not kept").select("doc_id"), MOST_BROADCAST)
+    once = named.join(repeated, "doc_id", "left_anti").join(gone, "doc_id", "left_anti")
     # only texts of repeated ids are dealt out anew
-    more = named.join(repeated, "doc_id", "left_semi").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    more = named.join(repeated, "doc_id", "left_semi").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"])
     return once.select(documents.columns).unionByName(more.select(documents.columns)).unionByName(documents.filter("doc_id is null"))
