@@ -8,12 +8,21 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def accuracy(forecast: DataFrame, actual: DataFrame) -> DataFrame:
+def last_of_date(rows: DataFrame, order: str) -> DataFrame:
+    """One row for each series and date: the qty of the highest ``order``."""
+    return rows.groupBy("series", "ds").agg(F.max_by("qty", order).alias("qty"))
+
+
+def accuracy(forecast: DataFrame, actual: DataFrame, order: str | None = None) -> DataFrame:
     """MAE, MAPE, RMSE and sMAPE of each series over the dates both have; rounded to four places.
 
+    Where a date may occur twice in a series, ``order`` names the column of both sides whose
+    highest value counts; without it dates must be distinct.
     MAPE leaves out actual zeros (null if nothing else is left); sMAPE counts 0 against 0 as 0.
     Series without a common date have nulls and 0 points.
     """
+    if order:
+        forecast, actual = last_of_date(forecast, order), last_of_date(actual, order)
     f = forecast.select("series", "ds", F.col("qty").alias("f"))
     both = f.join(actual.select("series", "ds", F.col("qty").alias("a")), ["series", "ds"], "left")
     error, scale = F.abs(F.col("f") - F.col("a")), F.abs("f") + F.abs("a")

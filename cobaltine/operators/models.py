@@ -131,14 +131,14 @@ def arima_values(x: np.ndarray, horizon: int, max_p: int = 3, max_q: int = 3) ->
     return np.cumsum(ahead_) + x[-1] if d else ahead_
 
 
-def fitted(series: DataFrame, values: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
-    """(series, ds, qty) for the days after each series."""
+def fitted(series: DataFrame, values: Callable[[np.ndarray], np.ndarray], unit: str = "day") -> DataFrame:
+    """(series, ds, qty) for the days, or months (``unit``), after each series."""
     ordered = series.select("series", "ds", F.coalesce("qty", F.lit(0.0)).alias("qty"))
 
     def fit(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("ds")
         found = values(group["qty"].to_numpy(float))
-        days = [group["ds"].iloc[-1] + pd.Timedelta(days=i + 1) for i in range(len(found))]
+        days = [(pd.Timestamp(group["ds"].iloc[-1]) + pd.DateOffset(**{f"{unit}s": i + 1})).date() for i in range(len(found))]
         return pd.DataFrame({"series": group["series"].iloc[0], "ds": days, "qty": np.maximum(found, 0.0)})
 
     return ordered.groupBy("series").applyInPandas(fit, ordered.schema).withColumn("qty", F.round("qty", 2))
@@ -150,17 +150,20 @@ def by_length(series: DataFrame) -> Callable[[Column], DataFrame]:
     return lambda condition: counted.filter(condition).drop("n")
 
 
-def short_average(series: DataFrame, horizon: int) -> DataFrame:
+def short_average(series: DataFrame, horizon: int, unit: str = "day") -> DataFrame:
     """Mean of the last ``horizon`` rows or all, repeated for as many days."""
     back = F.row_number().over(per_series().orderBy(F.desc("ds")))
     level = series.withColumn("back", back).filter(F.col("back") <= horizon).groupBy("series").agg(F.max("ds").alias("last_ds"), F.round(F.avg("qty"), 2).alias("qty"), F.count("*").cast("int").alias("n"))
-    return ahead(level, F.col("n")).select("series", "ds", "qty")
+    return ahead(level, F.col("n"), unit).select("series", "ds", "qty")
 
 
-def holt_winters(series: DataFrame, horizon: int = 7, period: int = 7) -> DataFrame:
-    """Additive trend and season from two periods on, trend alone from four rows on, else the mean."""
+def holt_winters(series: DataFrame, horizon: int = 7, period: int = 7, unit: str = "day") -> DataFrame:
+    """Additive trend and season from two periods on, trend alone from four rows on, else the mean.
+
+    Rows are ``unit`` (day or month) apart, here and below, and so are the forecast ones.
+    """
     of = by_length(series)
-    return fitted(of(F.col("n") >= 4), lambda x: holt_winters_values(x, horizon, period)).unionByName(short_average(of(F.col("n") < 4), horizon))
+    return fitted(of(F.col("n") >= 4), lambda x: holt_winters_values(x, horizon, period), unit).unionByName(short_average(of(F.col("n") < 4), horizon, unit))
 
 
 def trend_values(x: np.ndarray, horizon: int) -> np.ndarray:
@@ -175,10 +178,10 @@ def arima_or_trend(x: np.ndarray, horizon: int) -> np.ndarray:
     return trend_values(x, horizon) if found is None else found
 
 
-def auto_arima(series: DataFrame, horizon: int = 7) -> DataFrame:
+def auto_arima(series: DataFrame, horizon: int = 7, unit: str = "day") -> DataFrame:
     """ARIMA of the least AIC from four rows on, the trend where no order fits; smoothing for less than four rows."""
     of = by_length(series)
-    return fitted(of(F.col("n") >= 4), lambda x: arima_or_trend(x, horizon)).unionByName(flat_smoothing_forecast(of(F.col("n") < 4), 0.3, horizon))
+    return fitted(of(F.col("n") >= 4), lambda x: arima_or_trend(x, horizon), unit).unionByName(flat_smoothing_forecast(of(F.col("n") < 4), 0.3, horizon, unit))
 
 
 def auto_seasonal(series: DataFrame, horizon: int = 7) -> DataFrame:
@@ -187,10 +190,10 @@ def auto_seasonal(series: DataFrame, horizon: int = 7) -> DataFrame:
     return fitted(of(F.col("n") >= 14), lambda x: holt_winters_values(x, horizon, 7)).unionByName(trend_forecast(of(F.col("n").between(4, 13)), 14, horizon)).unionByName(short_average(of(F.col("n") < 4), horizon))
 
 
-def auto_regressive(series: DataFrame, horizon: int = 7) -> DataFrame:
+def auto_regressive(series: DataFrame, horizon: int = 7, unit: str = "day") -> DataFrame:
     """ARIMA from 10 rows on, a trend from 4 on, else smoothing with 0.35."""
     of = by_length(series)
-    return fitted(of(F.col("n") >= 10), lambda x: arima_or_trend(x, horizon)).unionByName(trend_forecast(of(F.col("n").between(4, 9)), 14, horizon)).unionByName(flat_smoothing_forecast(of(F.col("n") < 4), 0.35, horizon))
+    return fitted(of(F.col("n") >= 10), lambda x: arima_or_trend(x, horizon), unit).unionByName(trend_forecast(of(F.col("n").between(4, 9)), 14, horizon, unit)).unionByName(flat_smoothing_forecast(of(F.col("n") < 4), 0.35, horizon, unit))
 
 
 def trend_fallback(series: DataFrame, horizon: int = 7) -> DataFrame:

@@ -20,6 +20,22 @@ def order_summary(orders: DataFrame, dimension: Column | str, paid: Column, canc
     )
 
 
+def order_filter(orders: DataFrame, start: str | None = None, end: str | None = None, status: str = "all", statuses: dict[str, str] | None = None, **equal: str) -> DataFrame:
+    """Orders (day, status, ..) from ``start`` to ``end``, both included, with a status and with given values of other columns.
+
+    ``status`` is all, paid, cancelled or refunded; ``statuses`` says how the table writes them.
+    """
+    if start:
+        orders = orders.filter(F.col("day") >= F.lit(start).cast("date"))
+    if end:
+        orders = orders.filter(F.col("day") <= F.lit(end).cast("date"))
+    if status != "all":
+        orders = orders.filter(F.col("status") == (statuses or {}).get(status, status))
+    for name, value in equal.items():
+        orders = orders.filter(F.col(name) == value)
+    return orders
+
+
 def order_page(orders: DataFrame, sort_by: str = "amount", descending: bool = True, limit: int = 20, offset: int = 0) -> DataFrame:
     order = F.desc(sort_by) if descending else F.asc(sort_by)
     return orders.orderBy(order, "order_id").offset(offset).limit(limit)
@@ -56,11 +72,17 @@ def retention(events: DataFrame, after: int) -> DataFrame:
     return first.join(back, "user_id", "left").groupBy(F.col("first_day").alias("day")).agg(F.round(F.sum(F.coalesce("back", F.lit(0))) / F.count("*"), 4).alias("retention"))
 
 
-def cohorts(events: DataFrame, offsets: tuple[int, ...] = (1, 7, 30)) -> DataFrame:
-    """Size of each cohort (users by first day) and how many come back after some days."""
+def cohorts(events: DataFrame, offsets: tuple[int, ...] = (1, 7, 30), dimension: DataFrame | None = None) -> DataFrame:
+    """Size of each cohort (users by first day) and how many come back after some days.
+
+    ``dimension`` (user_id, dimension) splits the cohorts further; users without a row there
+    have a null one.
+    """
     joined = events.select("user_id", "day").distinct().join(first_seen(events), "user_id")
-    gap = F.date_diff("day", "first_day")
-    return joined.groupBy(F.col("first_day").alias("cohort")).agg(F.count_if(gap == 0).alias("size"), *[F.count_if(gap == n).alias(f"day_{n}") for n in offsets])
+    gap, keys = F.date_diff("day", "first_day"), [F.col("first_day").alias("cohort")]
+    if dimension is not None:
+        joined, keys = joined.join(dimension.select("user_id", "dimension"), "user_id", "left"), [*keys, F.col("dimension")]
+    return joined.groupBy(*keys).agg(F.count_if(gap == 0).alias("size"), *[F.count_if(gap == n).alias(f"day_{n}") for n in offsets])
 
 
 def insights(report: DataFrame, measures: list[str], least: float = 0.2) -> DataFrame:

@@ -5,6 +5,10 @@ Queries and chunks are tables; a search answers all queries in one job.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,10 +22,21 @@ def tokens(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"({TOKEN})"), F.lit(1)), F.lower)
 
 
-def postings(chunks: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, term, tf, length)."""
-    split = chunks.select(key, tokens(F.col(text)).alias("t")).withColumn("length", F.size("t"))
-    return split.select(key, "length", F.explode("t").alias("term")).groupBy(key, "term", "length").agg(F.count("*").alias("tf"))
+#: rows of a table that is broadcast; beyond it tables meet in a shuffle
+MOST_BROADCAST = 1_000_000
+#: queries and chunks of a block that are compared at once
+QUERY_BLOCK, CHUNK_BLOCK = 512, 2048
+
+
+def sent_if_small(df: DataFrame) -> DataFrame:
+    """``df``, persisted, and marked for a broadcast if its rows are few."""
+    df = df.persist()
+    return F.broadcast(df) if df.count() <= MOST_BROADCAST else df
+
+
+def postings(split: DataFrame, key: str) -> DataFrame:
+    """(key, term, tf, length) of (key, t), an array of tokens."""
+    return split.select(key, F.size("t").alias("length"), F.explode("t").alias("term")).groupBy(key, "term", "length").agg(F.count("*").alias("tf"))
 
 
 def document_frequency(index: DataFrame, key: str) -> DataFrame:
@@ -32,16 +47,21 @@ def bm25(queries: DataFrame, chunks: DataFrame, key: str, text: str, n: int = 30
     """The ``n`` best chunks of each query (query_id, text) with a score above zero; ties to the smaller key.
 
     Terms that more than half of the chunks hold would get a negative weight; they get
-    EPSILON of the mean weight instead.
+    EPSILON of the mean weight instead.  Chunks are split once.  Terms that are asked for go
+    to the chunks, if they are few enough, and thin them out before the shuffle.
     """
-    index = postings(chunks, key, text)
-    size = chunks.agg(F.count("*").alias("n"), F.avg(F.size(tokens(F.col(text)))).alias("mean_length"))
+    split = chunks.select(key, tokens(F.col(text)).alias("t")).persist()
+    index = postings(split, key)
+    size = split.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("mean_length"))
     weights = document_frequency(index, key).join(F.broadcast(size)).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     floor = weights.agg((F.avg("raw") * EPSILON).alias("floor"))
     idf = weights.join(F.broadcast(floor)).select("term", "mean_length", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))
     asked = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
     part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
-    scored = asked.join(idf, "term").join(index, "term").groupBy("query_id", key).agg(F.sum(part).alias("score")).filter("score > 0")
+    weighed = sent_if_small(asked.join(idf, "term"))
+    wanted = sent_if_small(weighed.select("term").distinct())
+    found = index.join(wanted, "term", "left_semi")
+    scored = found.join(weighed, "term").groupBy("query_id", key).agg(F.sum(part).alias("score")).filter("score > 0")
     return ranked(scored, n, F.desc(F.round("score", 6)), key)  # sums differ in their last bits
 
 
@@ -51,11 +71,42 @@ def ranked(scored: DataFrame, n: int, order: Column, key: str) -> DataFrame:
 
 
 def dense(queries: DataFrame, chunks: DataFrame, key: str, n: int = 30) -> DataFrame:
-    """Exact nearest chunks by squared distance of (query_id, vector) to (key, vector); a bounded query table is broadcast."""
-    q = queries.select("query_id", F.col("vector").alias("q"))
-    apart = F.aggregate(F.zip_with("q", "vector", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
-    near = chunks.join(q).select("query_id", key, apart.alias("distance"))
-    return ranked(near, n, F.asc("distance"), key)
+    """Exact nearest chunks by squared distance of (query_id, vector) to (key, vector).
+
+    Queries and chunks are packed into blocks, and every block of the one meets every block
+    of the other in a task that hands on each query's ``n`` nearest only.  Rows without a
+    vector, or with one of another length than the query's, are no match.
+    """
+    kind, key_kind = "array<double>", chunks.schema[key].dataType.simpleString()
+    q_kind = queries.schema["query_id"].dataType.simpleString()
+    usable = F.col("vector").isNotNull() & F.forall("vector", lambda x: x.isNotNull())
+
+    def packed(df: DataFrame, name: str, size: int, side: str) -> tuple[DataFrame, int]:
+        df = df.filter(usable).select(F.col(name).alias("id"), F.col("vector").cast(kind).alias("vector"), F.size("vector").alias("dims"))
+        blocks = max(1, -(-df.count() // size))
+        block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
+        return df.groupBy("dims", block.alias(f"{side}_block")).agg(F.collect_list("id").alias(f"{side}_ids"), F.flatten(F.collect_list("vector")).alias(f"{side}_vectors")), blocks
+
+    asked, _ = packed(queries, "query_id", QUERY_BLOCK, "q")
+    held, blocks = packed(chunks, key, CHUNK_BLOCK, "c")
+    every = asked.withColumn("c_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    met = every.join(held, ["dims", "c_block"]).select("dims", "q_ids", "q_vectors", "c_ids", "c_vectors")
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                dims = batch.column("dims")[i].as_py()
+                q, v = (batch.column(c)[i].values.to_numpy(zero_copy_only=False).reshape(-1, dims) for c in ("q_vectors", "c_vectors"))
+                q_ids, ids, rows = batch.column("q_ids")[i].values, batch.column("c_ids")[i].values, []
+                for j, one in enumerate(q):
+                    distance = ((v - one) ** 2).sum(axis=1)
+                    last = np.partition(distance, n - 1)[n - 1] if len(distance) > n else np.inf
+                    near = np.flatnonzero(distance <= last)  # ties at the end are all handed on
+                    rows.append((np.full(len(near), j), near, distance[near]))
+                who, which, distance = (np.concatenate(x) for x in zip(*rows, strict=True))
+                yield pa.record_batch([q_ids.take(pa.array(who)), ids.take(pa.array(which)), pa.array(distance)], ["query_id", key, "distance"])
+
+    return ranked(met.mapInArrow(near, f"query_id {q_kind}, {key} {key_kind}, distance double"), n, F.asc(F.round("distance", 12)), key)
 
 
 def fuse(first: DataFrame, second: DataFrame, key: str, n: int | None = None) -> DataFrame:
@@ -98,15 +149,29 @@ def match_routes(paths: DataFrame, routes: DataFrame) -> DataFrame:
     return p.join(r, "size").filter(fits).select("page_id", "route_id", "literal", place.alias("rank"))
 
 
+#: fixed values: ranges of pictographs that mark cells
+PICTOGRAPHS = "[\\x{1F300}-\\x{1FAFF}\\x{2600}-\\x{27BF}]"
+
+
 def strip_markdown(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, r"[`*]|__", ""))
+    """Plain text of a cell: without code marks around text, pictographs and emphasis."""
+    plain = F.regexp_replace(F.coalesce(text, F.lit("")), "`([^`]+)`", "$1")
+    return F.trim(F.regexp_replace(F.regexp_replace(plain, PICTOGRAPHS, ""), r"\*\*|__", ""))
 
 
 def match_remarks(queries: DataFrame, remarks: DataFrame) -> DataFrame:
-    """Pairs where one text holds the other; queries of 3 characters or more, remarks of 4 or more.  The remark table is small."""
+    """Pairs (query_id, remark_id) where one text holds the other; queries of 3 characters or more, remarks of 4 or more.
+
+    The shorter text's first three characters stand somewhere in the longer one, so the
+    sides are joined on three characters, and each pair is then looked at.
+    """
     q = queries.select("query_id", F.lower(strip_markdown(F.col("text"))).alias("q")).filter(F.length("q") >= 3)
     r = remarks.select("remark_id", F.lower(strip_markdown(F.col("remark"))).alias("r")).filter(F.length("r") >= 4)
-    return q.join(r, F.contains("q", "r") | F.contains("r", "q")).select("query_id", "remark_id")
+    parts = lambda df, c: df.withColumn("part", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - 2), lambda i: F.substr(F.col(c), i, F.lit(3))))))
+    first = lambda df, c: df.withColumn("part", F.substring(c, 1, 3))
+    held = parts(q, "q").join(first(r, "r"), "part").filter(F.contains("q", "r"))
+    holds = first(q, "q").join(parts(r, "r"), "part").filter(F.contains("r", "q"))
+    return held.select("query_id", "remark_id").unionByName(holds.select("query_id", "remark_id")).distinct()
 
 
 def sections(documents: DataFrame, key: str, text: str) -> DataFrame:
@@ -134,6 +199,30 @@ def validate(values: DataFrame) -> DataFrame:
     return values.select("id", status.alias("status"))
 
 
+def search_query(url: Column, payload: Column, question: Column, priority: tuple[str, ...] = ()) -> Column:
+    """One text to search with: the address, the payload's (map of strings) priority fields in their order, its others, the question.
+
+    Null and empty values are left out; fields read ``name=value``.
+    """
+    shown = lambda k, v: F.when(v.isNotNull() & (v != ""), F.concat(k, F.lit("="), v))
+    chosen = [shown(F.lit(k), F.try_element_at(payload, F.lit(k))) for k in priority]
+    others = F.array_compact(F.transform(F.map_entries(F.coalesce(payload, F.create_map().cast("map<string,string>"))), lambda e: F.when(~e["key"].isin(*priority) if priority else F.lit(True), shown(e["key"], e["value"]))))
+    return F.concat_ws(" | ", url, *chosen, F.array_join(F.when(F.size(others) > 0, others), " | "), F.when(question != "", question))
+
+
+def retrieve(queries: DataFrame, chunks: DataFrame, vectors: DataFrame | None = None, top_k: int = 8, pool: int = 30, known: DataFrame | None = None) -> DataFrame:
+    """(query_id, chunk_id, score, rank): BM25 and, with vectors, dense ranks fused; the query's module counts more; known hits go.
+
+    ``queries`` has query_id, text, module (may be null) and, for ``vectors`` (chunk_id,
+    vector), vector; ``chunks`` chunk_id, text and module; ``known`` query_id and chunk_id.
+    """
+    found = bm25(queries, chunks, "chunk_id", "text", pool)
+    merged = fuse(dense(queries, vectors, "chunk_id", pool) if vectors is not None else found.limit(0), found, "chunk_id")
+    placed = merged.join(chunks.select("chunk_id", F.col("module").alias("chunk_module")), "chunk_id").join(queries.select("query_id", "module"), "query_id")
+    scored = boost(placed, F.coalesce(F.col("module") == F.col("chunk_module"), F.lit(False))).select("query_id", "chunk_id", "score")
+    return ranked(exclude(scored, known, "chunk_id") if known is not None else scored, top_k, F.desc(F.round("score", 12)), "chunk_id")
+
+
 def prompt(hits: DataFrame, chunks: DataFrame, key: str) -> DataFrame:
     """One text for each query: its hits' bodies in order of rank."""
     joined = hits.join(chunks.select(key, "title", "body"), key)

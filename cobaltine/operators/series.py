@@ -36,10 +36,11 @@ def tail(series: DataFrame, n: int) -> DataFrame:
     return last.withColumn("n", F.count("*").over(per_series())).withColumn("i", F.col("n") - F.col("back")).drop("back")
 
 
-def ahead(summary: DataFrame, horizon: Column | int) -> DataFrame:
-    """One row for each day after ``last_ds``, numbered ``step`` from 1."""
+def ahead(summary: DataFrame, horizon: Column | int, unit: str = "day") -> DataFrame:
+    """One row for each day, or month (``unit``), after ``last_ds``, numbered ``step`` from 1."""
     steps = F.sequence(F.lit(1), F.lit(horizon) if isinstance(horizon, int) else horizon)
-    return summary.withColumn("step", F.explode(steps)).withColumn("ds", F.date_add("last_ds", F.col("step")))
+    move = F.add_months if unit == "month" else F.date_add
+    return summary.withColumn("step", F.explode(steps)).withColumn("ds", move("last_ds", F.col("step")))
 
 
 def moving_average(series: DataFrame, window: int = 7) -> DataFrame:
@@ -68,14 +69,14 @@ def flat_average_forecast(series: DataFrame, window: int = 7) -> DataFrame:
     return ahead(level, window).select("series", "ds", "qty")
 
 
-def flat_smoothing_forecast(series: DataFrame, alpha: float = 0.3, horizon: int = 7) -> DataFrame:
-    return ahead(smoothed(series, alpha), horizon).select("series", "ds", F.round("value", 2).alias("qty"))
+def flat_smoothing_forecast(series: DataFrame, alpha: float = 0.3, horizon: int = 7, unit: str = "day") -> DataFrame:
+    return ahead(smoothed(series, alpha), horizon, unit).select("series", "ds", F.round("value", 2).alias("qty"))
 
 
-def trend_forecast(series: DataFrame, window: int = 30, horizon: int = 30) -> DataFrame:
-    """The line through the last ``window`` rows, never below zero, for as many days as it was fitted on."""
+def trend_forecast(series: DataFrame, window: int = 30, horizon: int = 30, unit: str = "day") -> DataFrame:
+    """The line through the last ``window`` rows, never below zero, for as many days (or months) as it was fitted on."""
     fit = tail(series, window).groupBy("series").agg(F.max("ds").alias("last_ds"), F.max("n").alias("n"), F.avg("qty").alias("mean"), F.regr_slope("qty", "i").alias("slope"))
-    steps = ahead(fit, F.least(F.col("n"), F.lit(horizon)).cast("int"))
+    steps = ahead(fit, F.least(F.col("n"), F.lit(horizon)).cast("int"), unit)
     # the line's value at position n - 1 + step, written from its middle
     value = F.col("mean") + F.coalesce("slope", F.lit(0.0)) * (F.col("step") + (F.col("n") - 1) / 2.0)
     return steps.select("series", "ds", F.round(F.greatest(F.lit(0.0), value), 2).alias("qty"))
@@ -172,6 +173,24 @@ def monthly_daily_blend(demand: DataFrame, monthly: DataFrame, supply: DataFrame
     return clamped_balance(moves, begin).select("series", "ds", F.round("net", digits).alias("qty"), F.round("raw", digits).alias("balance"))
 
 
+def blend_forecasts(demand: DataFrame, totals: DataFrame, by_month: DataFrame) -> DataFrame:
+    """(series, month, forecast) for ``monthly_daily_blend``, from the forecasts that a series has.
+
+    ``by_month`` (series, month, forecast) where it has rows; else ``totals`` (series,
+    forecast) for the month of the first demand; where that is null or 0, the mean of the
+    positive demand is that month's total.  A series with none of these has no row.
+    """
+    first = demand.groupBy("series").agg(F.trunc(F.min("ds"), "MM").alias("month"), F.avg(F.when(F.col("qty") > 0, F.col("qty"))).alias("mean"))
+    single = first.join(by_month.select("series").distinct(), "series", "left_anti").join(totals.select("series", "forecast"), "series", "left")
+    value = F.when(F.col("forecast") != 0, F.col("forecast")).otherwise(F.col("mean"))
+    return by_month.select("series", "month", "forecast").unionByName(single.select("series", "month", value.alias("forecast")).filter("forecast is not null"))
+
+
+def first_source(first: DataFrame, second: DataFrame) -> DataFrame:
+    """The rows of ``first``, and those of ``second`` for series that have none there."""
+    return first.unionByName(second.join(first.select("series").distinct(), "series", "left_anti").select(first.columns))
+
+
 def monthly_split(monthly: DataFrame, delivered: DataFrame) -> DataFrame:
     """What the current month still needs, booked on the next month: first forecast less what was delivered, not below zero.
 

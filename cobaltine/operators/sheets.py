@@ -7,8 +7,20 @@ from pyspark.sql import functions as F
 
 #: fixed values: literals that stand for a failed formula
 ERRORS = ("#REF!", "#N/A", "#VALUE!", "#DIV/0!", "#NAME?", "#NULL!", "#NUM!")
-#: fixed values: date formats in order of priority
-DATE_FORMATS = ("yyyy-MM-dd", "yyyy/MM/dd", "yyyy.MM.dd", "yyyyMMdd", "dd/MM/yyyy", "MM/dd/yyyy", "yyyy-MM-dd HH:mm:ss", "yyyy/MM/dd HH:mm:ss", "yyyy-MM")
+#: fixed values: date formats in order of priority, each with what a text must look like
+DATE_FORMATS = (
+    ("yyyy-MM-dd HH:mm:ss", r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{2}:\d{2}$"),
+    ("yyyy/MM/dd HH:mm:ss", r"^\d{4}/\d{1,2}/\d{1,2} \d{1,2}:\d{2}:\d{2}$"),
+    ("yyyy-MM-dd", r"^\d{4}-\d{1,2}-\d{1,2}$"),
+    ("yyyy/MM/dd", r"^\d{4}/\d{1,2}/\d{1,2}$"),
+    ("yyyy.MM.dd", r"^\d{4}\.\d{1,2}\.\d{1,2}$"),
+    ("yyyyMMdd", r"^\d{8}$"),
+    ("dd/MM/yyyy", r"^\d{1,2}/\d{1,2}/\d{4}$"),
+    ("MM/dd/yyyy", r"^\d{1,2}/\d{1,2}/\d{4}$"),
+    ("yyyy年MM月dd日", r"^\d{4}年\d{1,2}月\d{1,2}日$"),
+)
+#: serial numbers of days that count as dates, and the day before the first
+SERIALS, EPOCH = (1, 73415), "1899-12-30"
 
 
 def is_blank(value: Column) -> Column:
@@ -41,16 +53,32 @@ def inherited_hidden(columns: DataFrame) -> DataFrame:
     return columns.withColumn("hidden", F.coalesce(F.last("hidden", ignorenulls=True).over(so_far), F.lit(False)))
 
 
-def row_filter(cells: DataFrame, before: int | None = None, after: int | None = None, positions: tuple[int, ...] = (), mode: str = "use") -> DataFrame:
-    """Rows that meet any of the conditions are kept (``use``) or dropped (``skip``)."""
-    chosen = F.lit(False)
+def axis_filter(cells: DataFrame, axis: str, before: int | None = None, after: int | None = None, positions: tuple[int, ...] = (), blocks: dict[int, str] | None = None, mode: str = "use") -> DataFrame:
+    """Rows or columns (``axis`` row or col) that meet any of the conditions are kept (``use``) or dropped (``skip``).
+
+    ``blocks`` maps the number of a line across (a column for rows, a row for columns) to a
+    text that its cell must hold; cells are looked at after merged ranges are filled.
+    """
+    chosen, across = F.lit(False), "col" if axis == "row" else "row"
     if before is not None:
-        chosen = chosen | (F.col("row") <= before)
+        chosen = chosen | (F.col(axis) <= before)
     if after is not None:
-        chosen = chosen | (F.col("row") > after)
+        chosen = chosen | (F.col(axis) > after)
     if positions:
-        chosen = chosen | F.col("row").isin(*positions)
-    return cells.filter(chosen if mode == "use" else ~chosen)
+        chosen = chosen | F.col(axis).isin(*positions)
+    for at, text in (blocks or {}).items():
+        lines = cells.filter((F.col(across) == at) & F.contains("value", F.lit(text))).select("sheet", axis).distinct().withColumn(f"block_{at}", F.lit(True))
+        cells = cells.join(lines, ["sheet", axis], "left")
+        chosen = chosen | F.coalesce(f"block_{at}", F.lit(False))
+    return cells.filter(chosen if mode == "use" else ~chosen).drop(*(f"block_{at}" for at in blocks or {}))
+
+
+def row_filter(cells: DataFrame, **conditions) -> DataFrame:
+    return axis_filter(cells, "row", **conditions)
+
+
+def column_filter(cells: DataFrame, **conditions) -> DataFrame:
+    return axis_filter(cells, "col", **conditions)
 
 
 def number(value: Column) -> Column:
@@ -67,27 +95,122 @@ def unpivot_header(cells: DataFrame, id_names: list[str], header_row: int, patte
     return values.join(ids.filter(~is_blank(F.col(f"`{id_names[0]}`"))), ["sheet", "row"])
 
 
+def required(rows: DataFrame, what: str) -> DataFrame:
+    """``rows``, or an error if there are none: a sheet that yields nothing has another form than was said."""
+    if rows.isEmpty():
+        raise ValueError(f"{what}: no rows")
+    return rows
+
+
 def unpivot_columns(wide: DataFrame, ids: list[str], names: list[str]) -> DataFrame:
     return wide.unpivot(ids, names, "name", "qty").filter("qty is not null")
 
 
+def dated(value: Column) -> list[tuple[str, Column]]:
+    """(kind, date or null) of a cell's text by each rule, in order of priority; blanks around it do not count.
+
+    Days and months may have one digit.  Serial numbers are the text of a number cell.
+    """
+    text = F.trim(value)
+    serial = F.when(text.rlike(r"^[0-9]{1,5}(\.[0-9]+)?$"), F.floor(text.try_cast("double")).cast("int"))
+    rules = [("serial", F.when(serial.between(*SERIALS), F.date_add(F.lit(EPOCH).cast("date"), serial)))]
+    for name, looks in DATE_FORMATS:
+        loose = name if name == "yyyyMMdd" else name.replace("MM", "M").replace("dd", "d").replace("HH", "H")
+        rules.append((name, F.when(text.rlike(looks), F.try_to_timestamp(text, F.lit(loose)).cast("date"))))
+    return rules
+
+
 def parse_date(value: Column) -> Column:
-    """Excel serials (1 to 73415) and the nine formats; null for anything else."""
-    serial = F.floor(value.try_cast("double")).cast("int")
-    by_serial = F.when(value.rlike(r"^[0-9]{1,5}(\.[0-9]+)?$") & serial.between(1, 73415), F.date_add(F.lit("1899-12-30").cast("date"), serial))
-    by_format = [F.try_to_timestamp(value, F.lit(f)).cast("date") for f in DATE_FORMATS]
-    return F.coalesce(by_serial, *by_format)
+    """The date of a cell's text: a serial number (1 to 73415) or one of the nine formats; null for anything else."""
+    return F.coalesce(*[day for _, day in dated(value)])
 
 
 def date_kind(value: Column) -> Column:
-    """The format of a date: ``serial``, the pattern, or null."""
-    serial = F.when(value.rlike(r"^[0-9]{1,5}(\.[0-9]+)?$"), "serial")
-    return F.coalesce(serial, *[F.when(F.try_to_timestamp(value, F.lit(f)).isNotNull(), f) for f in DATE_FORMATS])
+    """The rule that reads a date: ``serial``, the format, or null."""
+    return F.coalesce(*[F.when(day.isNotNull(), name) for name, day in dated(value)])
+
+
+def date_report(values: DataFrame, target: str = "yyyy-MM-dd", samples: int = 5) -> DataFrame:
+    """One row for each ``name`` of (name, row, value): how its dates are written.
+
+    source is the only kind, ``mixed (a, b)`` by falling count (ties by name), or
+    ``unknown``; matches tells whether all are in the format ``target``; samples are the first
+    values, by row, that are no date.
+    """
+    kinds = values.select("name", "row", "value", date_kind(F.col("value")).alias("kind"))
+    counted = kinds.filter("kind is not null").groupBy("name", "kind").agg(F.count("*").alias("n"))
+    order = F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "kind")))  # ten kinds at most
+    by_name = counted.groupBy("name").agg(F.transform(order, lambda x: x["kind"]).alias("kinds"), F.sum("n").alias("parsed"))
+    place = F.row_number().over(Window.partitionBy("name").orderBy("row"))
+    bad = kinds.filter("kind is null").withColumn("place", place).filter(F.col("place") <= samples)
+    bad = bad.groupBy("name").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "value"))), lambda x: F.coalesce(x["value"], F.lit(""))).alias("samples"))
+    total = values.groupBy("name").agg(F.count("*").alias("total"))
+    known = total.join(by_name, "name", "left").join(bad, "name", "left")
+    listed = F.array_join("kinds", ", ")
+    source = F.when(F.col("kinds").isNull(), "unknown").when(F.size("kinds") == 1, listed).otherwise(F.concat(F.lit("mixed ("), listed, F.lit(")")))
+    parsed = F.coalesce("parsed", F.lit(0))
+    return known.select("name", source.alias("source"), F.coalesce(F.col("kinds") == F.array(F.lit(target)), F.lit(False)).alias("matches"), "total", parsed.alias("parsed"), (F.col("total") - parsed).alias("unparsed"), F.array_join(F.coalesce("samples", F.array().cast("array<string>")), "|").alias("samples"))
+
 
+def id_value(value: Column) -> Column:
+    """The text of an id cell: trimmed, whole numbers without their ``.0``, truth values and blanks null."""
+    text = F.trim(value)
+    whole = F.regexp_replace(text, r"^(-?[0-9]+)\.0+$", "$1")
+    return F.when(is_blank(value) | F.lower(text).isin("true", "false"), None).otherwise(whole)
 
-def date_report(values: DataFrame) -> DataFrame:
-    """(kind, n) of a column ``value``."""
-    return values.groupBy(F.coalesce(date_kind(F.col("value")), F.lit("unknown")).alias("kind")).agg(F.count("*").alias("n"))
+
+def int_value(value: Column) -> Column:
+    """A number cell cut off towards zero, or null."""
+    found = number(value)
+    return F.when(found < 0, F.ceil(found)).otherwise(F.floor(found)).cast("bigint")
+
+
+def header_text(value: Column) -> Column:
+    """A header cell: trimmed, a date without its midnight, blanks null."""
+    text = F.regexp_replace(F.trim(value), r"^(\d{4}-\d{2}-\d{2})[T ]00:00:00$", "$1")
+    return F.when(text != "", text)
+
+
+def unpivot_positions(cells: DataFrame, ids: dict[str, int], names: dict[int, str], first_row: int) -> DataFrame:
+    """Long rows (sheet, row, ids, name, qty) by column numbers: ``ids`` maps a name to its column, ``names`` a column to its name.
+
+    Rows start at ``first_row``; those whose first id is blank are noise.
+    """
+    body = cells.filter(F.col("row") >= first_row)
+    by_column = {str(n): c for c, n in ids.items()}
+    found = body.filter(F.col("col").isin(*ids.values())).groupBy("sheet", "row").pivot("col", list(ids.values())).agg(F.first("value"))
+    found = found.select("sheet", "row", *[id_value(F.col(f"`{n}`")).alias(c) for n, c in by_column.items()]).filter(F.col(f"`{next(iter(ids))}`").isNotNull())
+    label = F.element_at(F.create_map(*[F.lit(x) for pair in names.items() for x in pair]), F.col("col"))
+    values = body.filter(F.col("col").isin(*names)).select("sheet", "row", label.alias("name"), number(F.col("value")).alias("qty")).filter("qty is not null")
+    return values.join(found, ["sheet", "row"])
+
+
+def unpivot_blocks(cells: DataFrame, ids: list[tuple[str, str]], block_row: int, header_row: int, pattern: str) -> DataFrame:
+    """Long rows (sheet, row, ids, block, name, qty) of a sheet with two header rows, the upper one naming blocks of columns.
+
+    ``ids`` are (block, name) of the id columns, '' for a column without a block; other
+    columns whose lower header matches ``pattern`` hold quantities.  A block's name holds
+    for the columns after it until the next one.
+    """
+    before = Window.partitionBy("sheet").orderBy("col").rowsBetween(Window.unboundedPreceding, 0)
+    upper = cells.filter(F.col("row") == block_row).select("sheet", "col", header_text(F.col("value")).alias("upper"))
+    lower = cells.filter(F.col("row") == header_row).select("sheet", "col", header_text(F.col("value")).alias("name"))
+    header = lower.join(upper, ["sheet", "col"], "left").withColumn("block", F.coalesce(F.last("upper", ignorenulls=True).over(before), F.lit(""))).drop("upper")
+    body = cells.filter(F.col("row") > header_row).join(header, ["sheet", "col"])
+    is_id = F.concat_ws("\n", "block", "name").isin(*["\n".join(x) for x in ids])
+    named = body.filter(is_id).groupBy("sheet", "row").pivot("name", [n for _, n in ids]).agg(F.first("value"))
+    named = named.select("sheet", "row", *[id_value(F.col(f"`{n}`")).alias(n) for _, n in ids]).filter(F.col(f"`{ids[0][1]}`").isNotNull())
+    values = body.filter(~is_id & F.col("name").rlike(pattern)).select("sheet", "row", "block", "name", number(F.col("value")).alias("qty")).filter("qty is not null")
+    return values.join(named, ["sheet", "row"])
+
+
+def extracted(rows: DataFrame, plan: DataFrame, keys: list[str]) -> DataFrame:
+    """What a plan takes from long rows (sheet, row, keys, name, qty): (category, keys, name, qty).
+
+    ``plan`` has sheet, row and category.  Of several values of one key and name the one of
+    the last row counts.
+    """
+    return rows.join(plan, ["sheet", "row"]).groupBy("category", *keys, "name").agg(F.max_by("qty", "row").alias("qty"))
 
 
 def last_wins(rows: DataFrame, keys: list[str], value: str, order: str) -> DataFrame:

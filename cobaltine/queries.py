@@ -211,10 +211,11 @@ def row_merge_freeze(spark, d):
     return series.row_merge_freeze(rows.filter(F.month("ds") <= 6), monthly)
 
 
-@query(f"""with {PARTS}, orders_ as (select series, ds, demand as qty from moves where demand > 0), totals as (select series, sum(demand) / 100 as forecast, sum(pgi) / 50 as delivered from moves group by series),
-monday as (select series, date_trunc('week', min(ds))::date as m from orders_ group by series), week as (select series, cast(m + cast(i as integer) as date) as ds, cast(m + 6 as date) as sunday from monday, range(0, 7) r(i)),
-filled as (select w.*, o.qty from week w left join orders_ o on o.series = w.series and o.ds = w.ds), gaps as (select series, max(forecast) - max(delivered) - coalesce(sum(qty), 0) as gap from filled join totals using (series) group by series)
-select series, ds, round(coalesce(qty, 0) + case when ds = sunday and gap <> 0 then gap else 0 end, 2) as qty, case when ds = sunday and gap <> 0 then 'spread' when qty is not null then 'daily_order' else 'empty' end as type from filled join gaps using (series)""")
+#: from the rule: where the last of all orders is on or past the Sunday, days are their orders and nothing is spread
+@query(f"""with {PARTS}, o as (select series, ds, demand as qty from moves where demand > 0), totals as (select series, sum(demand) / 100 as forecast, sum(pgi) / 50 as delivered from moves group by series),
+p as (select series, date_trunc('week', min(ds))::date as a, cast(date_trunc('week', min(ds))::date + 6 as date) as b, max(ds) as last, sum(qty) as n from o group by series), days as (select *, cast(a + cast(i as integer) as date) as ds from p join totals using (series), range(0, 7) r(i))
+select d.series, d.ds, round(case when last < b and d.ds = b then forecast - delivered - n else coalesce(qty, 0) end, 2) as qty, case when last >= b then 'daily_order' when d.ds = b then 'spread' when qty is not null then 'daily_order' else 'empty' end as type
+from days d left join o on o.series = d.series and o.ds = d.ds""")
 def order_gap_blend(spark, d):
     m = moves(spark, d)
     totals = m.groupBy("series").agg((F.sum("demand") / 100).alias("forecast"), (F.sum("pgi") / 50).alias("delivered"))
@@ -443,12 +444,12 @@ def formula_functions(spark, d):
 
 @query()
 def holt_winters(spark, d):
-    return models.holt_winters(monthly(spark, d), horizon=12, period=12)
+    return models.holt_winters(monthly(spark, d), horizon=12, period=12, unit="month")
 
 
 @query()
 def auto_arima(spark, d):
-    return models.auto_arima(monthly(spark, d), horizon=12)
+    return models.auto_arima(monthly(spark, d), horizon=12, unit="month")
 
 
 @query()
@@ -458,7 +459,7 @@ def auto_seasonal(spark, d):
 
 @query()
 def auto_regressive(spark, d):
-    return models.auto_regressive(monthly(spark, d))
+    return models.auto_regressive(monthly(spark, d), unit="month")
 
 
 @query(f"""with {DAILY}, {TAIL.format(n=30)},
@@ -535,8 +536,11 @@ def markdown_table_rows(spark, d):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from . import more_queries  # noqa: F401  registers its own
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(ORACLES)
