@@ -141,6 +141,15 @@ def inventory_planning(forecast: Column, begin: Column, supply: Column) -> Colum
     return F.aggregate(pairs, start, step)["net"]
 
 
+def blended_demand(daily: Column, begin: Column, supply: Column) -> Column:
+    """What stock and supply leave uncovered of each day's demand, rounded to cents; supply beyond the days does not count.
+
+    Every position has a demand of its own here, so a monthly forecast adds nothing.
+    """
+    short = inventory_planning(daily, begin, F.slice(supply, 1, F.size(daily)))
+    return F.when(F.size(daily) == 0, daily).otherwise(F.transform(short, lambda x: F.round(x, 2)))
+
+
 def jit_fill(weekly: Column, daily: Column, jit: Column, supply: Column) -> Column:
     """Fixed calls win over daily demand; what the weekly total leaves is spread over the positions without a call."""
     size = F.greatest(F.size(daily), F.size(jit))
@@ -169,6 +178,7 @@ CATALOG: dict[str, tuple[Callable, str]] = {
     "net_demand": (net_demand, "balance"),
     "inventory_planning": (inventory_planning, "forecast, begin, supply"),
     "jit_fill": (jit_fill, "weekly, daily, jit, supply"),
+    "blended_demand": (blended_demand, "daily, begin, supply"),
     "if_then_else": (lambda c, a, b: F.when(c, a).otherwise(b), "condition, a, b"),
     "round": (F.round, "value, digits=0"),
     "abs": (F.abs, "value"),

@@ -7,17 +7,21 @@ table needs no update in place and any version can be restored.
 from __future__ import annotations
 
 import ast
-from collections.abc import Callable, Iterable
-from datetime import timedelta
+import builtins
+import signal
+from collections.abc import Iterable
+from contextlib import contextmanager
+from datetime import date, timedelta
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SCHEMA = "skill_id string, version int, name string, skill_type string, status string, body string, tags array<string>, action string"
-#: fixed values: modules that code may import, and names it may not call
-MODULES = ("math", "numpy", "pandas", "statistics")
+#: fixed values: modules that code may import, names it may not call, builtins it has
+MODULES = ("math", "statistics", "numpy", "pandas", "scipy", "sklearn", "statsmodels")
 CALLS = ("__import__", "breakpoint", "compile", "delattr", "dir", "eval", "exec", "getattr", "globals", "help", "input", "locals", "open", "setattr", "vars")
+BUILTINS = ("abs", "all", "any", "bool", "dict", "enumerate", "float", "int", "len", "list", "map", "max", "min", "pow", "range", "round", "set", "sorted", "str", "sum", "tuple", "zip", "print", "isinstance", "type")
 #: fixed values: models that take long
 HEAVY = ("auto_arima", "auto_regressive", "auto_seasonal", "holt_winters")
 
@@ -65,20 +69,56 @@ def points(result: object, after) -> list[tuple]:
     return found
 
 
-def run_python(series: DataFrame, code: str) -> DataFrame:
+class TooLong(BaseException):
+    """Raised inside a skill at its time limit; no ``except Exception`` of the skill catches it."""
+
+
+@contextmanager
+def time_limit(seconds: float):
+    """Ends Python code after some time, and again every second should it go on.  Only for the main thread, in which workers run functions; one call into native code is not cut off."""
+
+    def stop(*_):
+        raise TooLong
+
+    before = signal.signal(signal.SIGALRM, stop)
+    signal.setitimer(signal.ITIMER_REAL, seconds, 1.0)
+    try:
+        yield
+    finally:
+        signal.setitimer(signal.ITIMER_REAL, 0)
+        signal.signal(signal.SIGALRM, before)
+
+
+def skill_names() -> dict[str, object]:
+    """What code finds when it starts: its builtins, exceptions, imports of the allowed modules only, date and timedelta."""
+
+    def bring(name: str, *rest):
+        if name.split(".")[0] not in MODULES:
+            raise ImportError(f"import of {name}")
+        return __import__(name, *rest)
+
+    errors = {n: v for n, v in vars(builtins).items() if isinstance(v, type) and issubclass(v, Exception)}
+    return {"__builtins__": {n: getattr(builtins, n) for n in BUILTINS} | errors | {"__import__": bring}, "__name__": "skill", "date": date, "timedelta": timedelta}
+
+
+def run_python(series: DataFrame, code: str, seconds: float = 30.0) -> DataFrame:
     """(series, ds, qty, error) of ``forecast(points)``, called once a series with its (date, qty) pairs in order.
 
-    A series whose call fails gives one row with the error and no date; the others go on.
+    A series whose call fails, or takes longer than ``seconds``, gives one row with the error
+    and no date; the others go on.
     """
     check_code(code)
 
     def call(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("ds")
-        names: dict[str, Callable] = {}
+        names = skill_names()
         try:
-            exec(compile(code, "<skill>", "exec"), names)  # noqa: S102
-            found = points(names["forecast"](list(zip(group["ds"], group["qty"], strict=True))), group["ds"].iloc[-1])
+            with time_limit(seconds):
+                exec(compile(code, "<skill>", "exec"), names)  # noqa: S102
+                found = points(names["forecast"](list(zip(group["ds"], group["qty"], strict=True))), group["ds"].iloc[-1])
             rows = [(ds, qty, None) for ds, qty in found]
+        except TooLong:
+            rows = [(None, None, f"TooLong: {seconds:g} s")]
         except Exception as error:  # what a skill raises is its result
             rows = [(None, None, f"{type(error).__name__}: {error}")]
         out = pd.DataFrame(rows, columns=["ds", "qty", "error"])

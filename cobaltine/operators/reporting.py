@@ -101,6 +101,17 @@ def chart(report: DataFrame, kind: str = "bar") -> dict:
     return {"xAxis": {"type": "category", "data": [r[category] for r in rows]}, "yAxis": {"type": "value"}, "series": [{"type": kind, "name": value, "data": [r[value] for r in rows]}]}
 
 
+def batch_counts(results: DataFrame) -> DataFrame:
+    """One row: how many series have results and how many an error."""
+    by_series = results.groupBy("series").agg(F.max(F.col("error").isNotNull()).alias("failed"))
+    return by_series.agg(F.count_if(~F.col("failed")).alias("successes"), F.count_if("failed").alias("errors"))
+
+
+def shown_turns(conversations: DataFrame) -> DataFrame:
+    """What users and assistants said: no turns of other roles and no empty ones, as calls of tools are."""
+    return conversations.filter(F.col("role").isin("user", "assistant") & (F.trim("text") != ""))
+
+
 def recent_turns(conversations: DataFrame, n: int = 8) -> DataFrame:
     """The last ``n`` turns of each conversation, numbered from its end."""
     back = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn")))

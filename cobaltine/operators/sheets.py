@@ -95,6 +95,30 @@ def unpivot_header(cells: DataFrame, id_names: list[str], header_row: int, patte
     return values.join(ids.filter(~is_blank(F.col(f"`{id_names[0]}`"))), ["sheet", "row"])
 
 
+def headed(cells: DataFrame, header_row: int, names: dict[str, str]) -> DataFrame:
+    """A sheet's rows below its header: (sheet, row) and the columns of ``names`` (header: new name), without rows that are all blank.
+
+    New names must differ, and every sheet must have every header, else ValueError.
+    """
+    if len(set(names.values())) < len(names):
+        raise ValueError("new names are not unique")
+    header = cells.filter(F.col("row") == header_row).select("sheet", "col", header_text(F.col("value")).alias("name")).filter(F.col("name").isin(*names))
+    lacking = cells.select("sheet").distinct().join(header.groupBy("sheet").agg(F.collect_set("name").alias("found")), "sheet", "left")
+    lacking = lacking.select("sheet", F.array_except(F.array(*map(F.lit, names)), F.coalesce("found", F.array().cast("array<string>"))).alias("names")).filter(F.size("names") > 0).first()
+    if lacking:
+        raise ValueError(f"{lacking['sheet']}: no column {', '.join(lacking['names'])}")
+    body = clean(cells.filter(F.col("row") > header_row).join(header, ["sheet", "col"]))
+    table = body.groupBy("sheet", "row").pivot("name", list(names)).agg(F.first("value", ignorenulls=True)).withColumnsRenamed(names)
+    return table.na.drop("all", subset=list(names.values()))
+
+
+def set_gaps(expected: DataFrame, actual: DataFrame, key: str) -> DataFrame:
+    """(key, side): what is expected and ``missing``, and what is there and ``extra``; no rows if both are the same set."""
+    e, a = (df.select(key).distinct() for df in (expected, actual))
+    side = lambda df, name: df.withColumn("side", F.lit(name))
+    return side(e.join(a, key, "left_anti"), "missing").unionByName(side(a.join(e, key, "left_anti"), "extra"))
+
+
 def required(rows: DataFrame, what: str) -> DataFrame:
     """``rows``, or an error if there are none: a sheet that yields nothing has another form than was said."""
     if rows.isEmpty():

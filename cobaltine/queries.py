@@ -536,7 +536,7 @@ def markdown_table_rows(spark, d):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import more_queries  # noqa: F401  registers its own
+    from . import more_queries, text_queries  # noqa: F401  register their own
 
     return dict(QUERIES)
 

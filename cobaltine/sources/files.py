@@ -38,3 +38,14 @@ def markdown(spark: SparkSession, path: str) -> DataFrame:
 
 def write_chunks(chunks: DataFrame, path: str) -> None:
     chunks.write.mode("overwrite").partitionBy("module").json(path)
+
+
+def write_snapshot(rows: DataFrame, path: str, version: int) -> None:
+    """JSON lines of a new version beside the earlier ones; readers see it when its write is complete."""
+    rows.write.mode("errorifexists").json(f"{path}/version={version}")
+
+
+def snapshot(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The rows of the highest complete version below ``path``."""
+    every = spark.read.schema(f"{schema}, version int").json(path)
+    return every.join(every.agg(F.max("version").alias("version")), "version", "left_semi").drop("version")
