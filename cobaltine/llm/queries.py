@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, containment, langid, linededup, multiindex, neardup, pii, resampling, toolcalls, windows
+from . import bpe, containment, langid, linededup, lloyd, multiindex, neardup, pii, repair, resampling, toolcalls, windows, wordbpe
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
@@ -84,8 +84,28 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(table(spark, sf_dir, "documents"), min_docs=10, min_chars=1).drop("kept")
 
 
+def op11_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of ``documents``; a null text is empty, long texts and repeated rows are encoded whole."""
+    return wordbpe.tokenize(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation of ``conversations``, damaged by the checksum of its rows, and what its cheapest repair costs.
+
+    Rows without turn come first, those without conv_id are one conversation, equal rows are
+    duplicates; of a conversation that lost all its rows nothing is left to repair.
+    """
+    return repair.repair(repair.damaged(table(spark, sf_dir, "conversations")))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every usable vector of ``embeddings``; repeated rows are vectors like others."""
+    order = F.sha2(F.concat(F.lit("3:"), F.col("vec_id").cast("string")), 256)
+    return lloyd.delta_lloyd(table(spark, sf_dir, "embeddings"), order, k=8, rounds=10)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_byte_bpe, op3_substring_dedup, op4_tool_calls, op5_nearest, op6_pii, op7_quality_sample, op8_decontamination, op9_near_duplicates, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_language_id, op2_byte_bpe, op3_substring_dedup, op4_tool_calls, op5_nearest, op6_pii, op7_quality_sample, op8_decontamination, op9_near_duplicates, op10_line_dedup, op11_word_bpe, op12_conversation_repair, op13_centroids)}
 
 
 def oracle_sql() -> dict[str, str]:
