@@ -5,8 +5,9 @@
     so that exact copies never meet in a bucket.
 2.  The registers are cut into bands.  In each bucket, the smallest member is paired with
     the others: a bucket costs as many pairs as it has members.
-3.  Pairs whose collision-corrected estimate is far below the threshold (six standard
-    deviations) or whose sizes rule it out are dropped.  The rest is confirmed on full sets.
+3.  Pairs whose sizes rule a link out are dropped, and those whose collision-corrected
+    estimate is so low that a link has it with a chance of 1e-12.  The rest is confirmed on
+    full sets.
 4.  Buckets whose members the confirmed links do not yet connect are compared in blocks
     inside tasks, members of different groups only.  Where the estimate allows a link, the
     one document is confirmed against every member of the other's group, again in blocks, a
@@ -19,7 +20,6 @@
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,11 +29,11 @@ from pyspark.sql import functions as F
 
 from .arrays import LOWER, shingle_sets, slices, text_bytes
 from .components import components
-from .hyperminhash import REGISTERS, band_keys, estimate, registers
+from .hyperminhash import REGISTERS, band_keys, estimate, least_estimate, registers
 from .storage import MOST_BROADCAST, anew, broadcast_if_small, checkpoint
 
-#: members of a bucket that are compared at once, and blocks of either side that one task compares
-BLOCK, GRID = 128, 16
+#: members of a bucket that are compared at once, bytes of sets that a block has on average at most, and blocks of either side that one task compares
+BLOCK, BLOCK_BYTES, GRID = 128, 8 << 20, 16
 
 
 def sets_of(batch: pa.RecordBatch, size: int) -> list[np.ndarray]:
@@ -76,16 +76,11 @@ def likely(n_a, n_b, percent: int):
     return 100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b)
 
 
-def least_estimate(percent: int) -> float:
-    t = percent / 100
-    return t - 6 * math.sqrt(t * (1 - t) / REGISTERS)
-
-
 def estimated(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose registers allow the similarity."""
     side = lambda c: reps.select(F.col("rep").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("registers").alias(f"r_{c}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").filter(likely(F.col("n_a"), F.col("n_b"), percent))
-    low = least_estimate(percent)
+    low = least_estimate(percent / 100)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -148,7 +143,7 @@ def unconnected(shared: DataFrame, reps: DataFrame, labels: DataFrame, percent:
     other = F.explode(F.sequence(F.when(is_main, F.col("main_blocks")).otherwise(0), F.col("main_blocks") + F.col("other_blocks") - 1))
     dealt = rows.withColumn("block", block).withColumn("other", other).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
     groups = dealt.groupBy("key", "i", "j").agg(F.collect_list("rep").alias("reps"), F.collect_list("label").alias("labels"), F.collect_list("block").alias("blocks"), F.collect_list("n_shingles").alias("sizes"), F.collect_list("registers").alias("registers"))
-    low = least_estimate(percent)
+    low = least_estimate(percent / 100)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -173,12 +168,13 @@ def unconnected(shared: DataFrame, reps: DataFrame, labels: DataFrame, percent:
 
 def linked_to_groups(visits: DataFrame, reps: DataFrame, labels: DataFrame, documents: DataFrame, size: int, percent: int) -> DataFrame:
     """Links (a, b) of each visit's document with a member of the group it visits; one link of each pair of them is enough."""
-    labelled = reps.select("rep").join(labels, "rep", "left").select("rep", F.coalesce("label", "rep").alias("label"))
+    labelled = reps.select("rep", "n_shingles").join(labels, "rep", "left").select("rep", "n_shingles", F.coalesce("label", "rep").alias("label"))
     members = labelled.join(visits.select("label").distinct(), "label", "left_semi").withColumn("visits", F.lit(False))
-    wanted = members.unionByName(visits.select("rep", "label", F.lit(True).alias("visits")))
+    visiting = visits.join(reps.select("rep", "n_shingles"), "rep").select("rep", "n_shingles", "label", F.lit(True).alias("visits"))
+    wanted = members.unionByName(visiting)
     sets = shingle_table(documents, wanted.select(F.col("rep").alias("doc_id")).distinct(), size)
     rows = wanted.join(sets, wanted["rep"] == sets["doc_id"]).select("label", "visits", "rep", "shingles")
-    blocks_of = lambda side: F.ceil(F.count_if(side) / BLOCK).cast("int")
+    blocks_of = lambda side: F.ceil(F.greatest(F.count_if(side) / BLOCK, F.sum(F.when(side, F.col("n_shingles") * 8).otherwise(0)) / BLOCK_BYTES)).cast("int")
     counted = wanted.groupBy("label").agg(blocks_of(F.col("visits")).alias("visit_blocks"), blocks_of(~F.col("visits")).alias("member_blocks"))
     dealt = rows.join(anew(counted, "label"), "label").withColumn("block", F.pmod(F.xxhash64("rep"), F.when(F.col("visits"), F.col("visit_blocks")).otherwise(F.col("member_blocks"))).cast("int"))
     blocks = checkpoint(dealt.groupBy("label", "visits", "block", "visit_blocks", "member_blocks").agg(F.collect_list("rep").alias("reps"), F.collect_list("shingles").alias("sets")))
