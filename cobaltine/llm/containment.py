@@ -15,11 +15,13 @@ block where it is read, so nothing but the pairs found is shuffled.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,21 +48,24 @@ def sketch_size(n: int, percent: int) -> int:
 
 
 def item_shingles(benchmark: DataFrame, size: int, percent: int) -> DataFrame:
-    """(item_id, shingle, hash, minimum, n_shingles): the distinct shingles of each item."""
+    """(entry, item_id, shingle, hash, minimum, n_shingles): the distinct shingles of each entry, which is one text of one item."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        entry = TaskContext.get().partitionId() << 33
         for batch in slices(batches, "text"):
             data, s, e, hashes, first = shingled(batch.column("text"), size)
             whole, rows = data.tobytes(), []
             for item, a, b in zip(batch.column("item_id").to_pylist(), first[:-1].tolist(), first[1:].tolist(), strict=True):
                 h, at = np.unique(hashes[a : max(a, b - size + 1)], return_index=True)
                 least = sketch_size(len(h), percent)
-                rows += [(item, shingle_text(whole, s, e, a + i, size), x, rank < least, len(h)) for rank, (x, i) in enumerate(zip(h.view(np.int64).tolist(), at.tolist(), strict=True))]
-            columns = list(zip(*rows, strict=True)) or [()] * 5
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.int64(), pa.bool_(), pa.int64()), strict=True)], ["item_id", "shingle", "hash", "minimum", "n_shingles"])
+                entry += 1
+                rows += [(entry, item, shingle_text(whole, s, e, a + i, size), x, rank < least, len(h)) for rank, (x, i) in enumerate(zip(h.view(np.int64).tolist(), at.tolist(), strict=True))]
+            columns = list(zip(*rows, strict=True)) or [()] * 6
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.bool_(), pa.int64()), strict=True)], ["entry", "item_id", "shingle", "hash", "minimum", "n_shingles"])
 
-    # one row an item, so that its shingles are counted and its minima taken together
-    return benchmark.filter("item_id is not null").groupBy("item_id").agg(F.max("text").alias("text")).mapInArrow(sketch, "item_id long, shingle binary, hash long, minimum boolean, n_shingles long").distinct()
+    # one row a text of an item, so that its shingles are counted and its minima taken together
+    texts = benchmark.filter("item_id is not null").select("item_id", "text").distinct()
+    return texts.mapInArrow(sketch, "entry long, item_id long, shingle binary, hash long, minimum boolean, n_shingles long")
 
 
 @dataclass
@@ -75,21 +80,21 @@ class Sketches:
     item: np.ndarray
     is_minimum: np.ndarray
     words: list[bytes]
-    #: of each item: item_id and number of shingles
+    #: of each entry of the benchmark, a text of an item: item_id and number of shingles
     ids: np.ndarray
     sizes: np.ndarray
 
     @classmethod
     def of(cls, block: DataFrame) -> Sketches:
         """Collects the shingles of a block of bounded size as Arrow columns."""
-        t = block.select("item_id", "shingle", "hash", "minimum", "n_shingles").toArrow()
-        items, n, h = (t.column(c).to_numpy() for c in ("item_id", "n_shingles", "hash"))
-        ids, first, item = np.unique(items, return_index=True, return_inverse=True)
+        t = block.select("entry", "item_id", "shingle", "hash", "minimum", "n_shingles").toArrow()
+        entries, ids, n, h = (t.column(c).to_numpy() for c in ("entry", "item_id", "n_shingles", "hash"))
+        _, first, item = np.unique(entries, return_index=True, return_inverse=True)
         order = np.argsort(h, kind="stable")
         hashes, starts = np.unique(h[order], return_index=True)
         minimum = t.column("minimum").to_numpy()[order]
         any_minimum = np.logical_or.reduceat(minimum, starts) if len(starts) else minimum
-        return cls(hashes, np.append(starts, len(h)), any_minimum, item[order], minimum, t.column("shingle").take(pa.array(order)).to_pylist(), ids, n[first] if len(n) else n)
+        return cls(hashes, np.append(starts, len(h)), any_minimum, item[order], minimum, t.column("shingle").take(pa.array(order)).to_pylist(), ids[first], n[first])
 
 
 def search(batches: Iterator[pa.RecordBatch], sketches: Sketches, size: int, percent: int) -> Iterator[pa.RecordBatch]:
@@ -144,22 +149,27 @@ def contained_items(documents: DataFrame, benchmark: DataFrame, size: int = 5, p
     ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased, shingles ``size`` words.  Returns doc_id, item_id,
     n_shingles (of the item), n_shared and containment.  Items with fewer words, or a null
     or empty text, have no shingle and are found nowhere, and so has a document; rows without
-    an id take no part.  Repeated rows give one pair; of different texts with one doc_id the
-    one that shares most counts.  Of several texts with one item_id the last in order counts.  Other columns are not
-    looked at.
+    an id take no part.  Repeated rows give one pair.  Each of several texts with one item_id
+    is searched on its own, in each of several texts with one doc_id: of the finds of a pair
+    the one of the greatest containment counts, of these the one that shares most.  Other
+    columns are not looked at.
     """
     documents = documents.select("doc_id", "text").filter("doc_id is not null")
     items = checkpoint(item_shingles(benchmark, size, percent))
     n, size_bytes = items.agg(F.count("*"), F.coalesce(F.sum(F.length("shingle") + 64), F.lit(0))).first()
     blocks = max(1, -(-n // block_shingles), -(-size_bytes // block_bytes))
-    found = None
+    parts = []
     for i in range(blocks):
-        block = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == i) if blocks > 1 else items
+        block = items.filter(F.pmod(F.xxhash64("entry"), F.lit(blocks)) == i) if blocks > 1 else items
         held = documents.sparkSession.sparkContext.broadcast(Sketches.of(block))
         part = documents.mapInArrow(lambda batches, held=held: search(batches, held.value, size, percent), "doc_id long, item_id long, n_shingles long, n_shared long")
-        found = part if found is None else found.unionByName(part)
-    pairs = found.groupBy("doc_id", "item_id").agg(F.max("n_shingles").alias("n_shingles"), F.max("n_shared").alias("n_shared"))
-    return pairs.withColumn("containment", F.col("n_shared") / F.col("n_shingles"))
+        if blocks > 1:  # pairs found are written before the next block is read, so that one block is held at a time
+            part = checkpoint(part)
+            held.destroy()
+        parts.append(part)
+    best = F.max(F.struct((F.col("n_shared") / F.col("n_shingles")).alias("containment"), "n_shared", "n_shingles")).alias("best")
+    pairs = functools.reduce(DataFrame.unionByName, parts).groupBy("doc_id", "item_id").agg(best)
+    return pairs.select("doc_id", "item_id", "best.n_shingles", "best.n_shared", "best.containment")
 
 
 def without_items(documents: DataFrame, benchmark: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:

@@ -24,15 +24,18 @@ select d.doc_id, cast(coalesce(n_words, 0) as bigint) as n_words, cast(coalesce(
 from documents d left join kept k on k.doc_id = d.doc_id where d.doc_id is not null
 """
 
+#: texts of one item_id are items of their own, texts of one doc_id documents of their own; the best find of a pair counts
 OP8 = f"""
-with shingled(kind, id, w) as (
-  select 'd', doc_id, {WORDS.format(ASCII_LOWER.format("coalesce(text, '')"))} from documents
-  union all select 'b', item_id, {WORDS.format(ASCII_LOWER.format("coalesce(text, '')"))} from benchmark),
-grams as (select distinct kind, id, array_to_string(w[i:i + 4], ' ') as s from (select kind, id, w, unnest(range(1, len(w) - 3)) as i from shingled)),
-sizes as (select id as item_id, count(*) as n_shingles from grams where kind = 'b' group by id),
-pairs as (select d.id as doc_id, b.id as item_id, count(*) as n_shared from grams d join grams b on d.s = b.s where d.kind = 'd' and b.kind = 'b' group by d.id, b.id)
+with texts(kind, id, t) as (
+  select distinct 'd', doc_id, coalesce(text, '') from documents where doc_id is not null
+  union all select distinct 'b', item_id, coalesce(text, '') from benchmark where item_id is not null),
+shingled as (select row_number() over () as r, kind, id, {WORDS.format(ASCII_LOWER.format("t"))} as w from texts),
+grams as (select distinct r, kind, id, array_to_string(w[i:i + 4], ' ') as s from (select r, kind, id, w, unnest(range(1, len(w) - 3)) as i from shingled)),
+sizes as (select r, count(*) as n_shingles from grams where kind = 'b' group by r),
+pairs as (select d.r as d, b.r, d.id as doc_id, b.id as item_id, count(*) as n_shared from grams d join grams b on d.s = b.s where d.kind = 'd' and b.kind = 'b' group by all)
 select doc_id, item_id, n_shingles, n_shared, n_shared / n_shingles as containment
-from pairs join sizes using (item_id) where n_shared * 100 >= 80 * n_shingles
+from pairs join sizes using (r) where n_shared * 100 >= 80 * n_shingles
+qualify row_number() over (partition by doc_id, item_id order by n_shared / n_shingles desc, n_shared desc) = 1
 """
 
 OP9 = f"""
