@@ -5,13 +5,13 @@
 2.  The keys that reach ``min_docs`` are dealt to shards by hash.  Each shard becomes a
     minimal perfect hash (levels of bit arrays; a key's slot is the rank of its bit) over
     two parallel arrays: a 64-bit fingerprint and the document count.
-3.  Documents are read again and probe the arrays; lines are never joined, and texts never
-    shuffled.
+3.  Documents are read again and probe the arrays; lines are not joined with one another.
 
 The arrays hold only keys that reach ``min_docs``.  Up to ``broadcast_bytes`` they are
 broadcast whole.  Beyond that, the hashes of all lines are dealt to their shards once and
-probed there, a shard with many lines in several parts; only the keys found go back to the
-texts.  Every row is a document of its own, whatever its doc_id.
+probed there, a shard with many lines in several parts; the keys found meet the texts in a
+join that Spark can split where a third of all rows are copies of one text, and which shuffles the
+texts once.  Every row is a document of its own, whatever its doc_id.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import LOWER, SPACE, mix, slices, span_hashes, text_bytes
-from .storage import checkpoint
+from .storage import anew, checkpoint
 
 #: bits of a level's array for each key that is still without a slot
 SPREAD = 2
@@ -185,7 +185,7 @@ def dedup_lines(documents: DataFrame, min_docs: int = 10, min_chars: int = 1, sh
     # equal texts share their lines' fate, so a hash of the text names what is found; should two texts share it, each still looks for its own lines only
     named = documents.withColumn("place", F.xxhash64(F.coalesce("text", F.lit(""))))
     per_text = probed(named.select("place", "text"), checkpoint(built), shards, min_chars, part_lines).groupBy("place").agg(F.collect_set(F.struct("h1", "h2")).alias("found"))
-    joined = named.join(per_text, "place", "left").select("doc_id", "text", *with_columns, "found")
+    joined = named.join(anew(per_text, "place"), "place", "left").select("doc_id", "text", *with_columns, "found")
     return joined.mapInArrow(lambda batches: drop_lines(batches, among, min_chars, with_columns), schema)
 
 
