@@ -89,9 +89,11 @@ def share_needed(sample: np.ndarray, books: tuple[np.ndarray, np.ndarray], k: in
         return 1.0
     cell = cells_of(sample, books)
     counts = np.bincount(cell, minlength=len(books[0]) * len(books[1]))
-    picked = sample[:: max(1, len(sample) // queries)][:queries]
+    own = np.arange(0, len(sample), max(1, len(sample) // queries))[:queries]
+    picked = sample[own]
     scores = picked @ sample.T
-    best = np.argpartition(-scores, k, axis=1)[:, : k + 1]
+    scores[np.arange(len(own)), own] = -np.inf  # a query is no neighbour of its own
+    best = np.argpartition(-scores, k - 1, axis=1)[:, :k]
     left, right = (distances(h, c) for h, c in zip(halves(picked), books, strict=True))
     for share in SHARES:
         found = [np.isin(cell[b], walk(x, y, counts, int(np.ceil(share * len(sample))))).mean() for b, x, y in zip(best, left, right, strict=True)]
