@@ -21,7 +21,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .arrays import slices, span_hashes, text_bytes
+from .arrays import slices, text_bytes
 
 #: pieces whose ids are kept in a worker before the store is emptied
 STORED_PIECES = 500_000
@@ -255,16 +255,18 @@ class BatchEncoder:
         """Ids of all texts, and where each row's ids start (one more at the end)."""
         start, first = self.split(data, offsets)
         end = np.append(start[1:], len(data))
-        unique, example, piece = np.unique(span_hashes(data, start, end), return_index=True, return_inverse=True)
-        whole, known, encoded = data.tobytes(), self.known, []
-        for h, a, b in zip(unique.tolist(), start[example].tolist(), end[example].tolist(), strict=True):
-            ids = known.get(h)
+        # pieces are told apart byte for byte
+        spans = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(np.append(start, end[-1:]).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
+        coded, known, encoded = spans.dictionary_encode(), self.known, []
+        piece = coded.indices.to_numpy()
+        for span in coded.dictionary.to_pylist():
+            ids = known.get(span)
             if ids is None:
-                ids = np.array(encode_piece(self.vocabulary, whole[a:b]), np.uint32).tobytes()
-                if b - a <= 64:
+                ids = np.array(encode_piece(self.vocabulary, span), np.uint32).tobytes()
+                if len(span) <= 64:
                     if len(known) >= STORED_PIECES:
                         known.clear()
-                    known[h] = ids
+                    known[span] = ids
             encoded.append(ids)
         sizes = np.array(list(map(len, encoded)), np.int64) // 4
         ids, ends = ragged(np.frombuffer(b"".join(encoded), np.uint32), (np.cumsum(sizes) - sizes)[piece], sizes[piece])

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from cobaltine.llm import lloyd, repair, wordbpe
+from cobaltine.llm import bpe, lloyd, repair, wordbpe
 from cobaltine.llm.arrays import text_bytes
 from cobaltine.llm.sql import OP12
 
@@ -47,6 +47,10 @@ def test_words_are_encoded_and_decoded_as_the_library_does(encoder, library):
         assert decoded[i].decode() == library.decode(want.ids, skip_special_tokens=False), text
 
 
+def test_byte_level_pieces_are_split_by_the_public_pattern():
+    assert bpe.BatchEncoder.PATTERN == public_tokenizers.PATTERN
+
+
 def test_long_fragments_merge_as_short_ones_do(encoder):
     rng, v = random.Random(2), encoder.vocabulary
     for _ in range(200):
