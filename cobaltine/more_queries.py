@@ -58,10 +58,11 @@ FIRST_MEANS = "tail as (select *, row_number() over (partition by series order b
 
 @query(f"""with {DAILY}, {FIRST_MEANS}, level as (select series, round(avg(qty) filter (where back <= 7), 2) as a, round(list_reduce(list(qty order by ds), lambda p, x: 0.3::double * x + 0.7::double * p), 2) as b from tail group by series),
 f as (select series, unnest(['moving_average', 'smoothing']) as preset, unnest([a, b]) as qty from level)
-select series, preset, round(7 * qty, 2) as total, round(qty, 2) as average, qty as max, qty as min, 7::bigint as days from f""")
+select series, preset, round(7 * qty, 2) as total, round(qty, 2) as average, qty as max, qty as min, 7::bigint as days, qty as third_day, round(avg(round(7 * qty, 2)) over (partition by preset), 1) as mean_total from f""")
 def compare_presets(spark, d):
     s = daily(spark, d)
-    return evaluation.compare({"moving_average": series.flat_average_forecast(s, 7), "smoothing": series.flat_smoothing_forecast(s)})
+    found = evaluation.compare({"moving_average": series.flat_average_forecast(s, 7), "smoothing": series.flat_smoothing_forecast(s)})
+    return found.withColumn("third_day", F.get("first_3", 2)).drop("first_3")
 
 
 @query(f"""with {DAILY}, monthly as (select series, date_trunc('month', ds)::date as ds, sum(qty) as qty from daily group by 1, 2),

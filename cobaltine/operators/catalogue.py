@@ -101,32 +101,42 @@ def skill_names() -> dict[str, object]:
     return {"__builtins__": {n: getattr(builtins, n) for n in BUILTINS} | errors | {"__import__": bring}, "__name__": "skill", "date": date, "timedelta": timedelta}
 
 
-def run_python(series: DataFrame, code: str, seconds: float = 30.0) -> DataFrame:
-    """(series, ds, qty, error) of ``forecast(points)``, called once a series with its (date, qty) pairs in order.
+def called(code: str, group: pd.DataFrame, seconds: float) -> list[tuple]:
+    """(ds, qty, error) of ``forecast(points)`` over one series, rows in order of ds."""
+    names = skill_names()
+    try:
+        with time_limit(seconds):
+            exec(compile(code, "<skill>", "exec"), names)  # noqa: S102
+            found = points(names["forecast"](list(zip(group["ds"], group["qty"], strict=True))), group["ds"].iloc[-1])
+        return [(ds, qty, None) for ds, qty in found]
+    except TooLong:
+        return [(None, None, f"TooLong: {seconds:g} s")]
+    except Exception as error:  # what a skill raises is its result
+        return [(None, None, f"{type(error).__name__}: {error}")]
+
+
+def run_python_by(rows: DataFrame, codes: dict[int, str], seconds: float = 30.0) -> DataFrame:
+    """(series, branch, ds, qty, error): calls the skill of each row's ``branch``, once a series with its (date, qty) pairs in order.
 
     A series whose call fails, or takes longer than ``seconds``, gives one row with the error
     and no date; the others go on.
     """
-    check_code(code)
+    for code in codes.values():
+        check_code(code)
 
     def call(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("ds")
-        names = skill_names()
-        try:
-            with time_limit(seconds):
-                exec(compile(code, "<skill>", "exec"), names)  # noqa: S102
-                found = points(names["forecast"](list(zip(group["ds"], group["qty"], strict=True))), group["ds"].iloc[-1])
-            rows = [(ds, qty, None) for ds, qty in found]
-        except TooLong:
-            rows = [(None, None, f"TooLong: {seconds:g} s")]
-        except Exception as error:  # what a skill raises is its result
-            rows = [(None, None, f"{type(error).__name__}: {error}")]
-        out = pd.DataFrame(rows, columns=["ds", "qty", "error"])
-        out.insert(0, "series", group["series"].iloc[0])
-        return out
-
-    key = series.schema["series"].dataType.simpleString()
-    return series.select("series", "ds", F.coalesce("qty", F.lit(0.0)).alias("qty")).groupBy("series").applyInPandas(call, f"series {key}, ds date, qty double, error string")
+        out = pd.DataFrame(called(codes[int(group["branch"].iloc[0])], group, seconds), columns=["ds", "qty", "error"])
+        return out.assign(series=group["series"].iloc[0], branch=group["branch"].iloc[0])[["series", "branch", "ds", "qty", "error"]]
+
+    key = rows.schema["series"].dataType.simpleString()
+    given = rows.select("series", "branch", "ds", F.coalesce("qty", F.lit(0.0)).alias("qty"))
+    return given.groupBy("series", "branch").applyInPandas(call, f"series {key}, branch int, ds date, qty double, error string")
+
+
+def run_python(series: DataFrame, code: str, seconds: float = 30.0) -> DataFrame:
+    """(series, ds, qty, error) of one skill over all series, as ``run_python_by``."""
+    return run_python_by(series.withColumn("branch", F.lit(0)), {0: code}, seconds).drop("branch")
 
 
 def current(versions: DataFrame) -> DataFrame:

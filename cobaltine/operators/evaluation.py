@@ -13,8 +13,8 @@ def last_of_date(rows: DataFrame, order: str) -> DataFrame:
     return rows.groupBy("series", "ds").agg(F.max_by("qty", order).alias("qty"))
 
 
-def accuracy(forecast: DataFrame, actual: DataFrame, order: str | None = None) -> DataFrame:
-    """MAE, MAPE, RMSE and sMAPE of each series over the dates both have; rounded to four places.
+def accuracy(forecast: DataFrame, actual: DataFrame, order: str | None = None, by: tuple[str, ...] = ("series",)) -> DataFrame:
+    """MAE, MAPE, RMSE and sMAPE of each series (or of what ``by`` names: series and more columns of ``forecast``) over the dates both have; rounded to four places.
 
     Where a date may occur twice in a series, ``order`` names the column of both sides whose
     highest value counts; without it dates must be distinct.
@@ -23,11 +23,11 @@ def accuracy(forecast: DataFrame, actual: DataFrame, order: str | None = None) -
     """
     if order:
         forecast, actual = last_of_date(forecast, order), last_of_date(actual, order)
-    f = forecast.select("series", "ds", F.col("qty").alias("f"))
+    f = forecast.select(*by, "ds", F.col("qty").alias("f"))
     both = f.join(actual.select("series", "ds", F.col("qty").alias("a")), ["series", "ds"], "left")
     error, scale = F.abs(F.col("f") - F.col("a")), F.abs("f") + F.abs("a")
     smape = F.when(F.col("a").isNull(), None).when(scale == 0, 0.0).otherwise(200 * error / scale)
-    return both.groupBy("series").agg(
+    return both.groupBy(*by).agg(
         F.round(F.avg(error), 4).alias("mae"),
         F.round(100 * F.avg(F.when(F.col("a") != 0, error / F.abs("a"))), 4).alias("mape"),
         F.round(F.sqrt(F.avg(error * error)), 4).alias("rmse"),
@@ -104,9 +104,33 @@ def recommend(profiles: DataFrame, trends: DataFrame, lags: DataFrame) -> DataFr
     return seen.select("series", picked.alias("presets"))
 
 
+def suggested(profiles: DataFrame, trends: DataFrame, lags: DataFrame, critical: float = 1.96) -> DataFrame:
+    """Parameters that suit each series: columns window (moving average), alpha, trend_window, period, horizon, z.
+
+    The more uneven a series, the shorter its window and the higher its safety stock; a trend
+    makes smoothing quicker, and a certain one the line longer.
+    """
+    seen = profiles.join(trends, "series", "left").join(lags, "series", "left")
+    n, cv = (F.col("zero_days") + F.col("nonzero_days")).cast("int"), F.when(F.col("mean") > 0, F.col("std") / F.col("mean")).otherwise(0.0)
+    half, seasonal = F.floor(n / 2).cast("int"), F.coalesce("seasonal", F.lit(False))
+    certain = F.coalesce(F.abs("z") > critical, F.lit(False))
+    return seen.select(
+        "series",
+        F.when(cv < 0.2, F.least(F.lit(14), half)).when(cv < 0.5, F.least(F.lit(7), half)).otherwise(F.least(F.lit(3), F.greatest(F.lit(1), F.floor(n / 3).cast("int")))).alias("window"),
+        F.when(F.coalesce("trend", F.lit("stable")) != "stable", 0.5).otherwise(0.2).alias("alpha"),
+        F.least(n, F.when(certain, 30).otherwise(14)).alias("trend_window"),
+        F.when(seasonal, F.col("lag").cast("int")).otherwise(7).alias("period"),
+        F.when(seasonal, F.least(F.lit(14), half)).otherwise(7).alias("horizon"),
+        F.when(cv > 0.5, 1.96).otherwise(1.65).alias("z"),
+    )
+
+
 def compare(forecasts: dict[str, DataFrame]) -> DataFrame:
-    """Total, mean, extremes and days of several forecasts of the same series."""
-    labelled = [df.select("series", "qty", F.lit(name).alias("preset")) for name, df in forecasts.items()]
-    return reduce(DataFrame.unionByName, labelled).groupBy("series", "preset").agg(
-        F.round(F.sum("qty"), 2).alias("total"), F.round(F.avg("qty"), 2).alias("average"), F.max("qty").alias("max"), F.min("qty").alias("min"), F.count("*").alias("days")
+    """Total, mean, extremes, days and first three values of several forecasts of the same series, and each forecast's mean total over all series."""
+    labelled = [df.select("series", "ds", "qty", F.lit(name).alias("preset")) for name, df in forecasts.items()]
+    first = F.transform(F.slice(F.sort_array(F.collect_list(F.struct("ds", "qty"))), 1, 3), lambda p: p["qty"])
+    each = reduce(DataFrame.unionByName, labelled).groupBy("series", "preset").agg(
+        F.round(F.sum("qty"), 2).alias("total"), F.round(F.avg("qty"), 2).alias("average"), F.max("qty").alias("max"), F.min("qty").alias("min"), F.count("*").alias("days"), first.alias("first_3")
     )
+    means = each.groupBy("preset").agg(F.round(F.avg("total"), 1).alias("mean_total"))
+    return each.join(F.broadcast(means), "preset")  # a row a forecast

@@ -85,7 +85,7 @@ def plan_gaps(spark, d):
 
 @query(f"with {DAILY}, {TAIL.format(n=14)}, level as (select series, max(ds) as last_ds, round(avg(qty), 2) as qty from tail group by series) select series, cast(last_ds + cast(s as integer) as date) as ds, qty from level, range(1, 15) r(s)")
 def preset_by_name(spark, d):
-    return presets.PRESETS.run(" Moving-Average ", daily(spark, d), window=14)
+    return presets.forecast(daily(spark, d), " Moving-Average ", window=14)
 
 
 UNEVEN = """def forecast(points):

@@ -76,13 +76,16 @@ def test_headed_sheets(spark):
 
 def test_presets(spark):
     df = spark.createDataFrame([("s", date(2025, 1, d), float(d)) for d in range(1, 11)], "series string, ds date, qty double")
-    assert {r["qty"] for r in presets.PRESETS.run("Moving Average", df, window=2).collect()} == {9.5}
-    assert presets.PRESETS.find("ARIMA") is presets.PRESETS.find("auto-arima")
-    with pytest.raises(ValueError, match="no preset x; there are auto_arima"):
-        presets.PRESETS.find("x")
-    own = presets.Presets({"a b": presets.Preset(series.moving_average, {"window": 3}, ("c",))})
-    own.add("c", presets.Preset(series.cumulative_sum))
-    assert own.find("A-B").params == {"window": 3} and own.find("c").run is series.cumulative_sum
+    assert {r["qty"] for r in presets.forecast(df, "Moving Average", window=2).collect()} == {9.5}
+    assert presets.named("ARIMA", presets.PRESETS) is presets.named(" auto-arima", presets.PRESETS)
+    with pytest.raises(LookupError, match="'movin' is no preset, the closest is moving_average"):
+        presets.named("movin", presets.PRESETS)
+    own = presets.registry([presets.Preset("a b", series.moving_average, {"window": 3}, ("c",)), presets.Preset("c", series.cumulative_sum), presets.Preset("d", series.priority_fill, needs=("calls",))])
+    assert presets.named("A-B", own).params == {"window": 3} and presets.named("c", own).forecast is series.cumulative_sum
+    with pytest.raises(LookupError, match="d needs calls"):
+        presets.forecast(df, "d", own)
+    calls = spark.createDataFrame([("s", date(2025, 1, 1), 70.0), ("s", date(2025, 1, 2), 0.0)], "series string, ds date, qty double")
+    assert sorted(r["qty"] for r in presets.forecast(df, "priority fill", inputs={"calls": calls}).collect())[-2:] == [10.0, 70.0]
 
 
 def test_snapshots(spark, tmp_path):
