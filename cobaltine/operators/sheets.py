@@ -7,15 +7,17 @@ from pyspark.sql import functions as F
 
 #: fixed values: literals that stand for a failed formula
 ERRORS = ("#REF!", "#N/A", "#VALUE!", "#DIV/0!", "#NAME?", "#NULL!", "#NUM!")
-#: fixed values: date formats in order of priority, each with what a text must look like
+#: a time of day
+CLOCK = r"(?:[01]?\d|2[0-3]):[0-5]\d:(?:[0-5]\d|6[01])"
+#: the names of these date formats and their order are fixed values; each has what a text must look like, times included
 DATE_FORMATS = (
-    ("yyyy-MM-dd HH:mm:ss", r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{2}:\d{2}$"),
-    ("yyyy/MM/dd HH:mm:ss", r"^\d{4}/\d{1,2}/\d{1,2} \d{1,2}:\d{2}:\d{2}$"),
+    ("yyyy-MM-dd HH:mm:ss", rf"^\d{{4}}-\d{{1,2}}-\d{{1,2}} {CLOCK}$"),
+    ("yyyy/MM/dd HH:mm:ss", rf"^\d{{4}}/\d{{1,2}}/\d{{1,2}} {CLOCK}$"),
     ("yyyy-MM-dd", r"^\d{4}-\d{1,2}-\d{1,2}$"),
     ("yyyy/MM/dd", r"^\d{4}/\d{1,2}/\d{1,2}$"),
     ("yyyy.MM.dd", r"^\d{4}\.\d{1,2}\.\d{1,2}$"),
     ("yyyyMMdd", r"^\d{8}$"),
-    ("dd/MM/yyyy", r"^\d{1,2}/\d{1,2}/\d{4}$"),
+    ("dd/MM/yyyy", r"^\d{1,2}/(0?[1-9]|1[0-2])/\d{4}$"),
     ("MM/dd/yyyy", r"^\d{1,2}/\d{1,2}/\d{4}$"),
     ("yyyy年MM月dd日", r"^\d{4}年\d{1,2}月\d{1,2}日$"),
 )
@@ -38,9 +40,11 @@ def fill_merged(cells: DataFrame, merges: DataFrame) -> DataFrame:
     ``merges`` has sheet, min_row, max_row, min_col, max_col.  Ranges are spread to the cells
     they cover, so the join is an equi-join.
     """
-    heads = merges.join(cells.withColumnsRenamed({"row": "min_row", "col": "min_col", "value": "head"}), ["sheet", "min_row", "min_col"])
+    kept = [c for c in ("value", "type") if c in cells.columns]
+    heads = merges.join(cells.withColumnsRenamed({"row": "min_row", "col": "min_col"}).select("sheet", "min_row", "min_col", F.struct(*kept).alias("head")).filter("head.value is not null"), ["sheet", "min_row", "min_col"])
     covered = heads.select("sheet", F.explode(F.sequence("min_row", "max_row")).alias("row"), "min_col", "max_col", "head").select("sheet", "row", F.explode(F.sequence("min_col", "max_col")).alias("col"), "head")
-    return cells.join(covered, ["sheet", "row", "col"], "left").select("sheet", "row", "col", F.coalesce("head", "value").alias("value"))
+    filled = F.coalesce("head", F.struct(*kept))
+    return cells.join(covered, ["sheet", "row", "col"], "left").select("sheet", "row", "col", *[filled[c].alias(c) for c in kept])
 
 
 def visible(cells: DataFrame, hidden_rows: DataFrame, hidden_cols: DataFrame) -> DataFrame:
@@ -90,7 +94,7 @@ def unpivot_header(cells: DataFrame, id_names: list[str], header_row: int, patte
     """Long rows (sheet, row, ids, name, qty) of the columns whose header matches ``pattern``; rows without the first id are noise."""
     header = cells.filter(F.col("row") == header_row).select("sheet", "col", F.trim("value").alias("name"))
     body = cells.filter(F.col("row") > header_row).join(header, ["sheet", "col"])
-    ids = body.filter(F.col("name").isin(*id_names)).groupBy("sheet", "row").pivot("name", id_names).agg(F.first("value"))
+    ids = body.filter(F.col("name").isin(*id_names)).groupBy("sheet", "row").pivot("name", id_names).agg(F.min_by("value", "col"))
     values = body.filter(F.col("name").rlike(pattern)).select("sheet", "row", "name", number(F.col("value")).alias("qty")).filter("qty is not null")
     return values.join(ids.filter(~is_blank(F.col(f"`{id_names[0]}`"))), ["sheet", "row"])
 
@@ -108,7 +112,7 @@ def headed(cells: DataFrame, header_row: int, names: dict[str, str]) -> DataFram
     if lacking:
         raise ValueError(f"{lacking['sheet']}: no column {', '.join(lacking['names'])}")
     body = clean(cells.filter(F.col("row") > header_row).join(header, ["sheet", "col"]))
-    table = body.groupBy("sheet", "row").pivot("name", list(names)).agg(F.first("value", ignorenulls=True)).withColumnsRenamed(names)
+    table = body.groupBy("sheet", "row").pivot("name", list(names)).agg(F.min_by("value", F.when(F.col("value").isNotNull(), F.col("col")))).withColumnsRenamed(names)
     return table.na.drop("all", subset=list(names.values()))
 
 
@@ -130,28 +134,44 @@ def unpivot_columns(wide: DataFrame, ids: list[str], names: list[str]) -> DataFr
     return wide.unpivot(ids, names, "name", "qty").filter("qty is not null")
 
 
-def dated(value: Column) -> list[tuple[str, Column]]:
-    """(kind, date or null) of a cell's text by each rule, in order of priority; blanks around it do not count.
+#: what a date's text looks like with the year in front, and what each such text, then a day first, then a month first, is rewritten to
+YEAR_FIRST = rf"^(\d{{4}})(?:([-/])(\d{{1,2}})\2(\d{{1,2}})(?: {CLOCK})?|\.(\d{{1,2}})\.(\d{{1,2}})|(\d{{2}})(\d{{2}})|年(\d{{1,2}})月(\d{{1,2}})日)$"
+REWRITTEN = ((YEAR_FIRST, "$1-$3$5$7$9-$4$6$8$10"), (r"^(\d{1,2})/(0?[1-9]|1[0-2])/(\d{4})$", "$3-$2-$1"), (r"^(\d{1,2})/(\d{1,2})/(\d{4})$", "$3-$1-$2"))
 
-    Days and months may have one digit.  Serial numbers are the text of a number cell.
-    """
+
+def serial_date(value: Column, kind: Column) -> Column:
+    """The date of a serial number (1 to 73415)."""
+    serial = F.floor(F.regexp_extract(F.trim(value), r"^[0-9]{1,5}(\.[0-9]+)?$", 0).try_cast("double")).cast("int")
+    return F.when((F.coalesce(kind, F.lit("number")) == "number") & serial.between(*SERIALS), F.date_add(F.lit(EPOCH).cast("date"), serial))
+
+
+def written_date(value: Column, kind: Column) -> Column:
+    """The date of a text in one of the nine formats; a few rewrites bring all of them to one form, so that the expression stays small."""
     text = F.trim(value)
-    serial = F.when(text.rlike(r"^[0-9]{1,5}(\.[0-9]+)?$"), F.floor(text.try_cast("double")).cast("int"))
-    rules = [("serial", F.when(serial.between(*SERIALS), F.date_add(F.lit(EPOCH).cast("date"), serial)))]
-    for name, looks in DATE_FORMATS:
-        loose = name if name == "yyyyMMdd" else name.replace("MM", "M").replace("dd", "d").replace("HH", "H")
-        rules.append((name, F.when(text.rlike(looks), F.try_to_timestamp(text, F.lit(loose)).cast("date"))))
-    return rules
+    for looks, form in REWRITTEN:
+        text = F.regexp_replace(text, looks, form)
+    return F.when(F.coalesce(kind, F.lit("text")).isin("text", "date"), F.regexp_extract(text, r"^(?!0000)\d{4}-\d{1,2}-\d{1,2}$", 0).try_cast("date"))
+
 
+def parse_date(value: Column, kind: Column | None = None) -> Column:
+    """The date of a cell: a serial number or one of the nine formats; null for anything else.
 
-def parse_date(value: Column) -> Column:
-    """The date of a cell's text: a serial number (1 to 73415) or one of the nine formats; null for anything else."""
-    return F.coalesce(*[day for _, day in dated(value)])
+    ``kind`` is the cell's type: a number can only be a serial number, a text only one of the
+    formats, a date is its own text, a truth value nothing.  Where it is not known, a text of
+    digits that may be a serial number is one.  Blanks around the text do not count, days and
+    months may have one digit, and a day comes before the month unless that is no month.
+    """
+    kind = F.lit(None).cast("string") if kind is None else kind
+    return F.coalesce(serial_date(value, kind), written_date(value, kind))
 
 
-def date_kind(value: Column) -> Column:
+def date_kind(value: Column, kind: Column | None = None) -> Column:
     """The rule that reads a date: ``serial``, the format, or null."""
-    return F.coalesce(*[F.when(day.isNotNull(), name) for name, day in dated(value)])
+    kind = F.lit(None).cast("string") if kind is None else kind
+    picked = F.lit(None).cast("string")
+    for name, looks in reversed(DATE_FORMATS):
+        picked = F.when(F.trim(value).rlike(looks), name).otherwise(picked)
+    return F.when(serial_date(value, kind).isNotNull(), "serial").when(written_date(value, kind).isNotNull(), picked)
 
 
 def date_report(values: DataFrame, target: str = "yyyy-MM-dd", samples: int = 5) -> DataFrame:
@@ -202,7 +222,7 @@ def unpivot_positions(cells: DataFrame, ids: dict[str, int], names: dict[int, st
     """
     body = cells.filter(F.col("row") >= first_row)
     by_column = {str(n): c for c, n in ids.items()}
-    found = body.filter(F.col("col").isin(*ids.values())).groupBy("sheet", "row").pivot("col", list(ids.values())).agg(F.first("value"))
+    found = body.filter(F.col("col").isin(*ids.values())).groupBy("sheet", "row").pivot("col", list(ids.values())).agg(F.min("value"))
     found = found.select("sheet", "row", *[id_value(F.col(f"`{n}`")).alias(c) for n, c in by_column.items()]).filter(F.col(f"`{next(iter(ids))}`").isNotNull())
     label = F.element_at(F.create_map(*[F.lit(x) for pair in names.items() for x in pair]), F.col("col"))
     values = body.filter(F.col("col").isin(*names)).select("sheet", "row", label.alias("name"), number(F.col("value")).alias("qty")).filter("qty is not null")
@@ -222,7 +242,7 @@ def unpivot_blocks(cells: DataFrame, ids: list[tuple[str, str]], block_row: int,
     header = lower.join(upper, ["sheet", "col"], "left").withColumn("block", F.coalesce(F.last("upper", ignorenulls=True).over(before), F.lit(""))).drop("upper")
     body = cells.filter(F.col("row") > header_row).join(header, ["sheet", "col"])
     is_id = F.concat_ws("\n", "block", "name").isin(*["\n".join(x) for x in ids])
-    named = body.filter(is_id).groupBy("sheet", "row").pivot("name", [n for _, n in ids]).agg(F.first("value"))
+    named = body.filter(is_id).groupBy("sheet", "row").pivot("name", [n for _, n in ids]).agg(F.min_by("value", "col"))
     named = named.select("sheet", "row", *[id_value(F.col(f"`{n}`")).alias(n) for _, n in ids]).filter(F.col(f"`{ids[0][1]}`").isNotNull())
     values = body.filter(~is_id & F.col("name").rlike(pattern)).select("sheet", "row", "block", "name", number(F.col("value")).alias("qty")).filter("qty is not null")
     return values.join(named, ["sheet", "row"])

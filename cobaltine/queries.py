@@ -536,7 +536,7 @@ def markdown_table_rows(spark, d):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import batch_queries, more_queries, text_queries  # noqa: F401  register their own
+    from . import batch_queries, more_queries, sheet_queries, text_queries  # noqa: F401  register their own
 
     return dict(QUERIES)
 

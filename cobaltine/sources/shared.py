@@ -23,3 +23,10 @@ def dealt(rows: DataFrame, column: str, name: str) -> DataFrame:
     path = scratch(rows.sparkSession, name)
     rows.write.partitionBy(column).parquet(path)
     return rows.sparkSession.read.schema(rows.select(*[c for c in rows.columns if c != column], column).schema).parquet(path)
+
+
+def written(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` written once and read again: what several branches of a plan use is computed once."""
+    path = scratch(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SCHEMA = "path string, sheet string, kind string, row int, col int, max_row int, max_col int, value string"
+SCHEMA = "path string, sheet string, kind string, row int, col int, max_row int, max_col int, value string, type string"
 
 
 def place(reference: str) -> tuple[int, int]:
@@ -49,8 +49,12 @@ def shown(cell: ElementTree.Element, strings: list[str]) -> str | None:
     return {"1": "true", "0": "false"}[value] if value is not None and kind == "b" else value
 
 
+#: how a cell's type is stored, and what it is called here; none is a number
+TYPES = {"s": "text", "inlineStr": "text", "str": "text", "e": "text", "b": "bool", "d": "date", "n": "number", None: "number"}
+
+
 def rows_of(content: bytes) -> Iterator[tuple]:
-    """(sheet, kind, row, col, max_row, max_col, value) of every sheet; kinds: cell, merge, hidden_row, hidden_col."""
+    """(sheet, kind, row, col, max_row, max_col, value, type) of every sheet; kinds: cell, merge, hidden_row, hidden_col."""
     with zipfile.ZipFile(io.BytesIO(content)) as archive:
         shared = tree(archive, "xl/sharedStrings.xml")
         strings = ["".join(t.text or "" for t in si.iter("t")) for si in shared.iter("si")] if shared is not None else []
@@ -62,15 +66,15 @@ def rows_of(content: bytes) -> Iterator[tuple]:
                 continue
             for row in root.iter("row"):
                 if row.get("hidden") in ("1", "true") or float(row.get("ht", 1)) <= 0:
-                    yield name, "hidden_row", int(row.get("r")), None, None, None, None
+                    yield name, "hidden_row", int(row.get("r")), None, None, None, None, None
                 for cell in row.iter("c"):
-                    yield name, "cell", *place(cell.get("r")), None, None, shown(cell, strings)
+                    yield name, "cell", *place(cell.get("r")), None, None, shown(cell, strings), TYPES.get(cell.get("t"), "text")
             for merge in root.iter("mergeCell"):
                 first, _, last = merge.get("ref").partition(":")
-                yield name, "merge", *place(first), *place(last or first), None
+                yield name, "merge", *place(first), *place(last or first), None, None
             for col in root.iter("col"):
                 if col.get("hidden") in ("1", "true") or float(col.get("width", 1)) <= 0:
-                    yield name, "hidden_col", None, int(col.get("min")), None, int(col.get("max")), None
+                    yield name, "hidden_col", None, int(col.get("min")), None, int(col.get("max")), None, None
 
 
 def workbook(spark: SparkSession, path: str) -> DataFrame:
@@ -97,6 +101,11 @@ def cells(book: DataFrame) -> DataFrame:
     return book.filter("kind = 'cell'").select(*sheet_key(), "row", "col", "value")
 
 
+def typed_cells(book: DataFrame) -> DataFrame:
+    """(sheet, row, col, value, type): type is number, text, bool or date, as it is stored."""
+    return book.filter("kind = 'cell'").select(*sheet_key(), "row", "col", "value", "type")
+
+
 def merges(book: DataFrame) -> DataFrame:
     return book.filter("kind = 'merge'").select(*sheet_key(), F.col("row").alias("min_row"), "max_row", F.col("col").alias("min_col"), "max_col")
 
