@@ -6,9 +6,12 @@ and no text is parsed in Python.  Nulls count as empty texts.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
 from .retrieval import slug
 
 HEADING, FENCE, SEPARATOR = r"^(#{1,6})[ \t]+(.*)$", r"^\s*(```|~~~)", r"^\s*\|?\s*:?-+:?\s*(\|\s*:?-+:?\s*)+\|?\s*$"
@@ -85,3 +88,75 @@ def chunks(documents: DataFrame, key: str, text: str) -> DataFrame:
     shown = F.array_join(F.zip_with("headers", "cells", lambda h, c: F.concat(h, F.lit(": "), c)), "\n")
     rows = table_rows(documents, key, text).select(key, "section", number.alias("row"), shown.alias("body")).join(named.select(key, "section", "chunk_id", "path"), [key, "section"])
     return whole.unionByName(rows.select(key, F.concat("chunk_id", F.lit("#row-"), F.col("row").cast("string")).alias("chunk_id"), F.lit("table_row").alias("chunk_type"), F.array_join("path", " > ").alias("title"), "body"))
+
+
+def code_blocks(documents: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, section, line, language, content) of each fenced block; one that is not closed takes the rest of the document."""
+    marked = lines(documents, key, text).withColumn("mark", F.col("value").rlike(FENCE))
+    so_far = Window.partitionBy(key).orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    inside = marked.withColumn("marks", F.sum(F.col("mark").cast("int")).over(so_far)).filter("fenced").withColumn("block", F.floor((F.col("marks") + 1) / 2))
+    opens = F.col("mark") & (F.col("marks") % 2 == 1)
+    content = F.sort_array(F.collect_list(F.when(~F.col("mark"), F.struct("line", "value"))))
+    return (
+        inside.groupBy(key, "block")
+        .agg(F.max("section").alias("section"), F.min("line").alias("line"), F.max(F.when(opens, F.regexp_extract("value", r"^\s*(?:```|~~~)\s*(\S*)", 1))).alias("language"), content.alias("rows"))
+        .select(key, "section", "line", "language", F.array_join(F.transform("rows", lambda r: r["value"]), "\n").alias("content"))
+    )
+
+
+def trees(heads: DataFrame, key: str) -> DataFrame:
+    """(key, title, summary, sections): each document's sections as one nested JSON array, from the rows of ``sections``.
+
+    A node has section, level, title, body and children.  Nodes are folded into their parents
+    from the deepest to the top, one join a depth, six at most, as headings have six ranks; a skipped rank makes no
+    depth of its own.  The summary is the text before the first heading, the title the first heading of rank one, else of any.
+    """
+    node = F.to_json(F.struct("section", "level", "title", "body"))
+    shown = heads.withColumns({"depth": F.size("path"), "node": node})
+    nodes = written(shown.select(key, "section", "parent", "level", "title", "body", "depth", F.expr("left(node, length(node) - 1)").alias("head")), "nodes")
+    folded = None
+    for d in reversed(LEVELS):
+        at = nodes.filter((F.col("depth") == d) & (F.col("section") > 0))
+        children = F.lit("")
+        if folded is not None:
+            at, children = at.join(folded, [key, "section"], "left"), F.coalesce("children", F.lit(""))
+        whole = at.select(key, "section", "parent", F.concat("head", F.lit(',"children":['), children, F.lit("]}")).alias("json"))
+        ordered = F.sort_array(F.collect_list(F.struct("section", "json")))
+        folded = whole.groupBy(key, F.col("parent").alias("section")).agg(F.array_join(F.transform(ordered, lambda x: x["json"]), ",").alias("children"))
+    top = folded.filter("section = 0").select(key, F.concat(F.lit("["), "children", F.lit("]")).alias("sections"))
+    rank = F.when(F.col("section") > 0, F.struct((F.col("level") > 1).alias("lower"), "section", "title"))
+    facts = nodes.groupBy(key).agg(F.min(rank).alias("first"), F.max(F.when(F.col("section") == 0, F.col("body"))).alias("summary"))
+    return facts.join(top, key, "left").select(key, F.coalesce("first.title", F.lit("")).alias("title"), F.coalesce("summary", F.lit("")).alias("summary"), F.coalesce("sections", F.lit("[]")).alias("sections"))
+
+
+def unfolded(nested: DataFrame, key: str) -> DataFrame:
+    """(key, section, level, title, parent, body): the rows of ``trees`` as a table again."""
+    leaf = "section: int, level: int, title: string, body: string"
+    kind = f"array<struct<{leaf}>>"
+    for _ in LEVELS:
+        kind = f"array<struct<{leaf}, children: {kind}>>"
+    found, now = [], nested.select(key, F.lit(0).alias("parent"), F.from_json("sections", kind).alias("nodes"))
+    for _ in LEVELS:
+        each = now.select(key, "parent", F.explode("nodes").alias("n"))
+        found.append(each.select(key, "n.section", "n.level", "n.title", "parent", "n.body"))
+        now = each.select(key, F.col("n.section").alias("parent"), F.col("n.children").alias("nodes"))
+    return reduce(DataFrame.unionByName, found)
+
+
+def index(documents: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, title, section_count, chunk_count, table_rows, code_blocks): what a knowledge base's index says of each document."""
+    counted = lambda rows, name: rows.groupBy(key).agg(F.count("*").alias(name))
+    heads = sections(documents, key, text)
+    first = heads.filter("section > 0").groupBy(key).agg(F.min(F.struct((F.col("level") > 1).alias("lower"), "section", "title"))["title"].alias("title"))
+    parts = {"section_count": heads.filter("section > 0"), "chunk_count": chunks(documents, key, text), "table_rows": table_rows(documents, key, text), "code_blocks": code_blocks(documents, key, text)}
+    out = documents.select(key).distinct().join(first, key, "left").withColumn("title", F.coalesce("title", F.lit("")))
+    for name, rows in parts.items():
+        out = out.join(counted(rows, name), key, "left").withColumn(name, F.coalesce(name, F.lit(0).cast("bigint")))
+    return out
+
+
+def write_base(documents: DataFrame, key: str, text: str, path: str) -> None:
+    """A knowledge base below ``path``: tree (a document a line), chunks by document and index, each replaced as a whole."""
+    trees(sections(documents, key, text), key).write.mode("overwrite").json(f"{path}/tree")
+    chunks(documents, key, text).write.mode("overwrite").partitionBy(key).json(f"{path}/chunks")
+    index(documents, key, text).write.mode("overwrite").json(f"{path}/index")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .functions import formula
 from .more_queries import W, supplier_sheet
-from .operators import catalogue, presets, reporting, sheets, texts
+from .operators import catalogue, markdown, presets, reporting, sheets, texts
 from .queries import DAILY, HEADED, TAIL, daily, headed, monthly, query, table
 from .streaming import windows
 
@@ -69,6 +69,45 @@ def page_kinds(spark, d):
     return table(spark, d, "part").select(F.col("p_partkey").alias("id"), texts.page_kind(path).alias("x")).select("id", "x.module", "x.kind")
 
 
+def notes(spark, d):
+    """Parts described in markdown of four forms: ranks skipped, nested, without a heading, with code and a table."""
+    t = lambda *x: F.concat_ws("\n", *[F.lit(v) if isinstance(v, str) else v for v in x])
+    name, kind, k = F.col("p_name"), F.col("p_type"), F.col("p_partkey") % 4
+    deep = t("before", F.concat(F.lit("## "), name), "a", F.concat(F.lit("#### "), kind), "b", "### c", "## d", "e")
+    nested = t(F.concat(F.lit("# "), name), F.concat(F.lit("## "), kind), "x", "### y", "# z")
+    coded = t(F.concat(F.lit("# "), name), "```sql", F.concat(F.lit("# "), kind), "", "```", "| a | b |", "|---|---|", "| 1 | 2 |", "| 3 | 4 |", "~~~", "rest")
+    text = F.when(k == 0, deep).when(k == 1, nested).when(k == 2, F.concat(F.lit(" only "), name)).otherwise(coded)
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), text.alias("text"))
+
+
+def node(section: str, level: int, title: str, body: str, *children: str) -> str:
+    """A node of a tree as a DuckDB expression of its JSON text; ``title`` and ``body`` are expressions."""
+    inner = " || ',' || ".join(children) or "''"
+    return f"""'{{"section":{section},"level":{level},"title":' || to_json({title}) || ',"body":' || to_json({body}) || ',"children":[' || {inner} || ']}}'"""
+
+
+CODED = "'```sql' || chr(10) || '# ' || p_type || chr(10) || chr(10) || '```' || chr(10) || '| a | b |' || chr(10) || '|---|---|' || chr(10) || '| 1 | 2 |' || chr(10) || '| 3 | 4 |' || chr(10) || '~~~' || chr(10) || 'rest'"
+
+
+@query(f"""select p_partkey as id, case p_partkey % 4 when 2 then '' else p_name end as title, case p_partkey % 4 when 0 then 'before' when 2 then 'only ' || p_name else '' end as summary,
+case p_partkey % 4 when 0 then '[' || {node("1", 2, "p_name", "'a'", node("2", 4, "p_type", "'b'"), node("3", 3, "'c'", "''"))} || ',' || {node("4", 2, "'d'", "'e'")} || ']'
+  when 1 then '[' || {node("1", 1, "p_name", "''", node("2", 2, "p_type", "'x'", node("3", 3, "'y'", "''")))} || ',' || {node("4", 1, "'z'", "''")} || ']'
+  when 2 then '[]' else '[' || {node("1", 1, "p_name", CODED)} || ']' end as sections from part""")
+def section_tree(spark, d):
+    return markdown.trees(markdown.sections(notes(spark, d), "id", "text"), "id")
+
+
+@query("""select p_partkey as id, 1 as section, 1 as line, 'sql' as language, '# ' || p_type || chr(10) as content from part where p_partkey % 4 = 3
+union all select p_partkey, 1, 9, '', 'rest' from part where p_partkey % 4 = 3""")
+def code_in_notes(spark, d):
+    return markdown.code_blocks(notes(spark, d), "id", "text")
+
+
+@query("""select p_partkey as id, case k when 2 then '' else p_name end as title, [4, 4, 0, 1][k + 1]::bigint as section_count, [5, 4, 1, 3][k + 1]::bigint as chunk_count, [0, 0, 0, 2][k + 1]::bigint as table_rows, [0, 0, 0, 2][k + 1]::bigint as code_blocks from (select *, p_partkey % 4 as k from part)""")
+def notes_index(spark, d):
+    return markdown.index(notes(spark, d), "id", "text")
+
+
 # sheets, presets, skills, turns
 
 
