@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .functions import formula
 from .more_queries import W, supplier_sheet
-from .operators import catalogue, markdown, presets, reporting, sheets, texts
+from .operators import catalogue, likeness, markdown, presets, reporting, sheets, texts
 from .queries import DAILY, HEADED, TAIL, daily, headed, monthly, query, table
 from .streaming import windows
 
@@ -69,6 +69,32 @@ def page_kinds(spark, d):
     return table(spark, d, "part").select(F.col("p_partkey").alias("id"), texts.page_kind(path).alias("x")).select("id", "x.module", "x.kind")
 
 
+#: longest common subsequence of a and b (under 60 letters): a bit a letter of a, and one step a letter of b
+LCS = """length(a) - bit_count(list_reduce(list_concat([(1::bigint << length(a)) - 1], list_transform(string_split(b, ''), lambda c: cast(list_sum(list_transform(range(1, length(a) + 1), lambda i: case when a[i] = c then 1::bigint << (i - 1) else 0 end)) as bigint))),
+  lambda v, m: ((v + (v & m)) | (v & ~m)) & ((1::bigint << length(a)) - 1)))"""
+
+
+@query(f"""with t as (select p_partkey as id, left(p_type, 4) || substr(p_type, 6) as value, unnest([p_type, reverse(p_type), upper(replace(p_type, 'A', 'o')), right(p_type, 6) || left(p_type, length(p_type) - 6), left(p_type, length(p_type) - 2)]) as choice, unnest(range(1, 6)) as i from part),
+s as (select *, regexp_replace(lower(value), '\s', '', 'g') as a, regexp_replace(lower(choice), '\s', '', 'g') as b from t), r as (select *, 200.0::double * ({LCS}) / (length(a) + length(b)) as score from s),
+best as (select id, value, arg_max(choice, (score, -abs(length(a) - length(b)), -i)) filter (score >= 75) as text, max(score) filter (score >= 75) as score from r group by id, value) select id, value, text, round(score, 6) as score from best""")
+def most_like_types(spark, d):
+    kind, n = F.col("p_type"), F.length("p_type")
+    value = F.concat(F.left(kind, F.lit(4)), F.substr(kind, F.lit(6)))
+    choices = F.array(kind, F.reverse(kind), F.upper(F.replace(kind, F.lit("A"), F.lit("o"))), F.concat(F.right(kind, F.lit(6)), F.left(kind, n - 6)), F.left(kind, n - 2))
+    found = table(spark, d, "part").select(F.col("p_partkey").alias("id"), value.alias("value"), likeness.most_like(value, choices).alias("x"))
+    return found.select("id", "value", "x.text", F.round("x.score", 6).alias("score"))
+
+
+@query(f"""with n as (select distinct p_name || ' ' || p_brand as text from part), v as (select distinct left(c, 3) || substr(c, 5) as value from (select p_name || ' ' || p_brand as c from part where p_partkey % 50 = 0)),
+p as (select value, text, regexp_replace(lower(value), '\s', '', 'g') as a, regexp_replace(lower(text), '\s', '', 'g') as b from v, n), s as (select *, 200.0::double * ({LCS}) / (length(a) + length(b)) as score from p)
+select value, arg_max(text, (score, -abs(length(text) - length(value)), text)) as text, round(max(score), 6) as score from s where score >= 75 group by value""")
+def alike_names(spark, d):
+    parts = table(spark, d, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_brand").alias("text"))
+    c = F.col("text")
+    values = parts.filter("p_partkey % 50 = 0").select(F.concat(F.left(c, F.lit(3)), F.substr(c, F.lit(5))).alias("value"))
+    return likeness.alike(values, parts).withColumn("score", F.round("score", 6))
+
+
 def notes(spark, d):
     """Parts described in markdown of four forms: ranks skipped, nested, without a heading, with code and a table."""
     t = lambda *x: F.concat_ws("\n", *[F.lit(v) if isinstance(v, str) else v for v in x])
