@@ -16,11 +16,11 @@ import numpy as np
 from .arrays import mix
 
 MANTISSA_BITS = 10
-REGISTERS = 256
+#: all of them estimate a similarity, the first ones make the bands
+REGISTERS = 512
 VALUE_BITS = 56
 #: registers of a band; a link at similarity 0.8 shares none of the bands with probability 2e-9, one at 0.85 with 1e-13
-ROWS = 5
-BANDS = REGISTERS // ROWS
+ROWS, BANDS = 5, 51
 #: chance that a link's estimate falls below what ``least_agreeing`` asks
 CUT_LOSS = 1e-12
 #: of each register, what its hash adds to and multiplies a shingle's hash with

@@ -171,7 +171,7 @@ def linked_to_groups(visits: DataFrame, reps: DataFrame, labels: DataFrame, docu
     labelled = reps.select("rep", "n_shingles").join(labels, "rep", "left").select("rep", "n_shingles", F.coalesce("label", "rep").alias("label"))
     members = labelled.join(visits.select("label").distinct(), "label", "left_semi").withColumn("visits", F.lit(False))
     visiting = visits.join(reps.select("rep", "n_shingles"), "rep").select("rep", "n_shingles", "label", F.lit(True).alias("visits"))
-    wanted = members.unionByName(visiting)
+    wanted = checkpoint(members.unionByName(visiting))
     sets = shingle_table(documents, wanted.select(F.col("rep").alias("doc_id")).distinct(), size)
     rows = wanted.join(sets, wanted["rep"] == sets["doc_id"]).select("label", "visits", "rep", "shingles")
     blocks_of = lambda side: F.ceil(F.greatest(F.count_if(side) / BLOCK, F.sum(F.when(side, F.col("n_shingles") * 8).otherwise(0)) / BLOCK_BYTES)).cast("int")
