@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .operators import evaluation, runs
+from .operators import catalogue, evaluation, runs
 from .queries import DAILY, daily, query, table
 
 #: the days that a batch may see; what follows is what its forecasts are held against
@@ -88,3 +88,24 @@ def suggested_parameters(spark, d):
     m = daily(spark, d).groupBy("series", F.trunc("ds", "MM").alias("ds")).agg(F.sum("qty").alias("qty"))
     found = evaluation.suggested(evaluation.profile(m), evaluation.mann_kendall(m), evaluation.best_lag(evaluation.autocorrelation(m)))
     return found.join(m.groupBy("series").agg(F.count("*").alias("months")).filter("months >= 4"), "series").drop("months")
+
+
+@query("""with s as (select s_suppkey as k from supplier), v as (select 's' || k as id, k, case when k % 3 = 0 then 2 else 1 end as version, case when k % 3 = 0 then 'reviewed' else 'draft' end as status, 'n' || k as name, k % 2 = 1 as python from s),
+c as (select 's' || k as id, k, ['activate', 'archive', 'update', 'rollback', 'review'][k % 5 + 1] as action, 'n' || (k + 1) as name from s),
+d as (select c.id as skill_id, v.version + 1 as version, v.status as was, c.action, c.name, python, c.k, exists (select 1 from v o where o.name = c.name) as taken from c join v using (id)),
+j as (select skill_id, version, case action when 'activate' then 'active' when 'archive' then 'archived' when 'update' then was when 'rollback' then 'draft' else 'reviewed' end as status, case when action = 'rollback' then 'rollback to 2' else action end as action,
+  case when action = 'update' and taken then 'the name is taken' when action = 'rollback' and k % 3 <> 0 then 'no such version' when action = 'review' and not python then 'only Python skills are reviewed' when action = 'activate' and python and was <> 'reviewed' then 'a Python skill is reviewed before it becomes active' end as problem from d),
+n as (select 'c' || k as skill_id, 'new' || k % 20 as name from s where k % 10 = 0)
+select * from j union all select skill_id, 1, 'draft', 'create', case when skill_id > min(skill_id) over (partition by name) then 'the name is taken' end from n""")
+def catalogue_changes(spark, d):
+    k = F.col("s_suppkey")
+    s = table(spark, d, "supplier").select("s_suppkey")
+    text = lambda before, n: F.concat(F.lit(before), n.cast("string"))
+    kind, tags = F.when(k % 2 == 1, "python").otherwise("preset"), F.array(F.lit("t"))
+    version = lambda n, status: s.select(text("s", k).alias("skill_id"), F.lit(n).alias("version"), text("n", k).alias("name"), kind.alias("skill_type"), F.lit(status).alias("status"), F.lit(CODE).alias("body"), tags.alias("tags"), F.lit("x").alias("action"), k.alias("k"))
+    versions = version(1, "draft").unionByName(version(2, "reviewed").filter("k % 3 = 0")).drop("k")
+    none = lambda kind: F.lit(None).cast(kind)
+    action = F.element_at(F.array(*map(F.lit, ("activate", "archive", "update", "rollback", "review"))), (k % 5 + 1).cast("int"))
+    asked = s.select(text("s", k).alias("skill_id"), action.alias("action"), F.when(action == "update", text("n", k + 1)).alias("name"), none("string").alias("skill_type"), none("string").alias("body"), none("array<string>").alias("tags"), F.when(action == "rollback", 2).alias("to_version"))
+    created = s.filter(k % 10 == 0).select(text("c", k).alias("skill_id"), F.lit("create").alias("action"), text("new", k % 20).alias("name"), F.lit("preset").alias("skill_type"), F.lit("moving_average").alias("body"), tags.alias("tags"), none("int").alias("to_version"))
+    return catalogue.decided(versions, asked.unionByName(created)).select("skill_id", "version", "status", "action", "problem")

@@ -1,11 +1,12 @@
 """Batches of several skills: dispatch, errors as rows, trial, dry run, evaluation."""
 
+import threading
 from datetime import date
 
 import pytest
 
 from cobaltine.functions import formula
-from cobaltine.operators import evaluation, runs
+from cobaltine.operators import catalogue, evaluation, runs
 
 FIELDS = "series string, ds date, qty double"
 SKILL = "skill_id string, skill_type string, status string, body string, params string"
@@ -88,3 +89,46 @@ def test_suggested_parameters(spark, rows):
     assert got["a"] == (3, 0.5, 10, 7, 7, 1.96)
     compared = evaluation.compare({"x": rows.filter("series < 'c'")}).collect()
     assert {(r["series"], tuple(r["first_3"]), r["mean_total"]) for r in compared} == {("a", (1.0, 2.0, 3.0), 82.5), ("b", (2.0, 4.0, 6.0), 82.5)}
+
+
+def test_two_writers_of_a_catalogue(spark, tmp_path):
+    """Both commit at once, time and again: every change is there, numbers are in a row, and a name has one owner."""
+    path, refused = str(tmp_path / "skills"), []
+
+    def write(who):
+        mine = catalogue.Catalogue(spark, path)
+        for i in range(4):
+            mine.create(f"{who}{i}", f"{who}{i}", "preset", "moving_average")
+        try:
+            mine.create(f"{who}-same", "same", "preset", "moving_average")
+        except catalogue.Refused as error:
+            refused.append(str(error))
+
+    threads = [threading.Thread(target=write, args=(who,)) for who in "ab"]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join(300)
+    skills = catalogue.Catalogue(spark, path)
+    assert {r["skill_id"] for r in skills.versions().collect()} - {"a-same", "b-same"} == {f"{w}{i}" for w in "ab" for i in range(4)}
+    assert skills.log.entries() == [f"{i:012d}" for i in range(1, 10)]
+    assert len(refused) == 1 and "the name is taken" in refused[0]
+
+
+def test_a_batch_of_changes(spark, tmp_path):
+    skills = catalogue.Catalogue(spark, str(tmp_path / "skills"))
+    skills.seed(["holt_winters", "moving_average"])
+    assert {(r["skill_id"], r["status"], r["version"], tuple(r["tags"])) for r in catalogue.current(skills.versions()).collect()} == {("preset-holt_winters", "active", 2, ("preset", "heavy")), ("preset-moving_average", "active", 2, ("preset",))}
+    code = "def forecast(p):\n    return 1"
+    changes = [
+        ("new", "create", "n", "python", code, None, None), ("bad", "create", "b", "python", "import os", None, None), ("x", "create", "same", "preset", "p", ["t"], None), ("y", "create", "same", "preset", "p", None, None),
+        ("preset-holt_winters", "rollback", None, None, None, None, 9), ("preset-moving_average", "update", None, None, "other", None, None), ("gone", "archive", None, None, None, None, None), ("z", "explode", None, None, None, None, None),
+        ("twice", "create", "t", "preset", "p", None, None), ("twice", "activate", None, None, None, None, None), ("noname", "create", None, "preset", "p", None, None), (None, "create", "q", "preset", "p", None, None),
+    ]
+    got = {(r["skill_id"], r["action"]): (r["problem"], r["status"], r["version"]) for r in skills.commit(spark.createDataFrame(changes, catalogue.CHANGE)).collect()}
+    assert got[("new", "create")] == (None, "draft", 1) and got[("preset-moving_average", "update")] == (None, "draft", 3) and got[("x", "create")][0] is None
+    problems = {k[0]: v[0] for k, v in got.items() if v[0]}
+    assert problems == {"bad": "import outside of the allowed modules", "y": "the name is taken", "preset-holt_winters": "no such version", "gone": "no such skill", "z": "no such change", "twice": "several changes of one skill", "noname": "the id is taken, or there is no name", None: "no such change"}
+    before = skills.commits()
+    assert skills.commit(spark.createDataFrame([("gone", "archive", None, None, None, None, None)], catalogue.CHANGE)).first()["problem"] == "no such skill"
+    assert skills.commits() == before
