@@ -16,13 +16,12 @@ import numpy as np
 from .arrays import mix
 
 MANTISSA_BITS = 10
-#: all of them estimate a similarity, the first ones make the bands
-REGISTERS = 512
+REGISTERS = 256
 VALUE_BITS = 56
 #: registers of a band; a link at similarity 0.8 shares none of the bands with probability 2e-9, one at 0.85 with 1e-13
 ROWS, BANDS = 5, 51
 #: chance that a link's estimate falls below what ``least_agreeing`` asks
-CUT_LOSS = 1e-12
+CUT_LOSS = 1e-8
 #: of each register, what its hash adds to and multiplies a shingle's hash with
 SEEDS = mix(np.arange(1, 2 * REGISTERS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).reshape(2, REGISTERS)
 #: shingle hashes that are worked on at once

@@ -6,7 +6,7 @@
 2.  The registers are cut into bands.  In each bucket, the smallest member is paired with
     the others: a bucket costs as many pairs as it has members.
 3.  Pairs whose sizes rule a link out are dropped, and those whose collision-corrected
-    estimate is so low that a link has it with a chance of 1e-12.  The rest is confirmed on
+    estimate is so low that a link has it with a chance of 1e-8 at most.  The rest is confirmed on
     full sets.
 4.  Buckets whose members the confirmed links do not yet connect are compared in blocks
     inside tasks, members of different groups only.  Where the estimate allows a link, the
@@ -125,7 +125,7 @@ def confirmed(pairs: DataFrame, documents: DataFrame, size: int, percent: int) -
 
 
 def unconnected(shared: DataFrame, reps: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a document and a smaller label that a member of its buckets has, if the estimate allows a link.
+    """(rep, n_shingles, label): a document and a smaller label that a member of its buckets has, if the estimate allows a link.
 
     Buckets of three or more members with different labels are compared in blocks; those of
     the label that most members have are not compared with one another.  A bucket's smallest
@@ -147,7 +147,7 @@ def unconnected(shared: DataFrame, reps: DataFrame, labels: DataFrame, percent:
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: set[tuple[int, int]] = set()
+            found: set[tuple[int, int, int]] = set()
             for row in range(batch.num_rows):
                 ids, label, block, n, regs = (batch.column(c)[row].values for c in ("reps", "labels", "blocks", "sizes", "registers"))
                 ids, label, block, n, regs = ids.to_numpy(), label.to_numpy(), block.to_numpy(), n.to_numpy(), binary_rows(regs, "<u2", REGISTERS)
@@ -158,20 +158,21 @@ def unconnected(shared: DataFrame, reps: DataFrame, labels: DataFrame, percent:
                     y = np.flatnonzero((block == j) & (label != label[x]) & (100 * np.minimum(n, n[x]) >= percent * np.maximum(n, n[x])))
                     y = y[~(bands[y, :at] == bands[x, :at]).any(axis=1)]
                     y = y[estimate(regs[y], regs[x][None]) >= low]
-                    found.update((ids[x], o) for o in label[y][label[y] < label[x]].tolist())
-                    found.update((o, label[x]) for o in ids[y][label[y] > label[x]].tolist())
-            pairs = np.array(sorted(found), np.int64).reshape(-1, 2)
-            yield pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["rep", "label"])
+                    found.update((ids[x], n[x], o) for o in label[y][label[y] < label[x]].tolist())
+                    up = y[label[y] > label[x]]
+                    found.update((o, size, label[x]) for o, size in zip(ids[up].tolist(), n[up].tolist(), strict=True))
+            pairs = np.array(sorted(found), np.int64).reshape(-1, 3)
+            yield pa.record_batch([pa.array(c) for c in pairs.T], ["rep", "n_shingles", "label"])
 
-    return groups.mapInArrow(compare, "rep long, label long").distinct()
+    return groups.mapInArrow(compare, "rep long, n_shingles long, label long").distinct()
 
 
 def linked_to_groups(visits: DataFrame, reps: DataFrame, labels: DataFrame, documents: DataFrame, size: int, percent: int) -> DataFrame:
     """Links (a, b) of each visit's document with a member of the group it visits; one link of each pair of them is enough."""
     labelled = reps.select("rep", "n_shingles").join(labels, "rep", "left").select("rep", "n_shingles", F.coalesce("label", "rep").alias("label"))
     members = labelled.join(visits.select("label").distinct(), "label", "left_semi").withColumn("visits", F.lit(False))
-    visiting = visits.join(reps.select("rep", "n_shingles"), "rep").select("rep", "n_shingles", "label", F.lit(True).alias("visits"))
-    wanted = checkpoint(members.unionByName(visiting))
+    visiting = visits.select("rep", "n_shingles", "label", F.lit(True).alias("visits"))
+    wanted = members.unionByName(visiting)
     sets = shingle_table(documents, wanted.select(F.col("rep").alias("doc_id")).distinct(), size)
     rows = wanted.join(sets, wanted["rep"] == sets["doc_id"]).select("label", "visits", "rep", "shingles")
     blocks_of = lambda side: F.ceil(F.greatest(F.count_if(side) / BLOCK, F.sum(F.when(side, F.col("n_shingles") * 8).otherwise(0)) / BLOCK_BYTES)).cast("int")
