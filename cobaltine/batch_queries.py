@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .operators import catalogue, evaluation, runs
 from .queries import DAILY, daily, query, table
+from .streaming import state
 
 #: the days that a batch may see; what follows is what its forecasts are held against
 CUT = "1998-01-01"
@@ -109,3 +110,22 @@ def catalogue_changes(spark, d):
     asked = s.select(text("s", k).alias("skill_id"), action.alias("action"), F.when(action == "update", text("n", k + 1)).alias("name"), none("string").alias("skill_type"), none("string").alias("body"), none("array<string>").alias("tags"), F.when(action == "rollback", 2).alias("to_version"))
     created = s.filter(k % 10 == 0).select(text("c", k).alias("skill_id"), F.lit("create").alias("action"), text("new", k % 20).alias("name"), F.lit("preset").alias("skill_type"), F.lit("moving_average").alias("body"), tags.alias("tags"), none("int").alias("to_version"))
     return catalogue.decided(versions, asked.unionByName(created)).select("skill_id", "version", "status", "action", "problem")
+
+
+#: how users may go from one state to another; a pause of six hours starts anew
+STEPS = [("signup", "new", "member"), ("view", "member", "looking"), ("click", "looking", "looking"), ("purchase", "looking", "buyer"), ("error", "buyer", "new"), ("error", "looking", "member")]
+LEADS = "case action || ' ' || state " + " ".join(f"when '{a} {s}' then '{t}'" for a, s, t in STEPS) + " end"
+
+
+@query(f"""with recursive e as (select user_id as key, ts, event_type as action, row_number() over (partition by user_id order by ts, event_type) as i, coalesce(ts - lag(ts) over (partition by user_id order by ts, event_type) >= interval 6 hour, false) as anew from events),
+r as (select key, ts, action, i, {LEADS.replace("state", "'new'")} is not null as allowed, coalesce({LEADS.replace("state", "'new'")}, 'new') as state from e where i = 1
+  union all select key, ts, action, i, {LEADS} is not null, coalesce({LEADS}, state) from (select e.key, e.ts, e.action, e.i, case when e.anew then 'new' else r.state end as state from r join e on e.key = r.key and e.i = r.i + 1))
+select key, ts, action, allowed, state from r""")
+def user_states(spark, d):
+    events = table(spark, d, "events").select(F.col("user_id").alias("key"), "ts", F.col("event_type").alias("action"))
+    return state.machine_batch(events, STEPS, "new", 6 * 3_600_000).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@query("select conv_id, turn, count(*) over w as kept, first_value(turn) over w as oldest, cast(sum(length(coalesce(text, ''))) over w as bigint) as letters from conversations window w as (partition by conv_id order by turn rows 3 preceding)")
+def newest_turns(spark, d):
+    return state.last_turns_batch(table(spark, d, "conversations"), most=4)

@@ -45,7 +45,18 @@ def write_snapshot(rows: DataFrame, path: str, version: int) -> None:
     rows.write.mode("errorifexists").json(f"{path}/version={version}")
 
 
-def snapshot(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """The rows of the highest complete version below ``path``."""
-    every = spark.read.schema(f"{schema}, version int").json(path)
-    return every.join(every.agg(F.max("version").alias("version")), "version", "left_semi").drop("version")
+def complete_versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the versions below ``path`` whose write was completed, found by listing folders; no data is read."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    marks = files.globStatus(spark._jvm.org.apache.hadoop.fs.Path(place, "version=*/_SUCCESS")) or []
+    return sorted(int(m.getPath().getParent().getName().partition("=")[2]) for m in marks)
+
+
+def snapshot(spark: SparkSession, path: str, schema: str, version: int | None = None) -> DataFrame:
+    """The rows of the highest complete version below ``path``, or of a given one; other versions are not read."""
+    versions = complete_versions(spark, path)
+    chosen = max(versions, default=None) if version is None else version
+    if chosen not in versions:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).json(f"{path}/version={chosen}")
