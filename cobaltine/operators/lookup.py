@@ -77,6 +77,10 @@ def payload_values(requests: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     return fields.filter(F.lower("name").isin(*keys) & (F.col("value") != "")).select("query_id", "value")
 
 
+#: distinct places of wildcards that are sent to the requests
+MOST_SHAPES = 100_000
+
+
 def route_hits(requests: DataFrame, index: DataFrame) -> DataFrame:
     """(query_id, chunk_id, literal): templates that fit a path segment by segment.
 
@@ -89,7 +93,10 @@ def route_hits(requests: DataFrame, index: DataFrame) -> DataFrame:
     held = index.select("chunk_id", cut(F.col("template")).alias("parts")).withColumn("shape", F.transform("parts", wild))
     held = held.select("chunk_id", F.size("parts").alias("size"), "shape", F.array_join(F.transform("parts", lambda t: F.when(wild(t), "{}").otherwise(t)), "/").alias("path"), F.size(F.filter("parts", lambda t: ~wild(t))).alias("literal"))
     asked = requests.filter("url <> ''").select("query_id", cut(normalize_url(F.col("url"))).alias("segments")).withColumn("size", F.size("segments"))
-    shaped = asked.join(held.select("size", "shape").distinct(), "size")
+    shapes = held.select("size", "shape").distinct()
+    # shapes are few, but that is looked at: they go to the requests, or else a length meets its shapes in a shuffle
+    few = shapes.count() <= MOST_SHAPES
+    shaped = asked.join(F.broadcast(shapes) if few else shapes, "size")
     open_ = F.array_join(F.zip_with("segments", "shape", lambda s, w: F.when(w, "{}").otherwise(s)), "/")
     met = shaped.select("query_id", "shape", open_.alias("path")).join(held, ["shape", "path"])
     return met.groupBy("query_id", "chunk_id").agg(F.max("literal").alias("literal"))

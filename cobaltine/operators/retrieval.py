@@ -5,6 +5,8 @@ Queries and chunks are tables; a search answers all queries in one job.
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
+
 #: fixed values: words of letters, digits and underscores, or single CJK characters
 TOKEN = r"[A-Za-z0-9_]+|[一-鿿]"
 #: fixed values: BM25 constants, and the constant of reciprocal rank fusion
@@ -28,39 +32,83 @@ MOST_BROADCAST = 1_000_000
 QUERY_BLOCK, CHUNK_BLOCK = 512, 2048
 
 
+#: distinct terms that a task counts before it hands their numbers on
+MOST_COUNTED = 500_000
+
+
 def sent_if_small(df: DataFrame) -> DataFrame:
-    """``df``, persisted, and marked for a broadcast if its rows are few."""
-    df = df.persist()
+    """``df``, written once, and marked for a broadcast if its rows are few."""
+    df = written(df, "small")
     return F.broadcast(df) if df.count() <= MOST_BROADCAST else df
 
 
-def postings(split: DataFrame, key: str) -> DataFrame:
-    """(key, term, tf, length) of (key, t), an array of tokens."""
-    return split.select(key, F.size("t").alias("length"), F.explode("t").alias("term")).groupBy(key, "term", "length").agg(F.count("*").alias("tf"))
+def texts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[list[str]]:
+    """Tokens of each row's text (column 1), as ``tokens`` gives them."""
+    find = re.compile(TOKEN).findall
+    for batch in batches:
+        for text in batch.column(1).to_pylist():
+            yield [t.lower() for t in find(text)] if text else []
+
+
+def term_counts(chunks: DataFrame, key: str, text: str) -> DataFrame:
+    """(term, df, n, letters): chunks that hold each term; the row without a term has the number of chunks and of all their tokens.
+
+    Texts are split where they are read, and what a task counts is added up before the shuffle.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n, total = Counter(), 0, 0
+        for found in texts_of(batches):
+            n, total = n + 1, total + len(found)
+            held.update(set(found))
+            if len(held) > MOST_COUNTED:
+                yield pa.record_batch([pa.array(list(held)), pa.array(list(held.values())), pa.nulls(len(held), pa.int64()), pa.nulls(len(held), pa.int64())], names)
+                held = Counter()
+        terms = [*held, None]
+        yield pa.record_batch([pa.array(terms, pa.string()), pa.array([*held.values(), 0], pa.int64()), pa.array([None] * len(held) + [n], pa.int64()), pa.array([None] * len(held) + [total], pa.int64())], names)
+
+    names = ["term", "df", "n", "letters"]
+    parts = chunks.select(key, text).mapInArrow(count, "term string, df long, n long, letters long")
+    return parts.groupBy("term").agg(F.sum("df").alias("df"), F.sum("n").alias("n"), F.sum("letters").alias("letters"))
+
 
+def postings(chunks: DataFrame, key: str, text: str, wanted: set[str] | None) -> DataFrame:
+    """(key, length, term, tf) of the wanted terms, or of all; counted inside each row, so nothing is shuffled for it."""
+    held = chunks.sparkSession.sparkContext.broadcast(wanted)
 
-def document_frequency(index: DataFrame, key: str) -> DataFrame:
-    return index.groupBy("term").agg(F.count("*").alias("df"))
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, lengths, terms, tf = [], [], [], []
+            for i, found in enumerate(texts_of([batch])):
+                counted = Counter(found if held.value is None else [t for t in found if t in held.value])
+                rows += [i] * len(counted)
+                lengths += [len(found)] * len(counted)
+                terms += counted
+                tf += counted.values()
+            yield pa.record_batch([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(lengths, pa.int64()), pa.array(terms, pa.string()), pa.array(tf, pa.int64())], [key, "length", "term", "tf"])
+
+    kind = chunks.schema[key].dataType.simpleString()
+    return chunks.select(key, text).mapInArrow(count, f"`{key}` {kind}, length long, term string, tf long")
 
 
 def bm25(queries: DataFrame, chunks: DataFrame, key: str, text: str, n: int = 30) -> DataFrame:
     """The ``n`` best chunks of each query (query_id, text) with a score above zero; ties to the smaller key.
 
     Terms that more than half of the chunks hold would get a negative weight; they get
-    EPSILON of the mean weight instead.  Chunks are split once.  Terms that are asked for go
-    to the chunks, if they are few enough, and thin them out before the shuffle.
+    EPSILON of the mean weight instead.  Texts are read twice, once for the numbers of the terms
+    and once for the terms that are asked for; only counts and what they hit are shuffled.  If more
+    than MOST_BROADCAST terms are asked for, all postings meet them in a join.
     """
-    split = chunks.select(key, tokens(F.col(text)).alias("t")).persist()
-    index = postings(split, key)
-    size = split.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("mean_length"))
-    weights = document_frequency(index, key).join(F.broadcast(size)).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    counted = written(term_counts(chunks, key, text), "terms")
+    size = counted.filter("term is null").select("n", (F.col("letters") / F.col("n")).alias("mean_length"))
+    weights = counted.filter("term is not null").select("term", "df").join(F.broadcast(size)).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     floor = weights.agg((F.avg("raw") * EPSILON).alias("floor"))
     idf = weights.join(F.broadcast(floor)).select("term", "mean_length", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))
     asked = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
     part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
     weighed = sent_if_small(asked.join(idf, "term"))
-    wanted = sent_if_small(weighed.select("term").distinct())
-    found = index.join(wanted, "term", "left_semi")
+    terms = weighed.select("term").distinct().limit(MOST_BROADCAST + 1).toArrow().column(0).to_pylist()  # a bounded list of words
+    found = postings(chunks, key, text, set(terms) if len(terms) <= MOST_BROADCAST else None)
     scored = found.join(weighed, "term").groupBy("query_id", key).agg(F.sum(part).alias("score")).filter("score > 0")
     return ranked(scored, n, F.desc(F.round("score", 6)), key)  # sums differ in their last bits
 
@@ -135,20 +183,6 @@ def url_module(url: Column) -> Column:
     return F.lower(F.split_part(normalize_url(url), F.lit("/"), F.lit(2)))
 
 
-def match_routes(paths: DataFrame, routes: DataFrame) -> DataFrame:
-    """Routes (route_id, template) that fit each (page_id, path); ``{x}`` fits any segment; more literal segments first.
-
-    Both sides are joined on the number of segments, so templates meet only paths of their length.
-    """
-    cut = lambda c: F.split(F.substr(c, F.lit(2)), "/")
-    p = paths.withColumn("segments", cut(F.col("path"))).withColumn("size", F.size("segments"))
-    r = routes.withColumn("parts", cut(F.col("template"))).withColumn("size", F.size("parts"))
-    r = r.withColumn("literal", F.size(F.filter("parts", lambda x: ~x.startswith("{"))))
-    fits = F.forall(F.zip_with("segments", "parts", lambda s, t: t.startswith("{") | (s == t)), lambda x: x)
-    place = F.row_number().over(Window.partitionBy("page_id").orderBy(F.desc("literal"), "route_id"))
-    return p.join(r, "size").filter(fits).select("page_id", "route_id", "literal", place.alias("rank"))
-
-
 #: fixed values: ranges of pictographs that mark cells
 PICTOGRAPHS = "[\\x{1F300}-\\x{1FAFF}\\x{2600}-\\x{27BF}]"
 
@@ -159,19 +193,33 @@ def strip_markdown(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(plain, PICTOGRAPHS, ""), r"\*\*|__", ""))
 
 
+def holding(long: DataFrame, short: DataFrame) -> DataFrame:
+    """Pairs (long, short) of distinct texts where the one holds the other.
+
+    A short text asks with that of its three-letter parts which the fewest long ones have, so
+    that an opening which many share does not bring them together; one with a part that no
+    long text has is in none.
+    """
+    cut = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - 2), lambda i: F.substr(F.col(c), i, F.lit(3))))
+    held = long.select("long", F.explode(cut("long")).alias("part"))
+    numbers = held.groupBy("part").agg(F.count("*").alias("n"))
+    asked = short.withColumn("parts", cut("short")).select("short", F.size("parts").alias("all"), F.explode("parts").alias("part")).join(numbers, "part")
+    rarest = asked.groupBy("short", "all").agg(F.min_by("part", F.struct("n", "part")).alias("part"), F.count("*").alias("found")).filter("found = all")
+    return rarest.join(held, "part").filter(F.contains("long", "short")).select("long", "short")
+
+
 def match_remarks(queries: DataFrame, remarks: DataFrame) -> DataFrame:
     """Pairs (query_id, remark_id) where one text holds the other; queries of 3 characters or more, remarks of 4 or more.
 
-    The shorter text's first three characters stand somewhere in the longer one, so the
-    sides are joined on three characters, and each pair is then looked at.
+    Distinct texts are compared; who has them is joined to what is found.
     """
     q = queries.select("query_id", F.lower(strip_markdown(F.col("text"))).alias("q")).filter(F.length("q") >= 3)
     r = remarks.select("remark_id", F.lower(strip_markdown(F.col("remark"))).alias("r")).filter(F.length("r") >= 4)
-    parts = lambda df, c: df.withColumn("part", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - 2), lambda i: F.substr(F.col(c), i, F.lit(3))))))
-    first = lambda df, c: df.withColumn("part", F.substring(c, 1, 3))
-    held = parts(q, "q").join(first(r, "r"), "part").filter(F.contains("q", "r"))
-    holds = first(q, "q").join(parts(r, "r"), "part").filter(F.contains("r", "q"))
-    return held.select("query_id", "remark_id").unionByName(holds.select("query_id", "remark_id")).distinct()
+    texts, said = written(q.select("q").distinct(), "texts"), written(r.select("r").distinct(), "said")
+    of = lambda df, c, name: df.select(F.col(c).alias(name))
+    found = holding(of(texts, "q", "long"), of(said, "r", "short")).select(F.col("long").alias("q"), F.col("short").alias("r"))
+    more = holding(of(said, "r", "long"), of(texts, "q", "short")).select(F.col("short").alias("q"), F.col("long").alias("r"))
+    return q.join(found.unionByName(more).distinct(), "q").join(r, "r").select("query_id", "remark_id").distinct()
 
 
 def sections(documents: DataFrame, key: str, text: str) -> DataFrame:

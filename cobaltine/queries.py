@@ -9,11 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import formula
-from .operators import catalogue, evaluation, markdown, models, reporting, retrieval, series, sheets
+from .operators import catalogue, evaluation, lookup, markdown, models, reporting, retrieval, series, sheets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -107,10 +107,10 @@ def running_balance(spark, d):
     return series.running_balance(moves(spark, d).drop("jit", "pgi"), 100.0)
 
 
-@query(f"""with {PARTS}, summed as (select *, 100 + sum(supply - demand) over (partition by series order by ds rows unbounded preceding) as w from moves),
-low as (select *, w - least(0, min(w) over (partition by series order by ds rows unbounded preceding)) as stock from summed),
-raw as (select *, coalesce(lag(stock) over (partition by series order by ds), 100) + supply - demand as raw from low)
-select series, ds, demand, supply, stock, raw, greatest(0, -raw) as net from raw""")
+@query(f"""with recursive {PARTS}, o as (select *, row_number() over (partition by series order by ds) as i from moves),
+r as (select series, ds, demand, supply, i, 100 + supply - demand as raw, greatest(0, 100 + supply - demand) as stock from o where i = 1
+  union all select o.series, o.ds, o.demand, o.supply, o.i, stock + o.supply - o.demand, greatest(0, stock + o.supply - o.demand) from r join o on o.series = r.series and o.i = r.i + 1)
+select series, ds, demand, supply, stock, raw, greatest(0, -raw) as net from r""")
 def clamped_balance(spark, d):
     return series.clamped_balance(moves(spark, d).drop("jit", "pgi"), 100.0)
 
@@ -411,7 +411,9 @@ select page_id, 1 as route_id, 0 as literal from p where len(s) = 3 union all se
 select *, row_number() over (partition by page_id order by literal desc, route_id) as rank from m""")
 def route_match(spark, d):
     routes = spark.createDataFrame([(1, "/{lang}/{id}"), (2, "/en/{id}"), (3, "/{top}")], "route_id int, template string")
-    return retrieval.match_routes(table(spark, d, "pages").select("page_id", retrieval.normalize_url(F.col("url")).alias("path")), routes)
+    found = lookup.route_hits(table(spark, d, "pages").select(F.col("page_id").alias("query_id"), "url"), routes.select(F.col("route_id").alias("chunk_id"), "template"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("literal"), "chunk_id"))
+    return found.select(F.col("query_id").alias("page_id"), F.col("chunk_id").alias("route_id"), "literal", place.alias("rank"))
 
 
 @query("""with w as (select l_suppkey as id, sum(case when l_returnflag = 'A' then l_quantity end) as A, sum(case when l_returnflag = 'N' then l_quantity end) as N, sum(case when l_returnflag = 'R' then l_quantity end) as R from lineitem group by 1)
