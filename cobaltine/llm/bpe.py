@@ -24,9 +24,9 @@ from pyspark.sql import DataFrame
 from .arrays import slices, text_bytes
 
 #: pieces whose ids are kept in a worker before the store is emptied
-STORED_PIECES = 500_000
+STORED_PIECES = 150_000
 #: token pairs whose compatibility is kept
-STORED_PAIRS = 1_000_000
+STORED_PAIRS = 300_000
 
 
 class Vocabulary:
