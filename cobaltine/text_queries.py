@@ -75,7 +75,7 @@ LCS = """length(a) - bit_count(list_reduce(list_concat([(1::bigint << length(a))
 
 
 @query(f"""with t as (select p_partkey as id, left(p_type, 4) || substr(p_type, 6) as value, unnest([p_type, reverse(p_type), upper(replace(p_type, 'A', 'o')), right(p_type, 6) || left(p_type, length(p_type) - 6), left(p_type, length(p_type) - 2)]) as choice, unnest(range(1, 6)) as i from part),
-s as (select *, regexp_replace(lower(value), '\s', '', 'g') as a, regexp_replace(lower(choice), '\s', '', 'g') as b from t), r as (select *, 200.0::double * ({LCS}) / (length(a) + length(b)) as score from s),
+s as (select *, regexp_replace(lower(value), '\\s', '', 'g') as a, regexp_replace(lower(choice), '\\s', '', 'g') as b from t), r as (select *, 200.0::double * ({LCS}) / (length(a) + length(b)) as score from s),
 best as (select id, value, arg_max(choice, (score, -abs(length(a) - length(b)), -i)) filter (score >= 75) as text, max(score) filter (score >= 75) as score from r group by id, value) select id, value, text, round(score, 6) as score from best""")
 def most_like_types(spark, d):
     kind, n = F.col("p_type"), F.length("p_type")
@@ -86,7 +86,7 @@ def most_like_types(spark, d):
 
 
 @query(f"""with n as (select distinct p_name || ' ' || p_brand as text from part), v as (select distinct left(c, 3) || substr(c, 5) as value from (select p_name || ' ' || p_brand as c from part where p_partkey % 50 = 0)),
-p as (select value, text, regexp_replace(lower(value), '\s', '', 'g') as a, regexp_replace(lower(text), '\s', '', 'g') as b from v, n), s as (select *, 200.0::double * ({LCS}) / (length(a) + length(b)) as score from p)
+p as (select value, text, regexp_replace(lower(value), '\\s', '', 'g') as a, regexp_replace(lower(text), '\\s', '', 'g') as b from v, n), s as (select *, 200.0::double * ({LCS}) / (length(a) + length(b)) as score from p)
 select value, arg_max(text, (score, -abs(length(text) - length(value)), text)) as text, round(max(score), 6) as score from s where score >= 75 group by value""")
 def alike_names(spark, d):
     parts = table(spark, d, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_brand").alias("text"))
