@@ -237,7 +237,8 @@ def order_gap_blend(orders: DataFrame, totals: DataFrame, monthly: bool = False)
     start, end = (F.min("ds"), F.last_day(F.min("ds"))) if monthly else (F.date_trunc("week", F.min("ds")).cast("date"), F.date_add(F.date_trunc("week", F.min("ds")).cast("date"), 6))
     period = orders.groupBy("series").agg(start.alias("start"), end.alias("end"), F.max("ds").alias("last"), F.sum("qty").alias("ordered")).join(totals.select("series", "forecast", "delivered"), "series", "left")
     forecast = F.coalesce("forecast", F.lit(0.0))
-    share = forecast / (F.datediff("end", "last") + 1) if monthly else forecast - F.coalesce("delivered", F.lit(0.0)) - F.col("ordered")
+    # an order on the day after the end would divide by zero, and nothing is spread there
+    share = F.when(F.col("last") < F.col("end"), forecast / (F.datediff("end", "last") + 1)) if monthly else forecast - F.coalesce("delivered", F.lit(0.0)) - F.col("ordered")
     spread_from = F.when(F.col("last") < F.col("end"), F.col("last") if monthly else F.col("end"))
     days = period.select("series", F.explode(F.sequence("start", "end")).alias("ds"), (F.col("last") >= F.col("end")).alias("covered"), spread_from.alias("spread_from"), share.alias("share"))
     kind = F.when(F.col("ds") >= F.col("spread_from"), "spread").when(F.col("covered") | F.col("qty").isNotNull(), "daily_order").otherwise("empty")

@@ -158,3 +158,15 @@ def test_retention(spark):
     events = spark.createDataFrame([(1, date(2025, 1, 1)), (1, date(2025, 1, 8)), (2, date(2025, 1, 1))], "user_id int, day date")
     assert reporting.retention(events, 7).first()["retention"] == 0.5
     assert reporting.active_users(events, 7).filter("day = date'2025-01-07'").first()["users"] == 2
+
+
+def test_order_gap_of_a_month_with_an_order_on_the_day_after_its_end(spark):
+    """Where the tables meet in a shuffle, the unused share is computed too and must not divide by zero."""
+    rows = [("a", date(2025, 11, 30), 4.0), ("a", date(2025, 12, 1), 7.0)]
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = series.order_gap_blend(spark.createDataFrame(rows, "series string, ds date, qty double").repartition(2), spark.createDataFrame([("a", 100.0, 50.0)], "series string, forecast double, delivered double"), monthly=True).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert [tuple(r)[1:] for r in got] == [(date(2025, 11, 30), 4.0, "daily_order")]
