@@ -2,7 +2,7 @@
 
 Chunks are (chunk_id, chunk_type, headers, row): the headers of a table and one of its rows
 as a map.  Each index is a table of its own; requests (query_id, url, payload) meet all four
-in equi-joins.
+in equi-joins.  What several requests hit alike is found and ordered once.
 """
 
 from __future__ import annotations
@@ -12,7 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .retrieval import match_remarks, normalize_url, strip_markdown
+from ..sources.shared import written
+from .retrieval import normalize_url, remark_groups, strip_markdown
 
 #: fixed values: parts of header names that tell what a column holds
 PATH_HEADERS = ("path", "路径", "url", "endpoint")
@@ -81,8 +82,8 @@ def payload_values(requests: DataFrame, keys: tuple[str, ...]) -> DataFrame:
 MOST_SHAPES = 100_000
 
 
-def route_hits(requests: DataFrame, index: DataFrame) -> DataFrame:
-    """(query_id, chunk_id, literal): templates that fit a path segment by segment.
+def route_groups(requests: DataFrame, index: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(query_id, literal, group) of requests and (group, chunk_id) of templates; a template fits a path segment by segment where they share a group.
 
     Templates have few shapes, that is places of their wildcards.  A path is written once for
     each shape of its length, with its segments at those places left open, and then meets
@@ -90,16 +91,27 @@ def route_hits(requests: DataFrame, index: DataFrame) -> DataFrame:
     """
     cut = lambda c: F.split(F.trim(c, F.lit("/")), "/")
     wild = lambda t: t.startswith("{") & t.endswith("}")
+    group = lambda shape, path: F.concat(F.array_join(F.transform(shape, lambda w: F.when(w, "1").otherwise("0")), ""), F.lit(":"), path)
     held = index.select("chunk_id", cut(F.col("template")).alias("parts")).withColumn("shape", F.transform("parts", wild))
-    held = held.select("chunk_id", F.size("parts").alias("size"), "shape", F.array_join(F.transform("parts", lambda t: F.when(wild(t), "{}").otherwise(t)), "/").alias("path"), F.size(F.filter("parts", lambda t: ~wild(t))).alias("literal"))
+    opened = F.array_join(F.transform("parts", lambda t: F.when(wild(t), "{}").otherwise(t)), "/")
     asked = requests.filter("url <> ''").select("query_id", cut(normalize_url(F.col("url"))).alias("segments")).withColumn("size", F.size("segments"))
-    shapes = held.select("size", "shape").distinct()
+    shapes = held.select(F.size("parts").alias("size"), "shape").distinct()
     # shapes are few, but that is looked at: they go to the requests, or else a length meets its shapes in a shuffle
     few = shapes.count() <= MOST_SHAPES
     shaped = asked.join(F.broadcast(shapes) if few else shapes, "size")
     open_ = F.array_join(F.zip_with("segments", "shape", lambda s, w: F.when(w, "{}").otherwise(s)), "/")
-    met = shaped.select("query_id", "shape", open_.alias("path")).join(held, ["shape", "path"])
-    return met.groupBy("query_id", "chunk_id").agg(F.max("literal").alias("literal"))
+    literal = F.size(F.filter("shape", lambda w: ~w))
+    return shaped.select("query_id", literal.alias("literal"), group("shape", open_).alias("group")), held.select(group("shape", opened).alias("group"), "chunk_id")
+
+
+def route_hits(requests: DataFrame, index: DataFrame) -> DataFrame:
+    """(query_id, chunk_id, literal): templates that fit a path segment by segment."""
+    asked, held = route_groups(requests, index)
+    return asked.join(held, "group").groupBy("query_id", "chunk_id").agg(F.max("literal").alias("literal"))
+
+
+#: hits that are kept together in a row
+BLOCK = 1000
 
 
 def hits(requests: DataFrame, chunks: DataFrame, code_keys: tuple[str, ...] = (), status_keys: tuple[str, ...] = (), remark_keys: tuple[str, ...] = ()) -> DataFrame:
@@ -107,18 +119,35 @@ def hits(requests: DataFrame, chunks: DataFrame, code_keys: tuple[str, ...] = ()
 
     Order: routes with more literal segments first, then codes, statuses and remarks; within
     a layer by chunk_id.  The keys name, in lower case, the payload fields to look up.
+
+    Hits can be as many as requests times chunks, so no pair of the two is shuffled or sorted.
+    Requests that ask a layer for the same texts have the same hits there: these are found and
+    numbered once and kept as arrays of BLOCK, which the requests meet as they are put out.
+    Where a layer starts in a request's ranks follows from the numbers of hits before it.
     """
-    exact = lambda keys, index, column: payload_values(requests, keys).withColumn(column, F.trim(F.trim("value"), F.lit("`"))).join(index, column).select("query_id", "chunk_id")
-    texts = payload_values(requests, remark_keys).select("query_id", F.col("value").alias("text")).distinct().withColumn("asked", F.struct("query_id", "text"))
-    said = remarks(chunks).withColumn("held", F.struct("chunk_id", "text"))
-    pairs = match_remarks(texts.select(F.col("asked").alias("query_id"), "text"), said.select(F.col("held").alias("remark_id"), F.col("text").alias("remark")))
-    found = {
-        "route": route_hits(requests, routes(chunks)),
-        "errorCode": exact(code_keys, codes(chunks), "code"),
-        "status": exact(status_keys, statuses(chunks), "status"),
-        "remark": pairs.select(F.col("query_id.query_id").alias("query_id"), F.col("remark_id.chunk_id").alias("chunk_id")),
+    exact = lambda keys: payload_values(requests, keys).select("query_id", F.trim(F.trim("value"), F.lit("`")).alias("group"))
+    texts, told = remark_groups(payload_values(requests, remark_keys).select("query_id", F.col("value").alias("text")), remarks(chunks).select(F.col("chunk_id").alias("remark_id"), F.col("text").alias("remark")))
+    paths_, templates = route_groups(requests, routes(chunks))
+    zero = F.lit(0).alias("literal")
+    layered = {
+        "route": (paths_, templates),
+        "errorCode": (exact(code_keys).select("query_id", zero, "group"), codes(chunks).select(F.col("code").alias("group"), "chunk_id")),
+        "status": (exact(status_keys).select("query_id", zero, "group"), statuses(chunks).select(F.col("status").alias("group"), "chunk_id")),
+        "remark": (texts.select("query_id", zero, F.col("q").alias("group")), told.select(F.col("q").alias("group"), F.col("remark_id").alias("chunk_id"))),
     }
-    layered = [found[name].select("query_id", "chunk_id", F.lit(name).alias("layer"), F.lit(i).alias("place"), F.col("literal") if name == "route" else F.lit(0).alias("literal")) for i, name in enumerate(LAYERS)]
-    once = reduce(DataFrame.unionByName, layered).groupBy("query_id", "chunk_id", "layer", "place").agg(F.max("literal").alias("literal"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("place", F.desc("literal"), "chunk_id"))
-    return once.select("query_id", "chunk_id", "layer", rank.alias("rank"))
+    place = lambda i: F.lit(LAYERS.index(i)).alias("place")
+    held = written(reduce(DataFrame.unionByName, [index.select(place(name), "group", "chunk_id") for name, (_, index) in layered.items()]).distinct(), "held")
+    asked = reduce(DataFrame.unionByName, [asks.select("query_id", place(name), "literal", "group") for name, (asks, _) in layered.items()])
+    known = asked.join(held.select("place", "group").distinct(), ["place", "group"], "left_semi")
+    sets = written(known.groupBy("query_id", "place").agg(F.sort_array(F.collect_set(F.struct("literal", "group"))).alias("wanted")), "sets")
+    each = sets.select("place", "wanted").distinct().select("place", "wanted", F.explode("wanted").alias("w")).select("place", "wanted", "w.literal", "w.group").join(held, ["place", "group"])
+    once = each.groupBy("place", "wanted", "chunk_id").agg(F.max("literal").alias("literal"))
+    numbered = once.withColumn("i", F.row_number().over(Window.partitionBy("place", "wanted").orderBy(F.desc("literal"), "chunk_id")) - 1)
+    packed = numbered.groupBy("place", "wanted", F.floor(F.col("i") / BLOCK).cast("int").alias("block")).agg(F.sort_array(F.collect_list(F.struct("i", "chunk_id"))).alias("found"))
+    blocks = written(packed, "blocks")
+    sizes = blocks.groupBy("place", "wanted").agg(F.sum(F.size("found")).alias("size"))
+    before = F.sum("size").over(Window.partitionBy("query_id").orderBy("place").rowsBetween(Window.unboundedPreceding, -1))
+    placed = sets.join(sizes, ["place", "wanted"]).withColumn("before", F.coalesce(before, F.lit(0)))
+    every = placed.withColumn("block", F.explode(F.sequence(F.lit(0), F.floor((F.col("size") - 1) / BLOCK).cast("int"))))
+    shown = every.join(blocks, ["place", "wanted", "block"]).select("query_id", "place", "before", F.explode("found").alias("x"))
+    return shown.select("query_id", "x.chunk_id", F.element_at(F.array(*[F.lit(x) for x in LAYERS]), F.col("place") + 1).alias("layer"), (F.col("before") + F.col("x.i") + 1).cast("int").alias("rank"))

@@ -208,18 +208,24 @@ def holding(long: DataFrame, short: DataFrame) -> DataFrame:
     return rarest.join(held, "part").filter(F.contains("long", "short")).select("long", "short")
 
 
-def match_remarks(queries: DataFrame, remarks: DataFrame) -> DataFrame:
-    """Pairs (query_id, remark_id) where one text holds the other; queries of 3 characters or more, remarks of 4 or more.
-
-    Distinct texts are compared; who has them is joined to what is found.
-    """
+def remark_groups(queries: DataFrame, remarks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(query_id, q): the texts of queries; and (q, remark_id): the remarks that hold a text or that it holds, once for each distinct text."""
     q = queries.select("query_id", F.lower(strip_markdown(F.col("text"))).alias("q")).filter(F.length("q") >= 3)
     r = remarks.select("remark_id", F.lower(strip_markdown(F.col("remark"))).alias("r")).filter(F.length("r") >= 4)
     texts, said = written(q.select("q").distinct(), "texts"), written(r.select("r").distinct(), "said")
     of = lambda df, c, name: df.select(F.col(c).alias(name))
     found = holding(of(texts, "q", "long"), of(said, "r", "short")).select(F.col("long").alias("q"), F.col("short").alias("r"))
     more = holding(of(said, "r", "long"), of(texts, "q", "short")).select(F.col("short").alias("q"), F.col("long").alias("r"))
-    return q.join(found.unionByName(more).distinct(), "q").join(r, "r").select("query_id", "remark_id").distinct()
+    return q, found.unionByName(more).distinct().join(r, "r").select("q", "remark_id").distinct()
+
+
+def match_remarks(queries: DataFrame, remarks: DataFrame) -> DataFrame:
+    """Pairs (query_id, remark_id) where one text holds the other; queries of 3 characters or more, remarks of 4 or more.
+
+    Distinct texts are compared; who has them is joined to what is found.
+    """
+    q, held = remark_groups(queries, remarks)
+    return q.join(held, "q").select("query_id", "remark_id").distinct()
 
 
 def sections(documents: DataFrame, key: str, text: str) -> DataFrame:

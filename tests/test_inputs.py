@@ -66,3 +66,23 @@ def test_models_go_on_by_months(spark):
     for model in (models.holt_winters, models.auto_arima, models.auto_regressive):
         assert [r["ds"] for r in model(df, horizon=3, unit="month").orderBy("ds").collect()] == [date(2026, m, 1) for m in (1, 2, 3)]
     assert [r["ds"] for r in models.holt_winters(df.limit(3), horizon=2, unit="month").orderBy("ds").collect()] == [date(2023, 4, 1), date(2023, 5, 1)]
+
+
+def test_lookups_shuffle_no_pairs_of_requests_and_chunks(spark, monkeypatch, capsys):
+    """Requests that ask for the same share their hits, in several arrays, and ranks go on from layer to layer."""
+    monkeypatch.setattr(lookup, "BLOCK", 2)
+    rows = [(i, "table_row", ["path", "message", "code", "value"], {"path": "`/a/{id}`, `/a/b`" if i % 2 else "`/a/{id}`", "message": "disk full", "code": f"E{i % 3}", "value": f"s{i % 2}"}) for i in range(1, 8)]
+    chunks = spark.createDataFrame(rows, "chunk_id long, chunk_type string, headers array<string>, row map<string,string>")
+    asked = [(q, "/a/b" if q < 3 else "/a/x", {"error": f"E{q % 2}", "state": "s1", "note": "the disk full" if q == 4 else ""}) for q in range(1, 5)]
+    found = lookup.hits(spark.createDataFrame(asked, "query_id long, url string, payload map<string,string>"), chunks, ("error",), ("state",), ("note",))
+    got = {}
+    for r in found.orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["layer"], r["chunk_id"]))
+    for q, url, payload in asked:
+        ids = range(1, 8)
+        want = [("route", i) for i in sorted(ids, key=lambda i: (-(i % 2), i))] if url == "/a/b" else [("route", i) for i in ids]
+        want += [("errorCode", i) for i in ids if f"E{i % 3}" == payload["error"]] + [("status", i) for i in ids if i % 2] + [("remark", i) for i in ids if payload["note"]]
+        assert got[q] == [(n, *w) for n, w in enumerate(want, 1)]
+    capsys.readouterr()
+    found.explain()
+    assert not any("query_id" in line and "chunk_id" in line for line in capsys.readouterr().out.splitlines() if "Exchange" in line)
