@@ -33,6 +33,30 @@ def modulo(x: Column, y: Column) -> Column:
     return F.when(y == 0, 0.0).otherwise(x - F.floor(x / y) * y)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once; written out in a function over elements, it would be computed for each."""
+    return F.transform(F.array(value), body)[0]
+
+
+def scanned(a: Column, start: Column, step: Callable[[Column, Column], Column]) -> Column:
+    """The states (doubles) after each element of a fold from ``start``.
+
+    An array grows by being copied, so states are collected in blocks of the root of the length.
+    """
+
+    def of(a: Column, width: Column) -> Column:
+        def block(s: Column, i: Column) -> Column:
+            # the state before the block comes first and is cut off again
+            states = F.aggregate(F.slice(a, i, width), F.array(s["last"]), lambda t, x: F.array_append(t, step(F.element_at(t, -1), x)))
+            return let(states, lambda t: F.struct(F.element_at(t, -1).alias("last"), F.array_append(s["done"], F.slice(t, 2, F.size(t) - 1)).alias("done")))
+
+        first = F.struct(start.cast("double").alias("last"), F.array().cast("array<array<double>>").alias("done"))
+        return F.flatten(F.aggregate(F.sequence(F.lit(1), F.size(a), width), first, block)["done"])
+
+    whole = let(a, lambda x: let(F.ceil(F.sqrt(F.size(x))).cast("int"), lambda width: of(x, width)))
+    return F.when(F.size(a) == 0, F.array().cast("array<double>")).otherwise(whole)
+
+
 def total(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
 
@@ -51,8 +75,8 @@ def largest(a: Column) -> Column:
 
 def deviation(a: Column) -> Column:
     """Of the population."""
-    m = mean(a)
-    return F.sqrt(mean(F.transform(a, lambda x: (x - m) * (x - m))))
+    squares = lambda m: total(F.transform(a, lambda x: (x - m) * (x - m)))
+    return F.when(F.size(a) == 0, 0.0).otherwise(F.sqrt(let(mean(a), squares) / F.size(a)))
 
 
 def safety_stock(a: Column, z: float = 1.65) -> Column:
@@ -70,9 +94,8 @@ def moving_average(a: Column, window: int = 7) -> Column:
 
 def exponential_smoothing(a: Column, alpha: float = 0.3) -> Column:
     """All smoothed values, starting from the first one."""
-    start = F.slice(a, 1, 1)
-    grow = lambda s, x: F.array_append(s, x * alpha + F.element_at(s, -1) * (1 - alpha))
-    return F.when(F.size(a) == 0, a).otherwise(F.aggregate(F.slice(a, 2, F.greatest(F.size(a) - 1, F.lit(0))), start, grow))
+    rest = scanned(F.slice(a, 2, F.greatest(F.size(a) - 1, F.lit(0))), F.get(a, F.lit(0)), lambda s, x: x * alpha + s * (1 - alpha))
+    return F.when(F.size(a) == 0, a).otherwise(F.concat(F.slice(a, 1, 1), rest))
 
 
 def linear_trend(a: Column, window: int = 30) -> Column:
@@ -83,7 +106,8 @@ def linear_trend(a: Column, window: int = 30) -> Column:
     cross = total(F.transform(tail, lambda y, i: (i - mid) * y))
     spread = total(F.transform(tail, lambda y, i: (i - mid) * (i - mid)))
     slope = F.when(spread == 0, 0.0).otherwise(cross / spread)
-    ahead = F.transform(F.sequence(F.lit(0), n - 1), lambda i: mean(tail) + slope * (n + i - mid))
+    line = F.struct(mean(tail).alias("mean"), slope.alias("slope"))
+    ahead = let(line, lambda f: F.transform(F.sequence(F.lit(0), n - 1), lambda i: f["mean"] + f["slope"] * (n + i - mid)))
     return F.when(F.size(a) == 0, a).otherwise(F.concat(a, ahead))
 
 
@@ -105,7 +129,8 @@ def shift(a: Column, n: int = 1) -> Column:
 
 
 def cumulative_sum(a: Column) -> Column:
-    return F.aggregate(a, F.array().cast("array<double>"), lambda s, x: F.array_append(s, F.coalesce(F.get(s, F.size(s) - 1), F.lit(0.0)) + x))
+    # as before, a null counts as 0 in the sums after it
+    return scanned(a, F.lit(0.0), lambda s, x: F.coalesce(s, F.lit(0.0)) + x)
 
 
 def held_last(a: Column, size: Column) -> Column:
@@ -133,12 +158,12 @@ def inventory_planning(forecast: Column, begin: Column, supply: Column) -> Colum
     size = F.greatest(F.size(forecast), F.size(supply))
     pairs = F.arrays_zip(held_last(forecast, size).alias("d"), padded(supply, size).alias("p"))
 
-    def step(s: Column, x: Column) -> Column:
-        net = F.greatest(F.lit(0.0), x["d"] - s["stock"] - x["p"])
-        return F.struct(F.greatest(F.lit(0.0), s["stock"] + x["p"] - x["d"]).alias("stock"), F.array_append(s["net"], net).alias("net"))
+    def planned(pairs: Column) -> Column:
+        stocks = scanned(pairs, begin, lambda stock, x: F.greatest(F.lit(0.0), stock + x["p"] - x["d"]))
+        before = F.concat(F.array(begin.cast("double")), stocks)
+        return F.zip_with(pairs, F.slice(before, 1, F.size(pairs)), lambda x, stock: F.greatest(F.lit(0.0), x["d"] - stock - x["p"]))
 
-    start = F.struct(begin.cast("double").alias("stock"), F.array().cast("array<double>").alias("net"))
-    return F.aggregate(pairs, start, step)["net"]
+    return let(pairs, planned)
 
 
 def blended_demand(daily: Column, begin: Column, supply: Column) -> Column:
@@ -154,10 +179,14 @@ def jit_fill(weekly: Column, daily: Column, jit: Column, supply: Column) -> Colu
     """Fixed calls win over daily demand; what the weekly total leaves is spread over the positions without a call."""
     size = F.greatest(F.size(daily), F.size(jit))
     fixed = F.zip_with(padded(jit, size), padded(daily, size), lambda j, d: F.struct(j.alias("jit"), F.when(j > 0, j).otherwise(d).alias("qty")))
-    free = F.size(F.filter(fixed, lambda x: x["jit"] <= 0))
-    rest = weekly - total(supply) - total(F.transform(fixed, lambda x: x["qty"]))
-    extra = F.when((rest > 0) & (free > 0), rest / free).otherwise(0.0)
-    return F.transform(fixed, lambda x: F.round(F.greatest(F.lit(0.0), F.when(x["jit"] > 0, x["qty"]).otherwise(x["qty"] + extra)), 2))
+
+    def filled(fixed: Column) -> Column:
+        free = F.size(F.filter(fixed, lambda x: x["jit"] <= 0))
+        rest = weekly - total(supply) - total(F.transform(fixed, lambda x: x["qty"]))
+        extra = let(rest, lambda r: let(free, lambda n: F.when((r > 0) & (n > 0), r / n).otherwise(0.0)))
+        return let(extra, lambda more: F.transform(fixed, lambda x: F.round(F.greatest(F.lit(0.0), F.when(x["jit"] > 0, x["qty"]).otherwise(x["qty"] + more)), 2)))
+
+    return let(fixed, filled)
 
 
 #: name: (function, what it takes)
