@@ -176,3 +176,18 @@ def test_compaction_and_identity(spark):
     assert got[0]["text"] == "Turns: 10, user: 5, assistant: 5\nGoal: text 0\nLatest: text 8"
     assert {r["field"]: r["values"] for r in reporting.identity_summary(talk, ["conv_id", "role"], 1).collect()} == {"conv_id": "long", "role": "assistant"}
     assert spark.range(1).select(reporting.shortened(F.lit(" a  bc def"), 5)).first()[0] == "a bc…"
+
+
+def test_several_series_at_once_are_fitted_as_each_alone(spark):
+    """Series of all lengths share the steps of the recursion; a call a step and series took most of the time."""
+    rng = np.random.default_rng(5)
+    xs = [np.round(rng.gamma(2.0, 20.0, n)) for n in (40, 4, 14, 13, 120, 40, 7)]
+    together = models.holt_winters_many(xs, 7, 7)
+    assert all(np.array_equal(got, models.holt_winters_values(x, 7, 7)) for x, got in zip(xs, together, strict=True))
+    many = frame(spark, **{f"s{i:02d}": list(xs[i % 7]) for i in range(models.TOGETHER + 9)})
+    got = {}
+    for r in models.holt_winters(many).orderBy("series", "ds").collect():
+        got.setdefault(r["series"], []).append(r["qty"])
+    assert len(got) == models.TOGETHER + 9
+    for i in range(models.TOGETHER + 9):
+        assert np.allclose(got[f"s{i:02d}"], np.maximum(together[i % 7], 0), atol=0.006)
