@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
+from itertools import islice
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .streamed import each_series, in_runs
+
 
 def last_of_date(rows: DataFrame, order: str) -> DataFrame:
     """One row for each series and date: the qty of the highest ``order``."""
@@ -49,17 +55,35 @@ def profile(series: DataFrame) -> DataFrame:
     )
 
 
+def trend_sum(q: np.ndarray) -> int:
+    """Rising less falling ones of all ordered pairs, by halves: the later half is looked up in the sorted earlier one."""
+    if len(q) <= 64:
+        return int(np.triu(np.sign(q[None, :] - q[:, None]), 1).sum())
+    first, second = q[: len(q) // 2], q[len(q) // 2 :]
+    known = np.sort(first)
+    across = np.searchsorted(known, second, "left").sum() + np.searchsorted(known, second, "right").sum() - len(first) * len(second)
+    return trend_sum(first) + trend_sum(second) + int(across)
+
+
+def trend_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(series, n, s, q): rows of each series, its ``trend_sum`` (null with a null quantity), and the quantities if there are less than four."""
+    for some in iter(lambda runs=each_series(batches): list(islice(runs, 256)), []):
+        few = [[None if nulls and np.isnan(v) else v for v in x.tolist()] if len(x) < 4 else [] for _, _, x, nulls in some]
+        sums = [None if nulls and len(x) > 1 else trend_sum(x) for _, _, x, nulls in some]
+        keys = pa.array([k.as_py() for k, *_ in some], some[0][0].type)
+        yield pa.record_batch([keys, pa.array([len(x) for _, _, x, _ in some], pa.int32()), pa.array(sums, pa.int64()), pa.array(few, pa.list_(pa.float64()))], ["series", "n", "s", "q"])
+
+
 def mann_kendall(series: DataFrame, critical: float = 1.96) -> DataFrame:
     """Trend by the sign of all ordered pairs (no tie correction).
 
     Under four rows z is null, and the trend is whether the mean of the second half, the longer
-    one, is more than 10 % above or below the mean of the first (0 where that has no row).  Pairs are compared inside each series' own array.
+    one, is more than 10 % above or below the mean of the first (0 where that has no row).  Pairs are counted by sorting, inside each series.
     """
-    ordered = F.transform(F.sort_array(F.collect_list(F.struct("ds", "qty"))), lambda p: p["qty"])
-    grouped = series.groupBy("series").agg(ordered.alias("q")).withColumn("n", F.size("q"))
-    later = lambda x, i: F.aggregate(F.slice("q", i + 2, F.col("n")), F.lit(0), lambda t, y: t + F.sign(y - x).cast("int"))
-    s = grouped.withColumn("s", F.aggregate(F.transform("q", later), F.lit(0), lambda t, x: t + x))
-    variance = F.col("n") * (F.col("n") - 1) * (2 * F.col("n") + 5) / 18.0
+    kind = series.schema["series"].dataType.simpleString()
+    s = in_runs(series).mapInArrow(trend_sums, f"series {kind}, n int, s long, q array<double>")
+    n = F.col("n").cast("double")  # its third power is no int
+    variance = n * (n - 1) * (2 * n + 5) / 18.0
     z = F.when(F.col("s") > 0, (F.col("s") - 1) / F.sqrt(variance)).when(F.col("s") < 0, (F.col("s") + 1) / F.sqrt(variance)).otherwise(0.0)
     known = s.withColumn("z", F.when(F.col("n") >= 4, F.round(z, 4)))
     total = lambda q: F.aggregate(q, F.lit(0.0), lambda t, x: t + x)
