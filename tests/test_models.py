@@ -191,3 +191,21 @@ def test_several_series_at_once_are_fitted_as_each_alone(spark):
     assert len(got) == models.TOGETHER + 9
     for i in range(models.TOGETHER + 9):
         assert np.allclose(got[f"s{i:02d}"], np.maximum(together[i % 7], 0), atol=0.006)
+
+
+def test_shocks_and_roots_are_found_once(monkeypatch):
+    """The long autoregressions are few and shared by the orders, and most roots follow from two bounds."""
+    rng = np.random.default_rng(6)
+    for most in (1 + 1e-6, 0.999):
+        for c in rng.normal(0, 0.7, (300, 3)):
+            for n in (1, 2, 3):
+                assert models.inside(c[:n], most) == bool((np.abs(np.roots(np.r_[1, -c[:n]])) <= most).all())
+    calls = {"lstsq": 0, "roots": 0}
+    for module, name in ((np.linalg, "lstsq"), (np, "roots")):
+        def counted(*args, own=getattr(module, name), name=name, **options):
+            calls[name] += 1
+            return own(*args, **options)
+
+        monkeypatch.setattr(module, name, counted)
+    assert models.arima_values(np.round(rng.gamma(2, 200, 80)), 7) is not None
+    assert calls["lstsq"] <= 40 and calls["roots"] < 36
