@@ -203,9 +203,11 @@ def monthly_split(monthly: DataFrame, delivered: DataFrame) -> DataFrame:
 
 def daily_monthly_rollup(series: DataFrame) -> DataFrame:
     """Days and months in one table; period is yyyyMMdd or yyyyMM."""
-    keyed = series.withColumns({"day": F.date_format("ds", "yyyyMMdd"), "month": F.date_format("ds", "yyyyMM")})
-    both = keyed.select("series", "qty", F.explode(F.array(F.struct(F.lit("daily").alias("type"), F.col("day").alias("period")), F.struct(F.lit("monthly").alias("type"), F.col("month").alias("period")))).alias("x"))
-    return both.groupBy("series", "x.type", "x.period").agg(F.sum("qty").alias("qty"))
+    # grouped by dates, which take less memory than their texts
+    spans = F.array(F.struct(F.lit(False).alias("months"), F.to_date("ds").alias("start")), F.struct(F.lit(True).alias("months"), F.trunc("ds", "MM").alias("start")))
+    both = series.select("series", "qty", F.explode(spans).alias("x")).groupBy("series", "x.months", "x.start").agg(F.sum("qty").alias("qty"))
+    period = F.when(F.col("months"), F.date_format("start", "yyyyMM")).otherwise(F.date_format("start", "yyyyMMdd"))
+    return both.select("series", F.when(F.col("months"), "monthly").otherwise("daily").alias("type"), period.alias("period"), "qty")
 
 
 def row_merge_freeze(rows: DataFrame, monthly: DataFrame) -> DataFrame:

@@ -204,3 +204,14 @@ def test_trend_sums_are_counted_by_sorting(spark):
     began = datetime.now()
     got = {r["series"]: r["s"] for r in evaluation.mann_kendall(spark.createDataFrame(rows, "series string, ds date, qty double")).collect()}
     assert got == {"a": loop, "b": 10_000, "c": None} and (datetime.now() - began).total_seconds() < 60
+
+
+def test_rollup_groups_by_dates_not_by_texts(spark, capsys):
+    rows = [("a", date(2025, 1, 31), 1.0), ("a", date(2025, 1, 1), 2.0), ("a", date(2025, 2, 1), 4.0), ("b", None, 8.0)]
+    found = series.daily_monthly_rollup(spark.createDataFrame(rows, "series string, ds date, qty double"))
+    got = sorted(tuple(r) for r in found.filter("period is not null").collect())
+    assert got == [("a", "daily", "20250101", 2.0), ("a", "daily", "20250131", 1.0), ("a", "daily", "20250201", 4.0), ("a", "monthly", "202501", 3.0), ("a", "monthly", "202502", 4.0)]
+    assert sorted(tuple(r) for r in found.filter("period is null").collect()) == [("b", "daily", None, 8.0), ("b", "monthly", None, 8.0)]
+    capsys.readouterr()
+    found.explain()
+    assert "date_format" not in capsys.readouterr().out  # no text is made below the sums
