@@ -8,9 +8,11 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,8 +30,10 @@ def tokens(text: Column) -> Column:
 
 #: rows of a table that is broadcast; beyond it tables meet in a shuffle
 MOST_BROADCAST = 1_000_000
-#: queries and chunks of a block that are compared at once
-QUERY_BLOCK, CHUNK_BLOCK = 512, 2048
+#: queries and chunks that are compared at once, and pairs that are measured at once
+QUERY_BLOCK, CHUNK_BLOCK, PAIRS = 512, 2048, 65_536
+#: numbers of the queries that a task holds, chunks of a column of cells at least, and cells that are filled before columns grow
+QUERY_VALUES, CHUNK_ROWS, CELLS = 2_000_000, 8192, 256
 
 
 #: distinct terms that a task counts before it hands their numbers on
@@ -118,43 +122,111 @@ def ranked(scored: DataFrame, n: int, order: Column, key: str) -> DataFrame:
     return scored.withColumn("rank", place).filter(F.col("rank") <= n)
 
 
+def nearest_first(who: np.ndarray, distance: np.ndarray, ids: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """The ``n`` nearest of each query, ties to the smaller id; not a number is the farthest."""
+    order = pa.compute.sort_indices(pa.table({"who": who, "near": np.round(distance, 12), "id": ids}), [("who", "ascending"), ("near", "ascending"), ("id", "ascending")]).to_numpy()
+    place = who[order]
+    kept = order[np.arange(len(order)) - np.searchsorted(place, place) < n]
+    return who[kept], distance[kept], ids.take(pa.array(kept))
+
+
+def nearest(q: np.ndarray, blocks: Iterator[tuple[pa.Array, np.ndarray]], n: int) -> tuple[np.ndarray, np.ndarray, pa.Array] | None:
+    """(row of q, distance, id) of each query's ``n`` nearest among the blocks.
+
+    A product of matrices bounds the distances from below and above; what the bounds leave
+    is measured exactly.  Held are the queries, one block and a few times ``n`` rows a query.
+    """
+    size, slack = (q**2).sum(axis=1), 4 * (q.shape[1] + 4) * np.finfo(float).eps
+    last = np.full(len(q), np.inf)  # distance of each query's n-th so far
+    found: tuple | None = None
+    waiting: list[tuple] = []
+
+    def settled(rows: list[tuple]) -> tuple:
+        who, distance, ids = nearest_first(np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows]), pa.concat_arrays([r[2] for r in rows]), n)
+        ends = np.searchsorted(who, np.arange(len(q)), "right")
+        full = np.diff(ends, prepend=0) == n
+        last[full] = np.fmin(np.inf, distance[ends[full] - 1])  # not a number bounds nothing
+        return who, distance, ids
+
+    for ids, v in blocks:
+        with np.errstate(all="ignore"):
+            sizes = (v**2).sum(axis=1)
+            for i in range(0, len(q), QUERY_BLOCK):
+                one = slice(i, i + QUERY_BLOCK)
+                both, twice = size[one, None] + sizes, 2 * (q[one] @ v.T)
+                most = last[one].copy()
+                if len(v) >= n and np.isinf(most).any():
+                    upper = np.where(np.isfinite(both), both * (1 + slack) - twice, np.inf)
+                    most = np.fmin(most, np.partition(upper, n - 1, axis=1)[:, n - 1])
+                # 1e-12: distances are ordered by twelve places
+                left, right = np.nonzero(~((both * (1 - slack) - twice > most[:, None] + 2e-12) & np.isfinite(both)))
+                for j in range(0, len(left), PAIRS):
+                    who, which = left[j : j + PAIRS] + i, right[j : j + PAIRS]
+                    waiting.append((who, ((v[which] - q[who]) ** 2).sum(axis=1), ids.take(pa.array(which))))
+                    if sum(len(w[0]) for w in waiting) > PAIRS + 2 * n * len(q):
+                        found, waiting = settled([*([found] if found else []), *waiting]), []
+        if waiting and np.isinf(last).any():
+            found, waiting = settled([*([found] if found else []), *waiting]), []
+    return settled([*([found] if found else []), *waiting]) if found or waiting else None
+
+
 def dense(queries: DataFrame, chunks: DataFrame, key: str, n: int = 30) -> DataFrame:
     """Exact nearest chunks by squared distance of (query_id, vector) to (key, vector).
 
-    Queries and chunks are packed into blocks, and every block of the one meets every block
-    of the other in a task that hands on each query's ``n`` nearest only.  Rows without a
-    vector, or with one of another length than the query's, are no match.
+    Queries are dealt to rows of cells by what a task can hold, chunks to columns; a
+    task holds the queries of its cell, streams the chunks past them and hands on each query's ``n``
+    nearest.  Nothing is broadcast.  All pairs are compared, so time is quadratic, memory is not.  Rows
+    without a vector, or with one of another length than the query's, are no match.
     """
     kind, key_kind = "array<double>", chunks.schema[key].dataType.simpleString()
     q_kind = queries.schema["query_id"].dataType.simpleString()
     usable = F.col("vector").isNotNull() & F.forall("vector", lambda x: x.isNotNull())
+    asked, held = (df.filter(usable).select(F.col(c).alias("id"), F.col("vector").cast(kind).alias("vector"), F.size("vector").alias("dims")) for df, c in ((queries, "query_id"), (chunks, key)))
+    values, all_held = asked.agg(F.sum("dims")).first()[0] or 0, held.count()
+    rows = max(1, -(-values // QUERY_VALUES))
+    columns = max(1, min(-(-all_held // CHUNK_ROWS), CELLS // rows))
+    dealt = lambda parts: F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")
+    every = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    none = lambda kind: F.lit(None).cast(kind)
+    left = asked.select("dims", dealt(rows).alias("row"), every(columns).alias("column"), F.lit(0).alias("side"), F.col("id").alias("query_id"), none(key_kind).alias("key"), "vector")
+    right = held.select("dims", every(rows).alias("row"), dealt(columns).alias("column"), F.lit(1).alias("side"), none(q_kind).alias("query_id"), F.col("id").alias("key"), "vector")
+    met = left.unionByName(right).repartition(rows * columns, "dims", "row", "column").sortWithinPartitions("dims", "row", "column", "side")
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, pa.RecordBatch]]:
+        """Batches cut where the cell or the side changes."""
+        for batch in batches:
+            marks = np.stack([batch.column(c).to_numpy() for c in ("dims", "row", "column", "side")])
+            cuts = [0, *(np.flatnonzero((np.diff(marks, axis=1) != 0).any(axis=0)) + 1).tolist(), batch.num_rows]
+            for i, j in zip(cuts, cuts[1:]):
+                if j > i:
+                    yield tuple(marks[:, i].tolist()), batch.slice(i, j - i)
 
-    def packed(df: DataFrame, name: str, size: int, side: str) -> tuple[DataFrame, int]:
-        df = df.filter(usable).select(F.col(name).alias("id"), F.col("vector").cast(kind).alias("vector"), F.size("vector").alias("dims"))
-        blocks = max(1, -(-df.count() // size))
-        block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-        return df.groupBy("dims", block.alias(f"{side}_block")).agg(F.collect_list("id").alias(f"{side}_ids"), F.flatten(F.collect_list("vector")).alias(f"{side}_vectors")), blocks
+    def matrix(batch: pa.RecordBatch, dims: int) -> np.ndarray:
+        return batch.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, dims)
 
-    asked, _ = packed(queries, "query_id", QUERY_BLOCK, "q")
-    held, blocks = packed(chunks, key, CHUNK_BLOCK, "c")
-    every = asked.withColumn("c_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    met = every.join(held, ["dims", "c_block"]).select("dims", "q_ids", "q_vectors", "c_ids", "c_vectors")
+    def blocks(parts: Iterator[tuple[tuple, pa.RecordBatch]], dims: int) -> Iterator[tuple[pa.Array, np.ndarray]]:
+        for _, part in parts:
+            for i in range(0, part.num_rows, CHUNK_BLOCK):
+                piece = part.slice(i, CHUNK_BLOCK)
+                yield piece.column("key"), matrix(piece, dims)
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                dims = batch.column("dims")[i].as_py()
-                q, v = (batch.column(c)[i].values.to_numpy(zero_copy_only=False).reshape(-1, dims) for c in ("q_vectors", "c_vectors"))
-                q_ids, ids, rows = batch.column("q_ids")[i].values, batch.column("c_ids")[i].values, []
-                for j, one in enumerate(q):
-                    distance = ((v - one) ** 2).sum(axis=1)
-                    last = np.partition(distance, n - 1)[n - 1] if len(distance) > n else np.inf
-                    near = np.flatnonzero(distance <= last)  # ties at the end are all handed on
-                    rows.append((np.full(len(near), j), near, distance[near]))
-                who, which, distance = (np.concatenate(x) for x in zip(*rows, strict=True))
-                yield pa.record_batch([q_ids.take(pa.array(who)), ids.take(pa.array(which)), pa.array(distance)], ["query_id", key, "distance"])
-
-    return ranked(met.mapInArrow(near, f"query_id {q_kind}, {key} {key_kind}, distance double"), n, F.asc(F.round("distance", 12)), key)
+        for (dims, *_), cell in groupby(runs(batches), lambda x: x[0][:3]):
+            sides = groupby(cell, lambda x: x[0][3])
+            side, parts = next(sides)
+            if side:
+                continue  # chunks that nobody asks for
+            asking = [p for _, p in parts]
+            if (chunk_side := next(sides, None)) is None:
+                continue
+            q_ids = pa.concat_arrays([p.column("query_id") for p in asking])
+            q = np.concatenate([matrix(p, dims) for p in asking])
+            if (found := nearest(q, blocks(chunk_side[1], dims), n)) is not None:
+                who, distance, ids = found
+                yield pa.record_batch([q_ids.take(pa.array(who)), ids, pa.array(distance), pa.array(np.round(distance, 12))], ["query_id", key, "distance", "near"])
+
+    found = met.mapInArrow(near, f"query_id {q_kind}, {key} {key_kind}, distance double, near double")
+    return ranked(found, n, F.asc("near"), key).drop("near")
 
 
 def fuse(first: DataFrame, second: DataFrame, key: str, n: int | None = None) -> DataFrame:

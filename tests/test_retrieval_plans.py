@@ -1,10 +1,12 @@
-"""Term counts, BM25 with and without a broadcast, and texts that hold one another, against plain versions."""
+"""Term counts, BM25 with and without a broadcast, and texts that hold one another, against plain versions; dense search."""
 
 import math
 import random
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -54,3 +56,31 @@ def test_no_table_stays_persisted(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, "b c")], "id int, text string")
     retrieval.bm25(docs.select(F.col("id").alias("query_id"), "text"), docs, "id", "text").collect()
     assert spark.sparkContext._jsc.getPersistentRDDs().size() == before
+
+
+def test_vectors_meet_without_a_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "QUERY_VALUES", 64)
+    monkeypatch.setattr(retrieval, "CHUNK_ROWS", 50)
+    rng = np.random.default_rng(3)
+    vectors = np.concatenate([rng.normal(size=(250, 4)), np.repeat(rng.normal(size=(1, 4)), 150, axis=0)])
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)] + [(900, [1.0]), (901, None)], "id long, vector array<double>")
+    found = retrieval.dense(rows.filter("id % 8 = 7 or id = 900").withColumnRenamed("id", "query_id"), rows, "id", 5)
+    assert "Broadcast" not in found._jdf.queryExecution().toString()  # before: packed vectors went through the driver
+    near = {}
+    for r in found.orderBy("query_id", "rank").collect():
+        near.setdefault(r["query_id"], []).append(r["id"])
+    assert near.pop(900) == [900]
+    assert near == {i: np.lexsort((np.arange(400), np.round(((vectors - vectors[i]) ** 2).sum(axis=1), 12)))[:5].tolist() for i in range(7, 400, 8)}
+
+
+def test_matrix_bounds_lose_no_neighbour():
+    rng = np.random.default_rng(1)
+    q, v, ids = rng.normal(size=(40, 8)), rng.normal(size=(900, 8)), pa.array(rng.permutation(900))
+    v[500:700], q[3], q[5], v[17], v[18], q[6] = v[0], v[0], np.nan, np.inf, 1e200, 1e200
+    with np.errstate(all="ignore"):
+        who, distance, found = retrieval.nearest(q, ((ids.slice(k, 100), v[k : k + 100]) for k in range(0, 900, 100)), 10)
+        for i, one in enumerate(q):
+            exact = ((v - one) ** 2).sum(axis=1)
+            first = np.lexsort((ids.to_numpy(), np.round(exact, 12)))[:10]
+            assert found.to_numpy()[who == i].tolist() == ids.to_numpy()[first].tolist()
+            assert np.array_equal(distance[who == i], exact[first], equal_nan=True)
