@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .functions import formula
 from .operators import evaluation, lookup, reporting, retrieval, series, sheets
 from .queries import DAILY, EVENTS, PARTS, daily, monthly, moves, order_rows, query, rounded, table, user_days
+from .sources.shared import written
 
 # forecasts
 
@@ -39,7 +40,7 @@ select series, ds, round(greatest(0, -raw), 4) as qty, round(raw, 4) as balance
 
 @query(BLEND)
 def monthly_daily_blend_inputs(spark, d):
-    m = moves(spark, d)
+    m = written(moves(spark, d), "moves")
     demand = m.filter((F.col("demand") > 0) & (F.day("ds") <= 20)).select("series", "ds", F.col("demand").alias("qty"))
     by_month = m.filter("series % 3 = 0").groupBy("series", F.trunc("ds", "MM").alias("month")).agg(F.sum("demand").alias("forecast")).filter("forecast > 0")
     totals = demand.select("series").distinct().filter("series % 3 = 1").withColumn("forecast", F.lit(5000.0))

@@ -162,14 +162,27 @@ def monthly_daily_blend(demand: DataFrame, monthly: DataFrame, supply: DataFrame
     first demand, or the first forecast month, to the end of the last forecast month.  A
     month's fill may be negative.  Days in months without a forecast have demand only.
     """
-    by_month = demand.groupBy("series", F.trunc("ds", "MM").alias("month")).agg(F.sum("qty").alias("known"), F.count("*").alias("known_days"))
-    fills = monthly.join(by_month, ["series", "month"], "left").withColumn("free", F.day(F.last_day("month")) - F.coalesce("known_days", F.lit(0)))
-    fills = fills.select("series", "month", F.when(F.col("free") > 0, (F.col("forecast") - F.coalesce("known", F.lit(0.0))) / F.col("free")).otherwise(0.0).alias("fill"))
-    first = demand.groupBy("series").agg(F.min("ds").alias("first"))
-    span = monthly.groupBy("series").agg(F.min("month").alias("start"), F.last_day(F.max("month")).alias("end")).join(first, "series", "left")
-    calendar = span.select("series", F.explode(F.sequence(F.least("start", "first"), F.col("end"))).alias("ds"))
-    day = calendar.join(demand, ["series", "ds"], "left").withColumn("month", F.trunc("ds", "MM")).join(fills, ["series", "month"], "left")
-    moves = day.join(supply.select("series", "ds", F.col("qty").alias("supply")), ["series", "ds"], "left").select("series", "ds", F.coalesce("qty", "fill", F.lit(0.0)).alias("demand"), F.coalesce("supply", F.lit(0.0)).alias("supply"))
+    none = F.lit(None).cast("double")
+    side = lambda df, day, **c: df.select("series", F.col(day).alias("ds"), *[c.get(n, none).alias(n) for n in ("qty", "supply", "forecast")], F.lit("qty" in c).alias("asked"), F.lit("forecast" in c).alias("starts"))
+    given = side(demand, "ds", qty=F.col("qty")).unionByName(side(supply, "ds", supply=F.col("qty"))).unionByName(side(monthly, "month", forecast=F.col("forecast"))).filter("ds is not null")
+    # one shuffle, by series; dates that nobody names are made behind it
+    sums = [F.sum(c).alias(c) for c in ("qty", "supply", "forecast")]
+    rows = given.repartition("series").groupBy("series", "ds").agg(*sums, F.count_if("asked").alias("asked"), F.max("starts").alias("starts")).withColumn("month", F.trunc("ds", "MM"))
+    # one order for all of them, so that rows are sorted once
+    whole = lambda w: w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    of_month, of_series = Window.partitionBy("series", "month").orderBy("ds"), per_series().orderBy("month", "ds")
+    free = F.day(F.last_day("ds")) - F.sum("asked").over(whole(of_month))
+    rest = F.sum("forecast").over(whole(of_month)) - F.coalesce(F.sum("qty").over(whole(of_month)), F.lit(0.0))
+    fill = F.when(F.max("starts").over(whole(of_month)), F.when(free > 0, rest / free).otherwise(0.0))
+    begins = F.min(F.when(F.col("starts") | (F.col("asked") > 0), F.col("ds"))).over(whole(of_series))
+    ends = F.last_day(F.max(F.when(F.col("starts"), F.col("ds"))).over(whole(of_series)))
+    known = rows.withColumns({"fill": fill, "begins": begins, "ends": ends, "next": F.lead("ds").over(of_series)}).filter(F.col("ds").between(F.col("begins"), F.col("ends")))
+    # a month with a forecast has a row on its first day, so a date without a row takes the fill of the row before it, if that is of its month
+    until = F.least(F.date_sub("next", 1), F.col("ends"))
+    days = known.select("series", "qty", "fill", "supply", "month", F.col("ds").alias("named"), F.explode(F.sequence("ds", until)).alias("ds"))
+    is_named = F.col("ds") == F.col("named")
+    fills = F.when(F.trunc("ds", "MM") == F.col("month"), F.col("fill"))
+    moves = days.select("series", "ds", F.coalesce(F.when(is_named, F.col("qty")), fills, F.lit(0.0)).alias("demand"), F.coalesce(F.when(is_named, F.col("supply")), F.lit(0.0)).alias("supply"))
     return clamped_balance(moves, begin).select("series", "ds", F.round("net", digits).alias("qty"), F.round("raw", digits).alias("balance"))
 
 

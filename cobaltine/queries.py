@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from .functions import formula
 from .operators import catalogue, evaluation, lookup, markdown, models, reporting, retrieval, series, sheets
+from .sources.shared import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -181,7 +182,7 @@ low as (select *, w - least(0, min(w) over (partition by series order by ds rows
 raw as (select *, coalesce(lag(stock) over (partition by series order by ds), 100) + supply - demand as raw from low)
 select series, ds, round(greatest(0, -raw), 6) as qty, round(raw, 6) as balance from raw""")
 def monthly_daily_blend(spark, d):
-    all_moves = moves(spark, d)
+    all_moves = written(moves(spark, d), "moves")
     demand = all_moves.filter((F.col("demand") > 0) & (F.day("ds") <= 20)).select("series", "ds", F.col("demand").alias("qty"))
     monthly = all_moves.groupBy("series", F.trunc("ds", "MM").alias("month")).agg(F.sum("demand").alias("forecast")).filter("forecast > 0")
     return series.monthly_daily_blend(demand, monthly, all_moves.select("series", "ds", F.col("supply").alias("qty")), 100.0, digits=6)
