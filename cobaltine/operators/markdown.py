@@ -16,11 +16,23 @@ from .retrieval import slug
 
 HEADING, FENCE, SEPARATOR = r"^(#{1,6})[ \t]+(.*)$", r"^\s*(```|~~~)", r"^\s*\|?\s*:?-+:?\s*(\|\s*:?-+:?\s*)+\|?\s*$"
 LEVELS = range(1, 7)
+#: characters of a task's documents, and what a document takes beside its own
+PART_CHARACTERS, BESIDE = 4_000_000, 64
 
 
-def lines(documents: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, line, value, fenced, level, title, section): level and title of heading lines outside of code, and the heading a line stands under (0 before the first)."""
-    split = documents.select(key, F.posexplode(F.split(F.coalesce(text, F.lit("")), "\r?\n")).alias("line", "value"))
+def parts_of(documents: DataFrame, text: str) -> int:
+    """Tasks that documents are dealt to: they grow with the texts, so that what a task sorts does not."""
+    total = documents.agg(F.sum(F.coalesce(F.length(text), F.lit(0)) + BESIDE)).first()[0]
+    return max(1, -(-(total or 0) // PART_CHARACTERS))
+
+
+def lines(documents: DataFrame, key: str, text: str, parts: int | None = None) -> DataFrame:
+    """(key, line, value, fenced, level, title, section): level and title of heading lines outside of code, and the heading a line stands under (0 before the first).
+
+    ``parts``, here and below, is the number of tasks; ``parts_of`` where it is not given.
+    """
+    whole = documents.select(key, text).repartition(parts or parts_of(documents, text), key)
+    split = whole.select(key, F.posexplode(F.split(F.coalesce(text, F.lit("")), "\r?\n")).alias("line", "value"))
     order = Window.partitionBy(key).orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
     mark = F.col("value").rlike(FENCE)
     fenced = split.withColumn("fenced", mark | (F.sum(mark.cast("int")).over(order) % 2 == 1))
@@ -29,13 +41,13 @@ def lines(documents: DataFrame, key: str, text: str) -> DataFrame:
     return headed.withColumn("section", F.count("level").over(order).cast("int"))
 
 
-def sections(documents: DataFrame, key: str, text: str) -> DataFrame:
+def sections(documents: DataFrame, key: str, text: str, parts: int | None = None) -> DataFrame:
     """(key, section, level, title, parent, path, body): each heading with its text; ``path`` has the titles from the top down.
 
     The parent is the nearest heading before it of a higher rank; 0 stands for none.  Text
     before the first heading is section 0.
     """
-    all_lines = lines(documents, key, text)
+    all_lines = lines(documents, key, text, parts)
     plain = F.when(F.col("level").isNull(), F.struct("line", "value"))
     bodies = all_lines.groupBy(key, "section").agg(F.max("level").alias("level"), F.max("title").alias("title"), F.sort_array(F.collect_list(plain)).alias("rows"))
     heads = bodies.withColumn("body", F.regexp_replace(F.array_join(F.transform("rows", lambda r: r["value"]), "\n"), r"^\s+|\s+$", "")).drop("rows").filter("section > 0 or body <> ''")
@@ -56,13 +68,13 @@ def cut(row: Column) -> Column:
     return F.transform(F.split(bare, r"\|"), lambda cell: F.trim(cell))
 
 
-def table_rows(documents: DataFrame, key: str, text: str) -> DataFrame:
+def table_rows(documents: DataFrame, key: str, text: str, parts: int | None = None) -> DataFrame:
     """(key, section, line, headers, cells) of each data row of the tables of two columns or more.
 
     Short rows are filled up with empty cells; what a row has too many stays in its last
     cell, joined by `` | ``.
     """
-    piped = lines(documents, key, text).filter(~F.col("fenced") & F.col("value").contains("|"))
+    piped = lines(documents, key, text, parts).filter(~F.col("fenced") & F.col("value").contains("|"))
     order = Window.partitionBy(key).orderBy("line")
     island = piped.withColumn("island", F.col("line") - F.row_number().over(order))
     inside = Window.partitionBy(key, "island").orderBy("line")
@@ -74,25 +86,26 @@ def table_rows(documents: DataFrame, key: str, text: str) -> DataFrame:
     return rows.filter(n >= 2).select(key, "section", "line", "headers", F.when(m > n, joined).otherwise(filled).alias("cells"))
 
 
-def chunks(documents: DataFrame, key: str, text: str) -> DataFrame:
+def chunks(documents: DataFrame, key: str, text: str, parts: int | None = None) -> DataFrame:
     """(key, chunk_id, chunk_type, title, body): one chunk for each section and one for each table row.
 
     Ids are slugs of the path; equal ones of a document are numbered from the second on.
     """
-    heads = sections(documents, key, text)
+    parts = parts or parts_of(documents, text)
+    heads = sections(documents, key, text, parts)
     named = heads.withColumn("base", F.coalesce(F.nullif(F.array_join(F.transform("path", slug), "/"), F.lit("")), F.lit("section")))
     place = F.row_number().over(Window.partitionBy(key, "base").orderBy("section"))
     named = named.withColumn("chunk_id", F.concat("base", F.when(place > 1, F.concat(F.lit("-"), place.cast("string"))).otherwise("")))
     whole = named.select(key, "chunk_id", F.lit("section").alias("chunk_type"), F.array_join("path", " > ").alias("title"), "body")
     number = F.row_number().over(Window.partitionBy(key, "section").orderBy("line"))
     shown = F.array_join(F.zip_with("headers", "cells", lambda h, c: F.concat(h, F.lit(": "), c)), "\n")
-    rows = table_rows(documents, key, text).select(key, "section", number.alias("row"), shown.alias("body")).join(named.select(key, "section", "chunk_id", "path"), [key, "section"])
+    rows = table_rows(documents, key, text, parts).select(key, "section", number.alias("row"), shown.alias("body")).join(named.select(key, "section", "chunk_id", "path"), [key, "section"])
     return whole.unionByName(rows.select(key, F.concat("chunk_id", F.lit("#row-"), F.col("row").cast("string")).alias("chunk_id"), F.lit("table_row").alias("chunk_type"), F.array_join("path", " > ").alias("title"), "body"))
 
 
-def code_blocks(documents: DataFrame, key: str, text: str) -> DataFrame:
+def code_blocks(documents: DataFrame, key: str, text: str, parts: int | None = None) -> DataFrame:
     """(key, section, line, language, content) of each fenced block; one that is not closed takes the rest of the document."""
-    marked = lines(documents, key, text).withColumn("mark", F.col("value").rlike(FENCE))
+    marked = lines(documents, key, text, parts).withColumn("mark", F.col("value").rlike(FENCE))
     so_far = Window.partitionBy(key).orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
     inside = marked.withColumn("marks", F.sum(F.col("mark").cast("int")).over(so_far)).filter("fenced").withColumn("block", F.floor((F.col("marks") + 1) / 2))
     opens = F.col("mark") & (F.col("marks") % 2 == 1)
@@ -146,9 +159,10 @@ def unfolded(nested: DataFrame, key: str) -> DataFrame:
 def index(documents: DataFrame, key: str, text: str) -> DataFrame:
     """(key, title, section_count, chunk_count, table_rows, code_blocks): what a knowledge base's index says of each document."""
     counted = lambda rows, name: rows.groupBy(key).agg(F.count("*").alias(name))
-    heads = sections(documents, key, text)
+    tasks = parts_of(documents, text)
+    heads = sections(documents, key, text, tasks)
     first = heads.filter("section > 0").groupBy(key).agg(F.min(F.struct((F.col("level") > 1).alias("lower"), "section", "title"))["title"].alias("title"))
-    parts = {"section_count": heads.filter("section > 0"), "chunk_count": chunks(documents, key, text), "table_rows": table_rows(documents, key, text), "code_blocks": code_blocks(documents, key, text)}
+    parts = {"section_count": heads.filter("section > 0"), "chunk_count": chunks(documents, key, text, tasks), "table_rows": table_rows(documents, key, text, tasks), "code_blocks": code_blocks(documents, key, text, tasks)}
     out = documents.select(key).distinct().join(first, key, "left").withColumn("title", F.coalesce("title", F.lit("")))
     for name, rows in parts.items():
         out = out.join(counted(rows, name), key, "left").withColumn(name, F.coalesce(name, F.lit(0).cast("bigint")))

@@ -3,7 +3,7 @@
 import json
 import random
 
-from cobaltine.operators import markdown
+from cobaltine.operators import markdown, texts
 
 
 def random_notes(rng, n):
@@ -37,3 +37,15 @@ def test_a_knowledge_base_on_disk(spark, tmp_path):
     assert index["m"]["chunk_count"] == 2 and index["m"]["table_rows"] == 1 and index["n"]["section_count"] == 0
     assert spark.read.json(str(tmp_path / "chunks")).filter("module = 'm'").count() == 2
     assert [r["title"] for r in spark.read.json(str(tmp_path / "tree")).filter("module = 'm'").collect()] == ["t"]
+
+
+def test_tasks_grow_with_the_texts(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"# t{i}\nx\n## s\n| a | b |\n|---|---|\n| {i} | 2 |\n```\n# no\n```") for i in range(60)] + [(60, None)], "id int, text string")
+    views = (markdown.sections, markdown.table_rows, markdown.code_blocks, markdown.chunks, texts.outline, markdown.index)
+    before = [sorted(map(str, view(docs, "id", "text").collect())) for view in views]
+    assert markdown.parts_of(docs, "text") == 1 and markdown.parts_of(docs.limit(0), "text") == 1
+    monkeypatch.setattr(markdown, "PART_CHARACTERS", 500)
+    assert markdown.parts_of(docs, "text") == -(-docs.selectExpr("sum(coalesce(length(text), 0) + 64)").first()[0] // 500) > 10
+    for view in (markdown.sections, markdown.table_rows, texts.outline):
+        assert view(docs, "id", "text").rdd.getNumPartitions() == markdown.parts_of(docs, "text")  # before: as many as the session has for a shuffle, at any size
+    assert [sorted(map(str, view(docs, "id", "text").collect())) for view in views] == before
