@@ -24,6 +24,15 @@ def so_far() -> WindowSpec:
     return in_order().rowsBetween(Window.unboundedPreceding, 0)
 
 
+#: rows of a task
+TASK_ROWS = 250_000
+
+
+def dealt(rows: DataFrame, *by: str) -> DataFrame:
+    """``rows`` dealt by ``by`` to tasks that grow with their number, so that what a task groups, sorts or joins does not."""
+    return rows.repartition(max(1, -(-rows.count() // TASK_ROWS)), *by)
+
+
 def demand_series(rows: DataFrame, key: str, day: str, qty: str) -> DataFrame:
     """Sums to one row for each key and date."""
     return rows.groupBy(F.col(key).alias("series"), F.to_date(day).alias("ds")).agg(F.sum(qty).alias("qty"))

@@ -45,7 +45,8 @@ def daily(spark: SparkSession, d: str) -> DataFrame:
 
 def moves(spark: SparkSession, d: str) -> DataFrame:
     of = lambda flags, name: F.sum(F.when(F.col("l_returnflag").isin(*flags), F.col("l_quantity")).otherwise(0.0)).alias(name)
-    return table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("series"), F.to_date("l_shipdate").alias("ds")).agg(of("N", "demand"), of("AR", "supply"), of("R", "jit"), of("A", "pgi"))
+    rows = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("series"), F.to_date("l_shipdate").alias("ds"), "l_returnflag", "l_quantity")
+    return series.dealt(rows, "series", "ds").groupBy("series", "ds").agg(of("N", "demand"), of("AR", "supply"), of("R", "jit"), of("A", "pgi"))
 
 
 def rounded(df: DataFrame, *columns: str, digits: int = 4) -> DataFrame:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from cobaltine.functions import formula
 from cobaltine.operators import evaluation, reporting, retrieval, series, sheets
-from cobaltine.queries import queries
+from cobaltine.queries import moves, queries
 
 
 def one(spark, expression):
@@ -215,3 +215,12 @@ def test_rollup_groups_by_dates_not_by_texts(spark, capsys):
     capsys.readouterr()
     found.explain()
     assert "date_format" not in capsys.readouterr().out  # no text is made below the sums
+
+
+def test_tasks_of_moves_grow_with_the_rows(spark, monkeypatch):
+    d = "/root/testdata/sf0.001"
+    one, rows = sorted(map(str, moves(spark, d).collect())), spark.read.parquet(f"{d}/lineitem.parquet").count()
+    monkeypatch.setattr(series, "TASK_ROWS", 500)
+    assert moves(spark, d).rdd.getNumPartitions() == -(-rows // 500) > 4  # before: as many as the session has for a shuffle, at any size
+    assert sorted(map(str, moves(spark, d).collect())) == one
+    assert series.dealt(spark.range(0), "id").rdd.getNumPartitions() == 1
