@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .series import ahead, flat_smoothing_forecast, per_series, trend_forecast
-from .streamed import each_series, in_runs
+from .streamed import by_series, each_series, in_runs
 
 #: values below it are raised to it before a fit
 FLOOR = 0.01
@@ -132,17 +132,27 @@ def long_shocks(w: np.ndarray, long: int) -> np.ndarray:
 
 def without_shocks(e: list[float], ma: list[float], known: int) -> list[float]:
     """e[t] less the moving average of the ones before, from ``known`` on."""
-    c, d, f = [*ma, 0.0, 0.0][:3]
-    for t in range(known, len(e)):
-        if len(ma) == 1:
-            e[t] -= c * e[t - 1]
-        elif len(ma) == 2:
-            e[t] -= c * e[t - 1] + d * e[t - 2]
-        elif len(ma) == 3:
-            e[t] -= c * e[t - 1] + d * e[t - 2] + f * e[t - 3]
-        else:
-            e[t] -= sum(c * e[t - i] for i, c in enumerate(ma, 1))
-    return e
+    out = e[:known]
+    put = out.append
+    # the last values are names instead of places in a list, which takes half the time
+    x, y, z = [*reversed(e[max(0, known - 3) : known]), 0.0, 0.0, 0.0][:3]
+    c, d, f = [*ma, 0.0, 0.0, 0.0][:3]
+    if len(ma) == 1:
+        for v in e[known:]:
+            x = v - c * x
+            put(x)
+    elif len(ma) == 2:
+        for v in e[known:]:
+            x, y = v - (c * x + d * y), x
+            put(x)
+    elif len(ma) == 3:
+        for v in e[known:]:
+            x, y, z = v - (c * x + d * y + f * z), x, y
+            put(x)
+    else:
+        for v in e[known:]:
+            put(v - sum(c * out[-i] for i, c in enumerate(ma, 1)))
+    return out
 
 
 def arma_fit(w: np.ndarray, p: int, q: int, constant: bool, start: int, known_shocks: dict | None = None) -> tuple[float, np.ndarray, np.ndarray] | None:
@@ -230,7 +240,7 @@ def fitted(series: DataFrame, values: Callable[[list[np.ndarray]], list[np.ndarr
 
 def by_length(series: DataFrame) -> Callable[[Column], DataFrame]:
     """A function that picks the rows of the series whose number of rows ``n`` meets a condition."""
-    counted = series.select("series", "ds", F.coalesce("qty", F.lit(0.0)).alias("qty")).withColumn("n", F.count("*").over(per_series()))
+    counted = by_series(series.select("series", "ds", F.coalesce("qty", F.lit(0.0)).alias("qty"))).withColumn("n", F.count("*").over(per_series()))
     return lambda condition: counted.filter(condition).drop("n")
 
 

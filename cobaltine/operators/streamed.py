@@ -13,8 +13,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 
+def by_series(rows: DataFrame) -> DataFrame:
+    """``rows`` dealt by series to as many tasks as the session has for a shuffle.
+
+    The number is given, as tasks would else be merged by the little that they read, and work on a
+    series takes much longer than reading it: some cores would have two of them and others none.
+    """
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "series")
+
+
 def in_runs(series: DataFrame) -> DataFrame:
-    return series.select("series", "ds", "qty").repartition("series").sortWithinPartitions("series", "ds")
+    return by_series(series.select("series", "ds", "qty")).sortWithinPartitions("series", "ds")
 
 
 def each_series(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Scalar, pa.Scalar, np.ndarray, bool]]:

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cobaltine.operators import catalogue, markdown, models, reporting, series
+from cobaltine.operators import catalogue, markdown, models, reporting, series, streamed
 from cobaltine.sources import workbooks
 
 START = date(2025, 1, 1)
@@ -209,3 +209,21 @@ def test_shocks_and_roots_are_found_once(monkeypatch):
         monkeypatch.setattr(module, name, counted)
     assert models.arima_values(np.round(rng.gamma(2, 200, 80)), 7) is not None
     assert calls["lstsq"] <= 40 and calls["roots"] < 36
+
+
+def test_series_keep_their_tasks(spark):
+    rows = spark.createDataFrame([(f"s{i}", date(2025, 1, d), float(d)) for i in range(40) for d in range(1, 6)], "series string, ds date, qty double")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert streamed.in_runs(rows).rdd.getNumPartitions() == tasks  # before: little rows were merged to one task
+    assert models.by_length(rows)(F.col("n") >= 4).rdd.getNumPartitions() == tasks
+
+
+def test_shocks_taken_off_step_by_step():
+    rng = np.random.default_rng(2)
+    for ma in ([0.5], [0.5, -0.2], [0.4, 0.3, -0.6], [0.1, 0.2, 0.3, 0.4]):
+        for known in range(len(ma), 6):
+            plain = rng.normal(size=30).tolist()
+            got = models.without_shocks(list(plain), ma, known)
+            for t in range(known, len(plain)):
+                plain[t] -= sum(c * plain[t - i] for i, c in enumerate(ma, 1))
+            assert np.allclose(got, plain, rtol=1e-12, atol=1e-12)
