@@ -1,6 +1,7 @@
 """Dates and sheets as people write them, lookups, blends of other inputs, months ahead."""
 
 import calendar
+from collections import Counter
 from datetime import date
 
 import pytest
@@ -89,6 +90,37 @@ def test_lookups_shuffle_no_pairs_of_requests_and_chunks(spark, monkeypatch, cap
     assert not any("query_id" in line and "chunk_id" in line for line in capsys.readouterr().out.splitlines() if "Exchange" in line)
 
 
+def test_lookups_take_inputs_apart_once(spark):
+    """Chunks are read once, requests once for their urls and once for their payloads; without keys there are routes only."""
+    names, read = ("requests", "chunks"), {k: spark.sparkContext.accumulator(0) for k in ("requests", "chunks")}
+
+    def counted(rows, schema, counter):
+        def seen(batches):
+            for batch in batches:
+                counter.add(batch.num_rows)
+                yield batch
+
+        return spark.createDataFrame(rows, schema).mapInArrow(seen, schema)
+
+    row = {"path": "`/a/{id}`", "message": "disk full", "code": "E1", "value": "s1"}
+    asked = [(q, f"/a/{q}", {"error": "E1", "state": "s1", "note": "disk full"}) for q in range(20)]
+    inputs = counted(asked, "query_id long, url string, payload map<string,string>", read["requests"]), counted([(i, "table_row", list(row), row) for i in range(10)], "chunk_id long, chunk_type string, headers array<string>, row map<string,string>", read["chunks"])
+    assert lookup.hits(*inputs, ("error",), ("state",), ("note",)).count() == 20 * 10 * 4
+    assert [read[k].value for k in names] == [40, 10]  # before: requests five times, chunks seven times
+    assert {tuple(r) for r in lookup.hits(*inputs).collect()} == {(q, i, "route", i + 1) for q in range(20) for i in range(10)}
+
+
+def test_lookups_deal_what_is_put_out_by_its_rows(spark, monkeypatch):
+    """What all requests ask for is put out by several tasks, whole and in order."""
+    monkeypatch.setattr(lookup, "BLOCK", 5)
+    monkeypatch.setattr(lookup, "TASK_ROWS", 20, raising=False)
+    chunks = spark.createDataFrame([(i, "table_row", ["code", "message"], {"code": "E1", "message": "m"}) for i in range(10)], "chunk_id long, chunk_type string, headers array<string>, row map<string,string>")
+    asked = spark.createDataFrame([(q, "", {"error": "E1"}) for q in range(40)], "query_id long, url string, payload map<string,string>")
+    found = lookup.hits(asked, chunks, ("error",)).withColumn("task", F.spark_partition_id()).collect()
+    assert sorted(tuple(r)[:4] for r in found) == [(q, i, "errorCode", i + 1) for q in range(40) for i in range(10)]
+    assert max(Counter(r["task"] for r in found).values()) <= 100  # before: one task for all 400
+
+
 def test_blend_shuffles_once_and_keeps_gaps(spark):
     """Against a plain version: months without a forecast between others, full months, supply outside of the calendar."""
     day = lambda m, d: date(2025, m, d)
